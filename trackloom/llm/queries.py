@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules, token_counts
+from . import chat_format, quality_classifier, quality_rules, token_counts, warc
 
 QUERIES = {
+    "op1_chat_format": chat_format.query,
     "op3_token_counts": token_counts.query,
+    "op4_warc": warc.query,
     "op6_quality_classifier": quality_classifier.query,
     "op8_quality_rules": quality_rules.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL}
