@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_classifier, quality_rules, token_counts, warc
+from . import chat_format, line_dedup, quality_classifier, quality_rules, token_counts, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
     "op3_token_counts": token_counts.query,
     "op4_warc": warc.query,
+    "op5_line_dedup": line_dedup.query,
     "op6_quality_classifier": quality_classifier.query,
     "op8_quality_rules": quality_rules.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
