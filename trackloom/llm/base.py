@@ -44,6 +44,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of rows that are sent to every executor; a larger side is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def sendable(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A stored table, marked for broadcast if its rows are counted and few enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

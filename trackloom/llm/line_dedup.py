@@ -3,7 +3,7 @@
 Equal lines fold first, by a 128-bit hash, so the rest works on distinct lines. For near lines, every line emits all its
 variants within the edit bound (one deletion) as hashed keys; equal variants join; the edit distance is verified. Only
 lines that can have a partner emit variants: cut a line into p parts, and a partner within one edit agrees with it outside
-one of them. Two rounds of that (p = 2, then 16) leave out lines without such an agreement, which loses nothing.
+one of them. Rounds of that (p = 2, 4, 16) leave out lines without such an agreement, which loses nothing.
 
 Rules: lines are split at \\n and compared as they stand; a line of white space only is never removed. A line of fewer than
 LEAST code points is compared for equality only. The order is (doc_id, place in the text), a null doc_id first. A line goes
@@ -23,9 +23,7 @@ from . import base
 
 LEAST = 16
 BOUND = 1
-PARTS = (2, 16)
-#: Most bytes of line ids that go to every executor; more are joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
+PARTS = (2, 4, 16)
 _BLANK = r"^[\x20\x09-\x0D]*$"
 _POS = ("doc", "row", "no")
 
@@ -53,10 +51,14 @@ def variants(line: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(F.xxhash64(F.concat(F.substring(line, F.lit(1), k - 1), F.substring(line, k + 1, n))).alias("key"), k.alias("place")))
 
 
-def sharing(keys: DataFrame) -> DataFrame:
-    """a, b of the lines that have a key (a, b, key) in common with another line."""
-    shared = keys.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most")).filter("least <> most").select("key")
-    return keys.join(shared, "key", "left_semi").select("a", "b").distinct()
+def sharing(lines: DataFrame, keys: list[Column], carried: list[str]) -> DataFrame:
+    """The lines that have one of the keys in common with another line; `carried`: their columns.
+
+    Only the keys are shuffled, counted before and after; the few that stand twice come back to the lines.
+    """
+    every = lines.select(*carried, F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    shared = base.stored(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
+    return every.join(base.sendable(shared, 16), "key", "left_semi").select(*carried).distinct()
 
 
 def near(able: DataFrame) -> DataFrame:
@@ -89,17 +91,18 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     names = [f"k{i}" for i in range(len(half))]
     firsts = told.groupBy("a", "b").agg(F.min("pos").alias("pos"), F.count("*").alias("many"), *(F.max(c).alias(c) for c in ("n", *names)))
     firsts = base.stored(firsts, "lines")
-    able = sharing(firsts.filter(F.col("n") >= LEAST).select("a", "b", F.explode(F.array_distinct(F.array(*names))).alias("key")))
-    able = base.stored(firsts.select("a", "b", "pos").join(able, ["a", "b"]).select("a", "b", *(f"pos.{c}" for c in _POS)), "able")
-    small = able.count() * 40 <= BROADCAST_BYTES
-    known = able.select(*_POS, F.lit(True).alias("_able"))
+    able = base.stored(sharing(firsts.filter(F.col("n") >= LEAST), [F.col(c) for c in names], ["a", "b", "pos"]).select("a", "b", *(f"pos.{c}" for c in _POS)), "able")
+    known = base.sendable(able.select(*_POS), 40)
     met = F.col("x.doc").eqNullSafe(F.col("y.doc")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.no") == F.col("y.no"))
-    able = every.alias("x").join((F.broadcast(known) if small else known).alias("y"), met, "left_semi").withColumn("n", n)
-    able = base.stored(able.dropDuplicates(["a", "b"]), "able")
-    again = sharing(able.select("a", "b", F.explode(F.array_distinct(F.array(*outside(F.col("line"), F.col("n"), PARTS[1])))).alias("key")))
-    able = base.stored(able.join(again, ["a", "b"], "left_semi"), "able")
-    fate = firsts.select("a", "b", "pos", "many").join(near(able).withColumn("late", F.lit(True)), ["a", "b"], "left").filter("many > 1 or late")
-    gone = told.select("a", "b", F.col("pos").alias("here")).join(fate, ["a", "b"]).filter(F.col("late").isNotNull() | (F.col("here") != F.col("pos")))
+    able = base.stored(every.alias("x").join(known.alias("y"), met, "left_semi").withColumn("n", n).dropDuplicates(["a", "b"]), "able")
+    for parts in PARTS[1:]:
+        again = base.stored(sharing(able, outside(F.col("line"), F.col("n"), parts), ["a", "b"]), "again")
+        able = base.stored(able.join(base.sendable(again, 24), ["a", "b"], "left_semi"), "able")
+    late = near(able).withColumn("late", F.lit(True))
+    late = able.join(late, ["a", "b"]).select("a", "b", F.struct(*_POS).alias("pos"), "late")
+    fate = firsts.filter("many > 1").select("a", "b", "pos", F.lit(False).alias("late")).unionByName(late)
+    fate = base.stored(fate.groupBy("a", "b").agg(F.min("pos").alias("pos"), F.max("late").alias("late")), "fate")
+    gone = told.select("a", "b", F.col("pos").alias("here")).join(base.sendable(fate, 64), ["a", "b"]).filter(F.col("late") | (F.col("here") != F.col("pos")))
     return gone.select("here.*").groupBy("doc", "row").agg(F.collect_set("no").alias("nos"))
 
 
@@ -108,7 +111,7 @@ def dedup(docs: DataFrame, text: str = "text", counts: bool = False, drop_emptie
     all of whose lines with a word went."""
     gone = base.stored(removed(docs, text), "removed")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")).withColumns({"_doc": F.col("_row.doc_id"), "_hash": F.xxhash64(F.col(f"_row.`{text}`"))})
-    rows = rows.alias("r").join(gone.alias("g"), F.col("r._doc").eqNullSafe(F.col("g.doc")) & (F.col("r._hash") == F.col("g.row")), "left")
+    rows = rows.alias("r").join(base.sendable(gone, 128).alias("g"), F.col("r._doc").eqNullSafe(F.col("g.doc")) & (F.col("r._hash") == F.col("g.row")), "left")
     parts = F.split(F.col(f"_row.`{text}`"), "\n", -1)
     kept = F.filter(parts, lambda x, k: ~F.array_contains("nos", k))
     left = F.when(F.col("nos").isNull(), F.col(f"_row.`{text}`")).otherwise(F.array_join(kept, "\n"))
