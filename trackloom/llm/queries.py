@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, line_dedup, quality_classifier, quality_rules, token_counts, warc
+from . import chat_format, decontaminate, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_line_dedup": line_dedup.query,
     "op6_quality_classifier": quality_classifier.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_sentencepiece": sentencepiece_codec.query,
+    "op10_decontaminate": decontaminate.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_chat_format": chat_format.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
