@@ -3,7 +3,7 @@
 Equal lines fold first, by a 128-bit hash, so the rest works on distinct lines. For near lines, every line emits all its
 variants within the edit bound (one deletion) as hashed keys; equal variants join; the edit distance is verified. Only
 lines that can have a partner emit variants: cut a line into p parts, and a partner within one edit agrees with it outside
-one of them. Rounds of that (p = 2, 4, 16) leave out lines without such an agreement, which loses nothing.
+one of them. Rounds of that (p = 2, 4, 16, 64) leave out lines without such an agreement, which loses nothing.
 
 Rules: lines are split at \\n and compared as they stand; a line of white space only is never removed. A line of fewer than
 LEAST code points is compared for equality only. The order is (doc_id, place in the text), a null doc_id first. A line goes
@@ -23,7 +23,7 @@ from . import base
 
 LEAST = 16
 BOUND = 1
-PARTS = (2, 4, 16)
+PARTS = (2, 4, 16, 64)
 _BLANK = r"^[\x20\x09-\x0D]*$"
 _POS = ("doc", "row", "no")
 
@@ -68,13 +68,14 @@ def near(able: DataFrame) -> DataFrame:
     line and those that become it by a deletion; so the earliest line of each side of a key decides for the others, and a
     group of near copies joins as many rows as it has variants, never all its pairs.
     """
-    at = F.struct("doc", "row", "no")
-    cut = able.select("a", "b", at.alias("pos"), "n", F.explode(variants(F.col("line"), F.col("n"))).alias("v")).select("a", "b", "pos", "n", "v.key", "v.place")
-    same = cut.select("a", "b", "pos", F.xxhash64("key", "n", "place").alias("k"), F.lit(0).alias("side"))
-    longer = cut.select("a", "b", "pos", F.xxhash64("key", F.col("n") - 1).alias("k"), F.lit(1).alias("side")).distinct()
-    shorter = able.select("a", "b", at.alias("pos"), F.xxhash64(F.col("a"), F.col("n")).alias("k"), F.lit(2).alias("side"))
-    every = same.unionByName(longer).unionByName(shorter)
-    heads = every.groupBy("k").agg(*(F.min(F.when(F.col("side") == s, F.struct("pos", "a", "b"))).alias(f"h{s}") for s in (0, 1, 2)), F.count("*").alias("m")).filter("m > 1").drop("m")
+    own, n = F.col("line"), F.col("n")
+    same = F.transform(variants(own, n), lambda v: F.struct(F.xxhash64(v["key"], n, v["place"]).alias("k"), F.lit(0).alias("side")))
+    longer = F.transform(F.array_distinct(F.transform(variants(own, n), lambda v: v["key"])), lambda key: F.struct(F.xxhash64(key, n - 1).alias("k"), F.lit(1).alias("side")))
+    shorter = F.array(F.struct(F.xxhash64(F.col("a"), n).alias("k"), F.lit(2).alias("side")))
+    every = able.select("a", "b", F.struct(*_POS).alias("pos"), F.explode(F.concat(same, longer, shorter)).alias("v")).select("a", "b", "pos", "v.k", "v.side")
+    shared = base.stored(every.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").select("k"), "shared")
+    every = base.stored(every.join(base.sendable(shared, 16), "k", "left_semi"), "variants")
+    heads = every.groupBy("k").agg(*(F.min(F.when(F.col("side") == s, F.struct("pos", "a", "b"))).alias(f"h{s}") for s in (0, 1, 2)))
     head = F.when(F.col("side") == 0, F.col("h0")).when(F.col("side") == 1, F.col("h2")).otherwise(F.col("h1"))
     pairs = every.join(heads, "k").select("a", "b", "pos", head.alias("h")).filter("h.pos < pos").select("a", "b", F.col("h.a").alias("c"), F.col("h.b").alias("d")).distinct()
     texts = able.select("a", "b", "line")
