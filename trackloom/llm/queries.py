@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_codec, token_counts, warc
+from . import chat_format, decontaminate, line_dedup, lm_scoring, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, token_counts, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
+    "op2_ngram_join": ngram_join.query,
     "op3_token_counts": token_counts.query,
     "op4_warc": warc.query,
     "op5_line_dedup": line_dedup.query,
