@@ -122,12 +122,14 @@ class Items:
         low, high = (np.searchsorted(self.grams, grams[hit], side=s) for s in ("left", "right"))
         inside = (high > low) & (text[hit] == text[hit + LEAST - 1])
         hit, low, high = hit[inside], low[inside], high[inside]
+        if not len(hit):
+            return []
         many = high - low
         at = np.repeat(hit, many)
         seed = np.repeat(low - np.concatenate([[0], np.cumsum(many)])[:-1], many) + np.arange(many.sum())
         pair = text[at] * len(self.ids) + self.owner[seed]
         order = np.argsort(pair, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]])) if len(order) else []
+        cuts = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
         out = []
         for x, y in zip(cuts, [*cuts[1:], len(order)], strict=True):
             own = order[x:y]
