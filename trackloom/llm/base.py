@@ -85,8 +85,6 @@ class Words:
 
     def __init__(self, texts: pa.Array, lower: bool = False):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if lower:  # A-Z only, so bytes keep their length
-            texts = pc.ascii_lower(texts)
         lists = pc.ascii_split_whitespace(texts)
         flat, offsets = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
         offsets = offsets - offsets[0]
@@ -96,7 +94,8 @@ class Words:
         self.starts = np.concatenate([[0], np.cumsum(full)])[offsets]
         encoded = flat.dictionary_encode()
         self.codes = np.asarray(encoded.indices).astype(np.int64)
-        self.names = encoded.dictionary
+        # A-Z only. Not on the texts: that kernel is wrong on slices of arrays. Names may then be equal, their hashes too.
+        self.names = pc.ascii_lower(encoded.dictionary) if lower else encoded.dictionary
 
     @property
     def counts(self) -> np.ndarray:
