@@ -170,7 +170,7 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
         least = HOT
         while tokens.filter(F.col("many") > least).count() * 8 > base.BROADCAST_BYTES:
             least *= 2
-        more = tokens.filter(F.col("many") > least).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
+        more = tokens.filter(F.col("many") > least).select("token").toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64)
         more = np.setdiff1d(more, hot)
         if not len(more) or (len(hot) + len(more)) * 8 > 4 * base.BROADCAST_BYTES:
             break
