@@ -1,10 +1,8 @@
-"""Registered queries over the driver's tables, each beside the SQL that gives the same rows."""
+"""Registered queries over the driver's tables, each beside the SQL that gives the same rows where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import points_and_lines, sequences_and_graphs  # noqa: F401  they register their queries
+from .plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

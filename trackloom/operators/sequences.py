@@ -44,7 +44,7 @@ def rolling_median(value: Column, keys: list[str], order: str, half: int) -> Col
     return F.percentile(F.nanvl(value, F.lit(None)), 0.5).over(by(keys, order).rowsBetween(-half, half))
 
 
-def station_median(value: Column, keys: list[str], station: str, reach: float) -> Column:
+def station_median(value: Column, keys: list[str], station: str, reach: int) -> Column:
     return F.percentile(value, 0.5).over(by(keys, station).rangeBetween(-reach, reach))
 
 
@@ -203,7 +203,7 @@ def slopes(rows: DataFrame, keys: list[str], station: str, value: str) -> DataFr
     return out.withColumn("curvature", (F.lead("slope").over(w) - F.col("slope")) / (F.lead("_mid").over(w) - F.col("_mid"))).drop("_mid")
 
 
-def quadratic_curvature(rows: DataFrame, keys: list[str], station: str, value: str, reach: float) -> DataFrame:
+def quadratic_curvature(rows: DataFrame, keys: list[str], station: str, value: str, reach: int) -> DataFrame:
     """Curvature and radius from the least-squares parabola of the rows within `reach` along the station; radius 99999 where it is flat."""
     w = by(keys, station).rangeBetween(-reach, reach)
     # Sums around the row itself keep the powers small.
