@@ -147,7 +147,11 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     """image, width, height, label, kind, z_order, points (array of x, y) and attributes of the polygons, polylines and boxes of annotation XML."""
     schema = T._parse_datatype_string(f"_id int, _name string, _width int, _height int, polygon {_SHAPE}, polyline {_SHAPE}, box {_SHAPE}")
     images = spark.read.format("xml").option("rowTag", "image").schema(schema).load(path)
-    shapes = F.concat(*(F.transform(F.coalesce(F.col(k), F.array().cast(_SHAPE)), lambda s, k=k: F.struct(F.lit(k).alias("kind"), s.alias("s"))) for k in ("polygon", "polyline", "box")))
+
+    def of_kind(kind: str):
+        return F.transform(F.coalesce(F.col(kind), F.array().cast(_SHAPE)), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("s")))
+
+    shapes = F.concat(*(of_kind(k) for k in ("polygon", "polyline", "box")))
     rows = images.select(F.col("_name").alias("image"), F.col("_width").alias("width"), F.col("_height").alias("height"), F.explode(shapes).alias("e"))
     point = lambda p: F.struct(F.split(p, ",")[0].try_cast("double").alias("x"), F.split(p, ",")[1].try_cast("double").alias("y"))
     s = F.col("e.s")

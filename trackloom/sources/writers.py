@@ -41,7 +41,7 @@ def basis_curves(lines: DataFrame, path: str, name: str = "curves") -> None:
         raise ValueError("a curve needs two points")
     one = lines.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y", "z"))).alias("p"))
     text = F.array_join(F.transform("p", lambda q: F.format_string("(%.6f, %.6f, %.6f)", q["x"], q["y"], q["z"])), ", ")
-    low, high = (F.format_string("(%.6f, %.6f, %.6f)", *(f(F.transform("p", lambda q, c=c: q[c])) for c in "xyz")) for f in (F.array_min, F.array_max))
+    low, high = (F.format_string("(%.6f, %.6f, %.6f)", *(f(F.col(f"p.{c}")) for c in "xyz")) for f in (F.array_min, F.array_max))
     body = F.concat(F.lit('    def BasisCurves "line_'), F.col("line_id").cast("string"), F.lit('"\n    {\n        uniform token type = "linear"\n        int[] curveVertexCounts = ['), F.size("p").cast("string"), F.lit("]\n        point3f[] points = ["), text, F.lit("]\n        float3[] extent = ["), low, F.lit(", "), high, F.lit("]\n    }"))
     whole = one.agg(F.array_join(F.sort_array(F.collect_list(body)), "\n").alias("v"))
     whole.select(F.concat(F.lit(f'#usda 1.0\n\ndef Xform "{name}"\n{{\n'), "v", F.lit("\n}")).alias("value")).coalesce(1).write.text(path)
