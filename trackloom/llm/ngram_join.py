@@ -31,10 +31,14 @@ from . import base
 
 #: Sets that share a shingle of their prefixes from which on the shingle goes to the end of the order. It steers costs, not results.
 HOT = 16
-#: Times that hot shingles are looked for; each time their sets get new prefixes.
+#: Times at most that hot shingles are looked for; each time their sets get new prefixes. It ends when few sets (SETTLED of all) move.
 REORDERED = 3
-#: Rounds of centres for groups that fall into several classes, before all that is left meets.
+SETTLED = 0.05
+#: Rounds of centres at most for groups that fall into several classes, before all that is left meets. They end when few pairs (WORTH of them) are linked.
 CENTRES = 3
+WORTH = 0.1
+#: Ranges of the hash in which the shingles of a set are counted; the sum of the smaller counts bounds the overlap of two sets.
+BINS = 64
 #: Most partners in one trie.
 PARTNERS = 512
 _HOT_BIT = np.uint64(1 << 63)
@@ -81,23 +85,25 @@ def identity(tokens: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, gram: int, bound: Bound, hot: np.ndarray | None = None, whole: bool = False) -> DataFrame:
-    """doc_id, set, n, tokens of every row: the prefix of its set, or with `whole` all of it, in the global order."""
+    """doc_id, set, n, bins, tokens of every row: the prefix of its set, or with `whole` all of it, in the global order."""
     sent = docs.sparkSession.sparkContext.broadcast(hot if hot is not None else np.zeros(0, np.uint64))
 
     def run(batches):
         hot = sent.value
         for batch in base.slices(batches):
-            names, sizes, tokens = [], [], []
+            names, sizes, tokens, bins = [], [], [], []
             for own in sets_of(batch.column("text"), gram):
                 own = ordered(own, hot)
                 names.append(identity(own & ~_HOT_BIT) if len(own) else None)
                 sizes.append(len(own))
+                count = np.bincount(((own & ~_HOT_BIT) >> np.uint64(57)).astype(np.int64), minlength=BINS)
+                bins.append(count.astype(np.int16) if count.max(initial=0) < 1 << 15 else None)
                 tokens.append((own if whole else own[: bound.prefix(len(own))] & ~_HOT_BIT if len(own) else own).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tokens)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "set", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.list_(pa.int16())), lists], names=["doc_id", "set", "n", "bins", "tokens"])
 
-    return base.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set long, n long, tokens array<long>")
+    return base.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set long, n long, bins array<short>, tokens array<long>")
 
 
 def trie_links(centre: np.ndarray, partners: list[np.ndarray], bound: Bound) -> list[int]:
@@ -125,12 +131,17 @@ def trie_links(centre: np.ndarray, partners: list[np.ndarray], bound: Bound) ->
     return out
 
 
-def verified(pairs: DataFrame, known: DataFrame, bound: Bound) -> DataFrame:
-    """a, b of the pairs (a, b) that are linked. known: set, tokens (whole, ordered). Each pair brings one set to the trie of its centre a."""
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.count("*").over(_by("a")) / PARTNERS))))
-    pairs = base.stored(pairs, "pairs")
-    own = pairs.select("a", "part").distinct().select(F.col("a").alias("b"), "a", "part")
-    rows = pairs.unionByName(own).join(known.withColumnRenamed("set", "b"), "b").select("a", "part", "b", "tokens")
+def verified(pairs: DataFrame, docs: DataFrame, sources: DataFrame, gram: int, bound: Bound, hot: np.ndarray) -> DataFrame:
+    """a, b of the pairs (a, b) that are linked. Each pair brings one set to the trie of its centre a; a centre of many partners has several tries.
+    The sets are made again from the texts (sources: set, doc_id), for those in the pairs alone."""
+    wanted = base.stored(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sources, "set"), "wanted")
+    small = base.sendable(wanted, 16)
+    known = sets(docs.join(small.select("doc_id").distinct(), "doc_id", "left_semi"), gram, bound, hot, whole=True)
+    known = base.stored(known.join(small.select("set", "doc_id"), ["set", "doc_id"], "left_semi").select(F.col("set").alias("b"), "tokens"), "known")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts")).filter("parts > 1")
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    own = dealt.select("a", "part").distinct().select("a", F.col("a").alias("b"), "part")
+    rows = dealt.unionByName(own).join(known, "b").select("a", "part", "b", "tokens")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         centre, kept = None, []
@@ -143,61 +154,65 @@ def verified(pairs: DataFrame, known: DataFrame, bound: Bound) -> DataFrame:
         found = trie_links(centre, [t for _, t in kept], bound) if centre is not None and kept else []
         return pd.DataFrame({"a": [int(group["a"].iloc[0])] * len(found), "b": [int(kept[k][0]) for k in found]}, dtype="int64")
 
-    return shipping.map_groups(rows.groupBy("a", "part"), run, "a long, b long", pairs.sparkSession)
-
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
+    out = base.stored(shipping.map_groups(rows.groupBy("a", "part"), run, "a long, b long", pairs.sparkSession).distinct(), "links")
+    base.discard(known, wanted)
+    return out
 
 
 def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of docs."""
-    spark, bound = docs.sparkSession, Bound(num, den)
+    bound = Bound(num, den)
     docs = docs.select("doc_id", "text")
     first = base.stored(sets(docs, gram, bound), "sets")
     members = first.select("doc_id", "set", "n")
-    single = first.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    prefixes = base.stored(single, "prefixes")
+    single = base.stored(members.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id")), "single")
+    known_single = base.sendable(single, 16)
+    begun = first.join(known_single, ["set", "doc_id"], "left_semi").unionByName(first.join(known_single.filter("doc_id is null").select("set"), "set", "left_semi").filter("doc_id is null"))
+    how_many = single.count()
 
     def shared(prefixes: DataFrame) -> DataFrame:
-        """token, many: the prefix shingles of two sets or more."""
+        """token, many: the prefix shingles of two sets or more. Only shingles are shuffled, counted by tasks before."""
         return base.stored(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("many")).filter("many > 1"), "shared")
 
-    hot, tokens = np.zeros(0, np.uint64), shared(prefixes)
+    hot, moved_sets, prefixes, tokens = np.zeros(0, np.uint64), None, begun, shared(begun)
     for _ in range(REORDERED):
         least = HOT
         while tokens.filter(F.col("many") > least).count() * 8 > base.BROADCAST_BYTES:
             least *= 2
-        more = tokens.filter(F.col("many") > least).select("token").toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64)
-        more = np.setdiff1d(more, hot)
-        if not len(more) or (len(hot) + len(more)) * 8 > 4 * base.BROADCAST_BYTES:
+        found = tokens.filter(F.col("many") > least).select("token").toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64)
+        if not len(np.setdiff1d(found, hot)) or (len(hot) + len(found)) * 8 > 4 * base.BROADCAST_BYTES:
             break
-        hot = np.union1d(hot, more)
+        hot = np.union1d(hot, found)
         named = base.stored(tokens.filter(F.col("many") > least).select("token"), "hot")
         moved = prefixes.select("set", "doc_id", F.explode("tokens").alias("token")).join(base.sendable(named, 8), "token", "left_semi").select("set", "doc_id").distinct()
         moved = base.stored(moved, "moved")
-        small = base.sendable(moved, 24)
-        again = sets(docs.join(small.select("doc_id"), "doc_id", "left_semi"), gram, bound, hot).join(small.select("set"), "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-        prefixes = base.stored(prefixes.join(small.select("set"), "set", "left_anti").unionByName(again.select(*prefixes.columns)), "prefixes")
+        few = moved.count() <= SETTLED * how_many
+        small = base.sendable(moved, 16)
+        texts = docs.join(small.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+        again = sets(texts, gram, bound, hot).join(small.select("set"), "set", "left_semi").dropDuplicates(["set"]).select(*first.columns)
+        kept = again if moved_sets is None else again.unionByName(moved_sets.join(small.select("set"), "set", "left_anti").select(*first.columns))
+        before, moved_sets = moved_sets, base.stored(kept, "prefixes")
+        base.discard(tokens, named, moved, before)
+        prefixes = begun.join(base.sendable(base.stored(moved_sets.select("set"), "names"), 8), "set", "left_anti").select(*first.columns).unionByName(moved_sets)
         tokens = shared(prefixes)
-    meet = prefixes.select("set", "doc_id", "n", F.explode("tokens").alias("token")).join(base.sendable(tokens.select("token"), 16), "token", "left_semi")
+        if few:
+            break
+    meet = prefixes.select("set", "n", F.explode("tokens").alias("token")).join(base.sendable(tokens.select("token"), 8), "token", "left_semi")
     meet = base.stored(meet, "meet")
+    bins = prefixes.join(base.sendable(base.stored(meet.select("set").distinct(), "names"), 8), "set", "left_semi").select("set", "bins")
+    bins = base.stored(bins, "bins")
+    base.discard(tokens)
 
-    sources = base.stored(meet.select("set", "doc_id").distinct(), "sources")
-    known = sets(docs.join(base.sendable(sources.select("doc_id").distinct(), 16), "doc_id", "left_semi"), gram, bound, hot, whole=True)
-    known = base.stored(known.join(base.sendable(sources.select("set"), 16), "set", "left_semi").dropDuplicates(["set"]).select("set", "tokens"), "known")
-
-    links, tested, labels = None, None, None
+    links, tested, labels, last = None, None, None, False
     for turn in range(CENTRES + 2):
+        last = last or turn > CENTRES
         if labels is None:
             now = meet.withColumn("label", F.col("set"))
         else:
-            now = meet.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-            mixed = now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-            now = base.stored(now.join(mixed, "token", "left_semi"), "mixed")
-        if turn <= CENTRES:
+            now = meet.join(base.sendable(labels, 16), "set", "left").withColumn("label", F.coalesce("label", "set"))
+            mixed = base.stored(now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token"), "mixed")
+            now = now.join(base.sendable(mixed, 8), "token", "left_semi")
+        if not last:
             # A centre for each shingle: another one in each turn, so that classes which their first centre missed meet.
             at = F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), "set", "n", "label")
             centre = now.groupBy("token").agg(F.min(at).alias("c"))
@@ -205,21 +220,28 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
         else:
             x, y = now.alias("x"), now.alias("y")
             pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.set").alias("u"), F.col("x.n").alias("m"), F.col("y.set").alias("v"), F.col("y.n").alias("n"))
-        pairs = pairs.filter((den * F.least("m", "n") >= num * F.greatest("m", "n")) & (F.col("u") != F.col("v"))).select("u", "v").distinct()
-        pairs = pairs.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")}).dropDuplicates(["lo", "hi"])
+        pairs = pairs.filter((den * F.least("m", "n") >= num * F.greatest("m", "n")) & (F.col("u") != F.col("v")))
+        pairs = pairs.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v"), "size": F.col("m") + F.col("n")}).groupBy("lo", "hi").agg(F.min("u").alias("a"), F.first("size").alias("size"))
+        # An upper bound of the overlap from the bins: what cannot reach the least overlap goes no further.
+        for side in ("lo", "hi"):
+            pairs = pairs.join(bins.select(F.col("set").alias(side), F.col("bins").alias(f"{side}_bins")), side)
+        most = F.aggregate(F.zip_with("lo_bins", "hi_bins", lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda p, q: p + q)
+        pairs = pairs.filter(F.coalesce(most * (num + den) >= F.col("size") * num, F.lit(True))).select("lo", "hi", "a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
         if tested is not None:
             pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
         pairs = base.stored(pairs, "candidates")
-        if pairs.limit(1).count() == 0:
-            if turn and turn <= CENTRES:
-                continue
+        many = pairs.count()
+        if many:
+            tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
+            found = verified(pairs.select("a", "b"), docs, single, gram, bound, hot)
+            new = found.count()
+            links = found if links is None else links.unionByName(found)
+            if new:
+                labels = base.stored(base.components(links.select("a", "b")).select(F.col("node").alias("set"), F.col("component").alias("label")), "labels")
+        if last:
             break
-        one = pairs.select("lo", "hi")
-        tested = one if tested is None else tested.unionByName(one)
-        found = base.stored(verified(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), known, bound), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = base.stored(base.components(links.select("a", "b")).select(F.col("node").alias("set"), F.col("component").alias("label")), "labels")
-    rows = members.join(labels, "set", "left") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
+        last = not many or new < WORTH * many
+    rows = members.join(base.sendable(labels, 16), "set", "left") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
     rows = rows.withColumn("_class", F.coalesce("label", "set"))
     least = rows.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "_class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
