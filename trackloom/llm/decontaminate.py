@@ -7,7 +7,7 @@ meets every block, so a benchmark of any size takes bounded memory. Words are co
 
 Defined results: a null or empty text or item has no words and matches nothing; so does an item of fewer than LEAST words.
 Ties between tiles of one length go to the earliest place in the document, then in the item; between items, to the smaller
-item_id. Repeated documents are judged alike, repeated items (one id) each by itself. Empty tables give no contaminated rows. Extra columns
+item_id. Rows of one doc_id share the verdict of `judge`; repeated items (one id) are tiled each by itself. Empty tables give no contaminated rows. Extra columns
 pass through the filter. Texts are tiled whole.
 """
 
@@ -154,10 +154,10 @@ class Items:
         return out
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS):
+def blocks(benchmark: DataFrame, most: int | None = None):
     """The items in blocks of bounded size, one block at a time on the driver."""
     rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    bytes_, here, size = 8 * most, [], 0
+    bytes_, here, size = 8 * (most or BLOCK_WORDS), [], 0
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         here.append(row)
         size += len(row.text)
@@ -197,7 +197,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A document's own pairs meet in its task; documents and their verdicts meet by a join on the small side of the found pairs.
     """
-    found = leaks(docs, benchmark).withColumn("share", F.col("covered") / F.col("item_words"))
+    found = leaks(docs, benchmark).withColumn("share", F.try_divide("covered", "item_words"))
     found = base.stored(found.groupBy("doc_id").agg(F.max("share").alias("coverage"), F.array_sort(F.collect_set("item_id")).alias("items")), "leaks")
     rows = docs.select("doc_id").alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
     return rows.select("d.doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))

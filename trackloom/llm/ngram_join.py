@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import shipping
@@ -252,6 +252,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near duplicates (five words, 0.8) the document with the least doc_id stays."""
-    keep = base.stored(classes(docs).filter("doc_id = component_id or component_id is null").select("doc_id").distinct(), "keep")
-    return docs.join(base.sendable(keep, 16), "doc_id", "left_semi")
+    """Pipeline stage: of each class of near duplicates (five words, 0.8) the document with the least doc_id stays. Rows of one
+    doc_id count as one document, of which the row with the least text stays; rows without a doc_id stay."""
+    found = base.stored(classes(docs), "classes")
+    keep = base.stored(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "keep")
+    kept = docs.join(base.sendable(keep.select("doc_id"), 16), "doc_id", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    twice = base.stored(keep.filter("rows > 1").select("doc_id"), "twice")
+    if twice.limit(1).count():
+        several, at = kept.join(base.sendable(twice, 16), "doc_id", "left_semi"), base.free(docs, "_k")
+        one = several.withColumn(at, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(at) == 1).drop(at)
+        kept = kept.join(base.sendable(twice, 16), "doc_id", "left_anti").unionByName(one.select(*(f"`{c}`" for c in docs.columns)))
+    return kept.select(*(f"`{c}`" for c in docs.columns)).unionByName(docs.filter("doc_id is null"))

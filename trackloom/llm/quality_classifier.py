@@ -142,4 +142,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
     model = fit(base.table(spark, sf_dir, "documents"), base.table(spark, sf_dir, "labels"), learn=lambda doc_id: fold(doc_id) != 0)
-    return scored(docs, model, output="_score").filter(F.col("_score") >= THRESHOLD).drop("_score")
+    name = base.free(docs, "_score")
+    return scored(docs, model, output=name).filter(F.col(name) >= THRESHOLD).drop(name)

@@ -136,11 +136,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         whole = joined.withColumn("text", text).select("file", F.col("start").alias("offset"), F.sha1(F.expr("substring(text, cast(begin - start + 1 as int), cast(length as int))")).alias("_digest"))
         kept = kept.join(whole, ["file", "offset"], "left").withColumn("digest", F.coalesce("digest", "_digest")).drop("_digest")
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:(-?[0-9]*)>', 1) as bigint)")
-    kept = kept.select(number("id").alias("page_id"), F.col("length").alias("n"), "digest", "type", number("refers").alias("refers_to"))
-    full = kept.filter("type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("n").alias("_n"), F.col("digest").alias("_digest")).dropDuplicates(["refers_to"])
-    named = kept.filter("type = 'revisit'").select("refers_to").distinct()
-    out = kept.join(full.join(named, "refers_to", "left_semi"), "refers_to", "left")
-    return out.select("page_id", F.when(F.col("type") == "revisit", F.col("_n")).otherwise(F.col("n")).cast("long").alias("payload_bytes"), F.when(F.col("type") == "revisit", F.col("_digest")).otherwise(F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    kept = kept.select(number("id").alias("page_id"), F.col("length").alias("n"), "digest", "type", number("refers").alias("refers_to"), F.regexp_extract("told", "^sha1:([0-9a-f]{40})$", 1).alias("told"))
+    # A revisit takes length and digest from the response it names, if that has the payload it tells of.
+    full = kept.filter("type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("digest").alias("told"), F.col("n").alias("_n"), F.col("digest").alias("_digest"))
+    named = kept.filter("type = 'revisit'").select("refers_to", "told").distinct()
+    full = full.join(named, ["refers_to", "told"], "left_semi").dropDuplicates(["refers_to", "told"])
+    again = F.col("type") == "revisit"
+    out = kept.join(full, ["refers_to", "told"], "left")
+    return out.select("page_id", F.when(again, F.col("_n")).otherwise(F.col("n")).cast("long").alias("payload_bytes"), F.when(again, F.col("_digest")).otherwise(F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 
 def _pieces(every: DataFrame, torn: DataFrame) -> DataFrame:
