@@ -39,8 +39,9 @@ CENTRES = 3
 WORTH = 0.1
 #: Ranges of the hash in which the shingles of a set are counted; the sum of the smaller counts bounds the overlap of two sets.
 BINS = 64
-#: Most partners in one trie.
+#: Most partners in one trie, and most sets of one shingle whose pairs one task looks at; larger groups meet block by block.
 PARTNERS = 512
+BLOCK = 4096
 _HOT_BIT = np.uint64(1 << 63)
 
 
@@ -159,6 +160,75 @@ def verified(pairs: DataFrame, docs: DataFrame, sources: DataFrame, gram: int, b
     return out
 
 
+def crossing(rows: DataFrame, bound: Bound) -> DataFrame:
+    """lo, hi: pairs of sets of different labels that share a shingle and whose sizes and bins allow a link.
+
+    rows: token, set, n, label, bins. Sets of one shingle lie side by side in a sorted partition and are compared there, so no row
+    is made for a pair that the bounds rule out. A shingle of more than BLOCK sets is cut into blocks; each two blocks meet in
+    a task of their own.
+    """
+    sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    rows = rows.join(base.sendable(base.stored(sizes, "blocks"), 16), "token", "left").withColumn("own", F.pmod(F.xxhash64("set"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    rows = rows.withColumn("_o", other).select("token", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "set", "n", "label", "bins")
+    rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "set")
+
+    def within(own, sets_, n, label, bins, free):
+        """Pairs of one group by rows: each row with those after it."""
+        out, block = [], own[0] == own[-1] and (own == own[0]).all()
+        for k in range(len(sets_) - 1):
+            rest = slice(k + 1, None)
+            fit = (label[rest] != label[k]) & (sets_[rest] != sets_[k]) & (bound.den * np.minimum(n[rest], n[k]) >= bound.num * np.maximum(n[rest], n[k]))
+            if not block:
+                fit &= own[rest] != own[k]
+            at = np.flatnonzero(fit) + k + 1
+            if len(at):
+                most = np.minimum(bins[at], bins[k]).sum(axis=1)
+                at = at[(most >= bound.overlap(n[at], n[k])) | free[at] | free[k]]
+                out.append(np.column_stack([np.full(len(at), sets_[k]), sets_[at]]))
+        return out
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            yield from spent(held, False)
+            held = remainder(held)
+        if held is not None:
+            yield from spent(held, True)
+
+    def cuts(batch):
+        keys = [np.asarray(batch.column(c)) for c in ("token", "i", "j")]
+        new = np.zeros(batch.num_rows, bool)
+        new[:1] = True
+        for x in keys:
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    def remainder(batch):
+        at = cuts(batch)
+        return batch.slice(at[-1]) if len(at) else None
+
+    def spent(batch, all_of_it):
+        at = cuts(batch)
+        ends = [*at[1:], batch.num_rows] if all_of_it else at[1:]
+        if not len(ends):
+            return
+        own, sets_, n, label = (np.asarray(batch.column(c)) for c in ("own", "set", "n", "label"))
+        free = np.asarray(batch.column("bins").is_null())
+        flat = np.zeros((batch.num_rows, BINS), np.int32)
+        known = batch.column("bins").drop_null()
+        flat[~free] = np.asarray(known.flatten()).reshape(-1, BINS)
+        out = []
+        for x, y in zip(at, ends):
+            out += within(own[x:y], sets_[x:y], n[x:y], label[x:y], flat[x:y], free[x:y])
+        if out:
+            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo", "hi"])
+
+    return base.map_arrow(rows, run, "lo long, hi long").distinct()
+
+
 def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of docs."""
     bound = Bound(num, den)
@@ -197,7 +267,7 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
         tokens = shared(prefixes)
         if few:
             break
-    meet = prefixes.select("set", "n", F.explode("tokens").alias("token")).join(base.sendable(tokens.select("token"), 8), "token", "left_semi")
+    meet = prefixes.select("set", "n", F.explode("tokens").alias("token")).join(base.sendable(tokens, 8), "token")
     meet = base.stored(meet, "meet")
     bins = prefixes.join(base.sendable(base.stored(meet.select("set").distinct(), "names"), 8), "set", "left_semi").select("set", "bins")
     bins = base.stored(bins, "bins")
@@ -210,6 +280,9 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
             now = meet.withColumn("label", F.col("set"))
         else:
             now = meet.join(base.sendable(labels, 16), "set", "left").withColumn("label", F.coalesce("label", "set"))
+        if turn:
+            # Of two sets that share a shingle, one was the centre of the first turn, so that pair is settled.
+            now = now.filter("many > 2")
             mixed = base.stored(now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token"), "mixed")
             now = now.join(base.sendable(mixed, 8), "token", "left_semi")
         if not last:
@@ -217,20 +290,20 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
             at = F.struct(F.xxhash64("set", F.lit(turn)).alias("h"), "set", "n", "label")
             centre = now.groupBy("token").agg(F.min(at).alias("c"))
             pairs = now.join(centre, "token").filter("c.label <> label").select(F.col("c.set").alias("u"), F.col("c.n").alias("m"), F.col("set").alias("v"), "n")
+            pairs = pairs.filter((den * F.least("m", "n") >= num * F.greatest("m", "n")) & (F.col("u") != F.col("v")))
+            pairs = pairs.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v"), "size": F.col("m") + F.col("n")}).groupBy("lo", "hi").agg(F.min("u").alias("a"), F.first("size").alias("size"))
+            # An upper bound of the overlap from the bins: what cannot reach the least overlap goes no further.
+            for side in ("lo", "hi"):
+                pairs = pairs.join(bins.select(F.col("set").alias(side), F.col("bins").alias(f"{side}_bins")), side)
+            most = F.aggregate(F.zip_with("lo_bins", "hi_bins", lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda p, q: p + q)
+            pairs = pairs.filter(F.coalesce(most * (num + den) >= F.col("size") * num, F.lit(True))).select("lo", "hi", "a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
         else:
-            x, y = now.alias("x"), now.alias("y")
-            pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.set").alias("u"), F.col("x.n").alias("m"), F.col("y.set").alias("v"), F.col("y.n").alias("n"))
-        pairs = pairs.filter((den * F.least("m", "n") >= num * F.greatest("m", "n")) & (F.col("u") != F.col("v")))
-        pairs = pairs.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v"), "size": F.col("m") + F.col("n")}).groupBy("lo", "hi").agg(F.min("u").alias("a"), F.first("size").alias("size"))
-        # An upper bound of the overlap from the bins: what cannot reach the least overlap goes no further.
-        for side in ("lo", "hi"):
-            pairs = pairs.join(bins.select(F.col("set").alias(side), F.col("bins").alias(f"{side}_bins")), side)
-        most = F.aggregate(F.zip_with("lo_bins", "hi_bins", lambda p, q: F.least(p, q).cast("int")), F.lit(0), lambda p, q: p + q)
-        pairs = pairs.filter(F.coalesce(most * (num + den) >= F.col("size") * num, F.lit(True))).select("lo", "hi", "a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+            pairs = crossing(now.join(bins, "set"), bound).select("lo", "hi", F.col("lo").alias("a"), F.col("hi").alias("b"))
         if tested is not None:
             pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
         pairs = base.stored(pairs, "candidates")
         many = pairs.count()
+        new = 0
         if many:
             tested = pairs.select("lo", "hi") if tested is None else tested.unionByName(pairs.select("lo", "hi"))
             found = verified(pairs.select("a", "b"), docs, single, gram, bound, hot)
@@ -240,7 +313,7 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
                 labels = base.stored(base.components(links.select("a", "b")).select(F.col("node").alias("set"), F.col("component").alias("label")), "labels")
         if last:
             break
-        last = not many or new < WORTH * many
+        last = new < WORTH * max(many, 1)
     rows = members.join(base.sendable(labels, 16), "set", "left") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
     rows = rows.withColumn("_class", F.coalesce("label", "set"))
     least = rows.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("least"))
