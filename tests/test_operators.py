@@ -250,3 +250,40 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("slices").agg(F.sum("n")).first()[0] == 50
+
+
+@pytest.mark.parametrize("lateral", ["free", "smooth"])
+def test_centreline_of_a_synthetic_track(spark, lateral):
+    from trackloom.plans import centreline as c
+
+    pts, truth = c.synthetic(spark)
+    got = c.centreline(pts, c.Config(lateral=lateral)).orderBy("slice").toPandas()
+    a = np.radians(28)
+    d = np.column_stack([got["x"] - 100, got["y"] + 30])
+    s, t = d @ [np.cos(a), np.sin(a)], d @ [-np.sin(a), np.cos(a)]
+    miss = t - np.interp(s, truth[:, 0], truth[:, 1])
+    assert len(got) > 10 and np.sqrt((miss**2).mean()) < 0.25 and s.max() - s.min() > 20
+
+
+def test_single_rail_is_inferred():
+    import pandas as pd
+
+    from trackloom.plans import centreline as c
+
+    both = [{"left_at": -0.75, "right_at": 0.75, "pair_score": 5.0}]
+    peaks = [{"at": -0.75, "score": 5.0}, {"at": 0.75, "score": 5.0}]
+    rows = pd.DataFrame([(0, 0, 0.0, 100, 0.0, -9.0, 9.0, peaks, both), (0, 1, 1.0, 100, 0.0, -9.0, 9.0, peaks[:1], None), (0, 2, 2.0, 100, 0.0, -9.0, 9.0, None, None)], columns=["track", "slice", "s", "n", "z", "t_low", "t_high", "peaks", "pairs"])
+    got = c.choose(rows, c.Config())
+    assert got["pair_mode"].tolist() == ["dual", "single_left"] and got["t"].tolist() == [0.0, 0.0]
+
+
+def test_stages(spark, tmp_path):
+    from trackloom.plans import stages as st
+
+    plan = [st.Stage("a", lambda s, t: s.range(3)), st.Stage("b", lambda s, t: t["a"].filter("id > 0"), ("a",))]
+    status = lambda **k: [e["status"] for e in st.run(spark, plan, str(tmp_path), **k)]
+    assert status(dry=True) == ["planned", "planned"]
+    assert status(stop_after="a") == ["run", "skipped"]
+    assert status() == ["kept", "run"] and spark.read.parquet(str(tmp_path / "b")).count() == 2
+    with pytest.raises(ValueError):
+        st.check(plan[::-1])

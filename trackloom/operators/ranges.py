@@ -47,8 +47,13 @@ def nearest(points: DataFrame, targets: DataFrame, radius: float, key: str, targ
 def near_segments(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
     """Points (x, y) with each segment (ax, ay, bx, by) within the radius, the distance and the share along the segment."""
     a = points.withColumns({"_cx": F.floor(F.col("x") / radius), "_cy": F.floor(F.col("y") / radius)})
-    box = [F.least("ax", "bx") - radius, F.greatest("ax", "bx") + radius, F.least("ay", "by") - radius, F.greatest("ay", "by") + radius]
-    b = segments.withColumn("_cx", F.explode(cells(box[0], box[1], radius))).withColumn("_cy", F.explode(cells(box[2], box[3], radius)))
+    # A segment goes to the cells along it, not to all of its bounding box: per column of cells, the rows between its heights there.
+    b = segments.withColumn("_cx", F.explode(cells(F.least("ax", "bx") - radius, F.greatest("ax", "bx") + radius, radius)))
+    run = F.col("bx") - F.col("ax")
+    clip = lambda u: F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0))
+    u0, u1 = (F.when(run == 0, F.lit(float(k))).otherwise(clip(F.try_divide((F.col("_cx") + 2 * k) * radius + (-radius if k == 0 else 0.0) - F.col("ax"), run))) for k in (0, 1))
+    y0, y1 = (F.col("ay") + u * (F.col("by") - F.col("ay")) for u in (u0, u1))
+    b = b.withColumn("_cy", F.explode(cells(F.least(y0, y1) - radius, F.greatest(y0, y1) + radius, radius)))
     distance, share = segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return a.join(b, ["_cx", "_cy"]).withColumns({"distance": distance, "share": share}).filter(F.col("distance") <= radius).drop("_cx", "_cy")
 

@@ -313,3 +313,108 @@ def station_ground(spark, d):
 @query("offset_score")
 def offset_score(spark, d):
     return aggregates.offset_score(points(spark, d), [k * 0.1 for k in range(-5, 6)], 2.0)
+
+
+@query("centreline")
+def centreline(spark, d):
+    """Line items as one cloud per return flag: stations along the order key, rails by the parity of the line."""
+    from .centreline import Config, detections
+
+    t = table(spark, d, "lineitem")
+    rail = F.when(F.col("l_linenumber") % 2 == 0, 0.75).otherwise(-0.75)
+    pts = t.select(F.col("l_returnflag").alias("track"), (F.col("l_orderkey") % 2000).cast("double").alias("s"), (rail + F.col("l_discount") - 0.05).alias("t"), F.col("l_tax").alias("z"))
+    found = detections(pts, Config(slice_length=25.0, bin_size=0.05, gauge=1.5))
+    return found.select("track", "slice", r("t", 4).alias("t"), "pair_mode")
+
+
+@query("support_metrics")
+def support_metrics(spark, d):
+    from ..operators import lines
+
+    v = vertices(spark, d).filter("y < 30")
+    samples_ = lines.sampled(v, 2.0)
+    c = table(spark, d, "supplier").select((F.col("s_acctbal") % 50).alias("ax"), (F.col("s_suppkey") % 30).cast("double").alias("ay"))
+    seg = c.select("ax", "ay", (F.col("ax") + 3).alias("bx"), (F.col("ay") + 4).alias("by"))
+    return lines.support(samples_, seg, 2.0, 2.0, ["line_id"]).select("line_id", r("support_ratio", 4).alias("support_ratio"), "n_samples", "max_unsupported")
+
+
+@query("snap_targets")
+def snap_targets(spark, d):
+    from ..operators import lines, ranges
+
+    v = vertices(spark, d)
+    w = Window.partitionBy("line_id").orderBy("seq")
+    ends = v.withColumns({"_a": F.lag("seq").over(w).isNull(), "_b": F.lead("seq").over(w).isNull()}).filter("_a or _b")
+    ends = ends.select((F.col("line_id") * 10 + F.col("seq")).alias("point_id"), "line_id", "x", "y")
+    return lines.snap_targets(ends, ranges.segments_of(v), ends.select("line_id", "x", "y"), 1.0).select("point_id", "to_end", "other", r("distance").alias("distance"))
+
+
+@query("junction_split")
+def junction_split(spark, d):
+    cuts = vertices(spark, d).groupBy("line_id").agg(F.avg("x").alias("station"))
+    return graph.split_at_junctions(vertices(spark, d), cuts).select("line_id", "segment", r("s", 4).alias("s"), r("x", 4).alias("x"), r("y", 4).alias("y"))
+
+
+@query("curvature_radius")
+def curvature_radius(spark, d):
+    return seq.quadratic_curvature(samples(spark, d), ["track"], "station", "offset", 300).select("id", r("radius", 2).alias("radius"))
+
+
+@query("pixel_features")
+def pixel_features(spark, d):
+    p = table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 64).alias("row"), (F.col("l_partkey") % 64).alias("col")).agg(F.avg("l_tax").alias("r"), F.avg("l_discount").alias("g"), F.avg("l_quantity").alias("b"))
+    return raster.features(p, []).select("row", "col", *(r(c, 4).alias(c) for c in ("sobel_x", "sobel_y", "spread", "line")))
+
+
+@query("monotone_slack")
+def monotone_slack(spark, d):
+    return seq.monotone_slack(samples(spark, d), ["track"], "station", "offset", 5.0)
+
+
+@query("tapered_ends", f"WITH {S}, e AS (SELECT *, station - min(station) OVER (PARTITION BY track) AS a, max(station) OVER (PARTITION BY track) - station AS b, first_value(\"offset\") OVER w AS f, last_value(\"offset\") OVER w AS l FROM s WINDOW w AS (PARTITION BY track ORDER BY station ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT id, round(\"offset\" + (10 - f) * least(1, greatest(0, 1 - a / 2000)) + (20 - l) * least(1, greatest(0, 1 - b / 2000)), 5) AS v FROM e")
+def tapered_ends(spark, d):
+    return samples(spark, d).select("id", r(seq.tapered(F.col("offset"), ["track"], "station", F.lit(10.0), F.lit(20.0), 2000.0)).alias("v"))
+
+
+@query("tangents", f"WITH {V}, g AS (SELECT line_id, seq, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy FROM v WINDOW w AS (PARTITION BY line_id ORDER BY seq)) SELECT line_id, seq, round(CASE WHEN dx = 0 AND dy = 0 THEN 1 ELSE dx / sqrt(dx * dx + dy * dy) END, 5) AS tx, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE dy / sqrt(dx * dx + dy * dy) END, 5) AS ty FROM g")
+def tangents(spark, d):
+    return seq.tangents(vertices(spark, d), ["line_id"], "seq").select("line_id", "seq", r("tx").alias("tx"), r("ty").alias("ty"))
+
+
+@query("value_counts", "SELECT o_custkey AS track, o_orderstatus AS kind, count(*) AS n FROM orders GROUP BY ALL")
+def value_counts(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("track"), F.col("o_orderstatus").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("roles_with_totals", "SELECT o_orderstatus AS kind, o_orderpriority AS role, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
+def roles_with_totals(spark, d):
+    table(spark, d, "orders").createOrReplaceTempView("_orders")
+    return spark.sql("SELECT o_orderstatus AS kind, o_orderpriority AS role, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM _orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
+
+
+@query("kinds_pivot", "SELECT o_orderpriority AS role, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1")
+def kinds_pivot(spark, d):
+    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("role")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey")).fillna(0)
+
+
+@query("unmatched_keys", "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def unmatched_keys(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+
+
+@query("overlap_ratio", f"WITH {I} SELECT a.id AS a_id, b.id AS b_id, round(greatest(0, least(a.high, b.high) - greatest(a.low, b.low)) / greatest(least(a.high - a.low, b.high - b.low), 1e-9), 6) AS ratio FROM i a JOIN i b ON a.track = b.track AND a.id < b.id AND a.low <= b.high AND b.low <= a.high WHERE greatest(0, least(a.high, b.high) - greatest(a.low, b.low)) / greatest(least(a.high - a.low, b.high - b.low), 1e-9) >= 0.55")
+def overlap_ratio(spark, d):
+    from ..functions.scalars import overlap_ratio as ratio
+    from ..operators.ranges import interval_join
+
+    i = intervals(spark, d)
+    a = i.select("track", F.col("id").alias("a_id"), F.col("low").alias("a0"), F.col("high").alias("a1"))
+    b = i.select("track", F.col("id").alias("b_id"), F.col("low").alias("b0"), F.col("high").alias("b1"))
+    both = interval_join(a, b, ("a0", "b0"), ("a1", "b1"), 30.0, ["track"]).filter("a_id < b_id").withColumn("ratio", ratio(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")))
+    return both.filter("ratio >= 0.55").select("a_id", "b_id", r("ratio", 6).alias("ratio"))
+
+
+@query("greedy_matches")
+def greedy_matches(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("area"), (F.col("o_orderkey") % 97).alias("left"), (F.col("o_custkey") % 89).alias("right"), F.col("o_totalprice").alias("score"))
+    return dynamic.greedy_matches(o, ["area"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -28,4 +29,21 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Write `df` to the shared folder and read it back. The files survive lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    spark = None
+    for t in tables:
+        path = getattr(t, "_stored_at", None)
+        if path:
+            spark = t.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            t._stored_at = None
+    if spark:
+        gc.collect()
+        spark._jvm.System.gc()
