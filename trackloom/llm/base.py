@@ -1,13 +1,7 @@
-"""Shared pieces of the training-data operators: the cluster's shared folder, vectorised word splitting over Arrow
-batches, shingle hashes, and connected components that never leave the executors."""
+"""Shared pieces of the training-data operators: tables, vectorised word splitting over Arrow batches, shingle hashes."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,51 +11,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components as components
 from ..shipping import map_arrow as map_arrow
+from ..storage import discard as discard
+from ..storage import shared_dir as shared_dir
+from ..storage import stored as stored
 
 #: Words of the contracts: maximal runs of anything but ASCII white space.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else (tests, local mode) an own one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not found:
-        if current.isDefined():
-            return current.get()
-        found = tempfile.mkdtemp(prefix="trackloom-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-    if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write `df` to the shared folder and read it back. The files survive lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Delete stored tables that nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
-    spark = None
-    for t in tables:
-        path = getattr(t, "_stored_at", None)
-        if path:
-            spark = t.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-            t._stored_at = None
-    if spark:
-        gc.collect()
-        spark._jvm.System.gc()
-
-
 #: Most bytes of rows that are sent to every executor; a larger side is joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -157,29 +116,3 @@ def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
     if len(hashes) < n:
         return gram_hashes(hashes, len(hashes))
     return np.unique(gram_hashes(hashes, n))
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node in `edges` (a, b): the smallest node reachable.
-
-    Large-star and small-star alternate until nothing moves: each node links to the smallest neighbour, so a path of any
-    length closes in a logarithmic number of rounds. All steps are joins and min aggregates; only a count reaches the driver.
-    """
-    edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        own = low.filter("m < u").select("u", F.col("m").alias("v"))
-        large = large.unionByName(own).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        after = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        sums = [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (edges, after)]
-        edges = after
-        if tuple(sums[0]) == tuple(sums[1]):
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    star = edges.groupBy("u").agg(F.min("v").alias("component"))
-    return star.select(F.col("u").alias("node"), "component").unionByName(star.select("component").distinct().select(F.col("component").alias("node"), "component"))
