@@ -29,11 +29,12 @@ THRESHOLD = 0.3
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    #: Differences and the share of label 1 at each; both rise.
+    at: tuple[float, ...]
+    share: tuple[float, ...]
 
     def probability(self, difference: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.intercept, -60, 60)))
+        return np.interp(difference, self.at, self.share)
 
 
 def blocks(text: bytes) -> list[bytes]:
@@ -63,17 +64,19 @@ def dictionary(parts: list[bytes]) -> bytes:
         return b"".join(parts)[-DICTIONARY:] or b" " * 8
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float, float]:
-    """Newton's method with targets smoothed as Platt does, on one input."""
-    pos, neg = (y == 1).sum(), (y == 0).sum()
-    target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    scale = float(x.std()) or 1.0
-    design, w = np.column_stack([x / scale, np.ones_like(x)]), np.zeros(2)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-design @ w))
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), design.T @ (p - target) + 1e-3 * w)
-        w -= np.clip(step, -5, 5)
-    return float(w[0] / scale), float(w[1])
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Isotonic calibration: shares of label 1 that rise with the difference, by pooling neighbours that fall; smoothed by one row of
+    either label, and straight between the means of the pools."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []  # rows, rows of label 1, sum of x
+    for at, one in zip(x[order], y[order], strict=True):
+        pools.append([1, float(one), float(at)])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
+    n, ones, total = np.array(pools).T
+    share = np.maximum.accumulate((ones + 1) / (n + 2))
+    return tuple((total / n).tolist()), tuple(share.tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn=None, labelled: int = LABELLED, most_blocks: int = BLOCKS) -> Model:
@@ -98,14 +101,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, labelled: int = LABELLED
     if not parts[0] or not parts[1]:
         row = own.agg(F.sum("_label"), F.count("*")).first()
         share = (row[0] / row[1]) if row[1] else 0.5
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(b" " * 8, b" " * 8, 0.0, float(np.log(share / (1 - share))))
+        return Model(b" " * 8, b" " * 8, (0.0,), (float(share),))
     good, bad = dictionary(parts[1]), dictionary(parts[0])
-    seen = scored(texts.filter("_use = 1").select("_label", F.col("_text").cast("string").alias("text")), Model(good, bad, 1.0, 0.0), raw="_difference").select("_label", "_difference").orderBy("_difference").limit(4 * labelled).toPandas()
-    x, y = seen["_difference"].to_numpy(float), seen["_label"].to_numpy(int)
+    seen = scored(texts.filter("_use = 1").select("_label", F.col("_text").cast("string").alias("text")), Model(good, bad, (), ()), raw="_difference").select("_label", "_difference").orderBy("_difference").limit(4 * labelled).toArrow()
+    x, y = seen.column("_difference").to_numpy().astype(float), seen.column("_label").to_numpy().astype(int)
     if len(set(y)) < 2:
-        return Model(good, bad, 50.0, 0.0)
-    return Model(good, bad, *fit_logistic(x, y))
+        return Model(good, bad, (-0.1, 0.1), (0.0, 1.0))
+    return Model(good, bad, *calibrate(x, y))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", output: str = "score", raw: str | None = None) -> DataFrame:
