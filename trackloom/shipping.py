@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
@@ -36,10 +39,25 @@ def ship(spark: SparkSession) -> None:
         _made[app] = app
 
 
+def _release() -> None:
+    """Give freed memory back to the system: a Python worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow for functions of this package."""
+    """mapInArrow for functions of this package. A task leaves no memory behind but what the function keeps on purpose."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(lean, schema)
 
 
 def map_groups(grouped, run, schema, spark: SparkSession) -> DataFrame:
