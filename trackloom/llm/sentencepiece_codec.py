@@ -28,7 +28,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
 MARK = "▁"
 #: Stretches whose ids a task remembers at once.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _loaded: dict = {}
 
 
@@ -130,6 +130,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", check: s
             column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(coded) if coded else [], pa.int32()), mask=missing)
             same = [pa.array([None if x is None else codec.decode(y.tolist()) == x for x, y in zip(texts, coded, strict=True)], pa.bool_())] if check else []
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), column, *same], names=[*(f.name for f in kept), *(f.name for f in new)])
+        codec.memory.clear()
 
     return base.map_arrow(docs, run, T.StructType([*kept, *new]))
 
