@@ -418,3 +418,22 @@ def overlap_ratio(spark, d):
 def greedy_matches(spark, d):
     o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("area"), (F.col("o_orderkey") % 97).alias("left"), (F.col("o_custkey") % 89).alias("right"), F.col("o_totalprice").alias("score"))
     return dynamic.greedy_matches(o, ["area"])
+
+
+@query("stream_slices", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, floor(value / 50)::BIGINT AS bin, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_slices(spark, d):
+    """The histogram per day, as a stream that takes what is there and ends; state and output are kept in the shared folder."""
+    import uuid
+
+    from ..storage import shared_dir
+    from ..streaming.twins import slice_counts
+
+    place = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), "value")
+    counts = slice_counts(rows, "ts", "1 day", "1 day", "value", 50.0)
+    name = f"slices_{uuid.uuid4().hex}"
+    q = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).format("memory").queryName(name).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "bin", "n")
