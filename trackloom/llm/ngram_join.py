@@ -31,14 +31,17 @@ from . import base
 
 #: Sets that share a shingle of their prefixes from which on the shingle goes to the end of the order. It steers costs, not results.
 HOT = 16
-#: Times at most that hot shingles are looked for; each time their sets get new prefixes. It ends when few sets (SETTLED of all) move.
-REORDERED = 3
-SETTLED = 0.05
+#: Times at most that hot shingles are looked for; each time the sets get new prefixes.
+REORDERED = 2
+#: Shingles kept beyond a set's prefix, as a share of it and at least; so most new prefixes need no second look at the texts.
+SPARE, LEAST_SPARE = 0.5, 8
 #: Rounds of centres at most for groups that fall into several classes, before all that is left meets. They end when few pairs (WORTH of them) are linked.
 CENTRES = 3
 WORTH = 0.1
 #: Ranges of the hash in which the shingles of a set are counted; the sum of the smaller counts bounds the overlap of two sets.
 BINS = 64
+#: Shingles of a set by which a pair that shares several is told apart from one met before; more would only save repeated pairs.
+SEEN = 32
 #: Most partners in one trie, and most sets of one shingle whose pairs one task looks at; larger groups meet block by block.
 PARTNERS = 512
 BLOCK = 4096
@@ -75,8 +78,12 @@ def sets_of(texts: pa.Array, gram: int):
     """Sorted shingle sets (63-bit) of a slice of texts."""
     split = base.Words(texts, lower=True)
     hashes = split.hashes()
-    for a, b in zip(split.starts[:-1], split.starts[1:], strict=True):
-        yield np.unique(base.shingle_set(hashes[a:b], gram) >> np.uint64(1))
+    grams = base.gram_hashes(hashes, gram) >> np.uint64(1)
+    for a, b in zip(split.starts[:-1].tolist(), split.starts[1:].tolist(), strict=True):
+        if b - a >= gram:
+            yield np.unique(grams[a : b - gram + 1])
+        else:
+            yield base.shingle_set(hashes[a:b], gram) >> np.uint64(1)
 
 
 def identity(tokens: np.ndarray) -> int:
@@ -85,26 +92,61 @@ def identity(tokens: np.ndarray) -> int:
         return int((base.mix(base.mix(tokens.sum(dtype=np.uint64)) + base.mix(tokens).sum(dtype=np.uint64)) + np.uint64(len(tokens))).astype(np.int64))
 
 
-def sets(docs: DataFrame, gram: int, bound: Bound, hot: np.ndarray | None = None, whole: bool = False) -> DataFrame:
-    """doc_id, set, n, bins, tokens of every row: the prefix of its set, or with `whole` all of it, in the global order."""
+SETS = "set long, n long, bins array<short>, tokens array<long>"
+
+
+def sets(docs: DataFrame, gram: int, bound: Bound, hot: np.ndarray | None = None, whole: bool = False, spare: bool = False) -> DataFrame:
+    """doc_id, set, n, bins, tokens of every row: the prefix of its set (and spare shingles after it) or, with `whole`, all of it, in
+    the global order."""
     sent = docs.sparkSession.sparkContext.broadcast(hot if hot is not None else np.zeros(0, np.uint64))
 
     def run(batches):
         hot = sent.value
         for batch in base.slices(batches):
             names, sizes, tokens, bins = [], [], [], []
-            for own in sets_of(batch.column("text"), gram):
-                own = ordered(own, hot)
-                names.append(identity(own & ~_HOT_BIT) if len(own) else None)
-                sizes.append(len(own))
-                count = np.bincount(((own & ~_HOT_BIT) >> np.uint64(57)).astype(np.int64), minlength=BINS)
+            for plain in sets_of(batch.column("text"), gram):
+                n = len(plain)
+                names.append(identity(plain) if n else None)
+                sizes.append(n)
+                count = np.bincount((plain >> np.uint64(57)).astype(np.int64), minlength=BINS)
                 bins.append(count.astype(np.int16) if count.max(initial=0) < 1 << 15 else None)
-                tokens.append((own if whole else own[: bound.prefix(len(own))] & ~_HOT_BIT if len(own) else own).view(np.int64))
+                own, first = ordered(plain, hot), bound.prefix(n) if n else 0
+                kept = n if whole else first + (max(LEAST_SPARE, int(SPARE * first)) if spare else 0)
+                tokens.append((own if whole else own[:kept] & ~_HOT_BIT).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tokens)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.list_(pa.int16())), lists], names=["doc_id", "set", "n", "bins", "tokens"])
 
-    return base.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set long, n long, bins array<short>, tokens array<long>")
+    return base.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SETS}")
+
+
+def prefixed(kept: DataFrame, bound: Bound, hot: np.ndarray) -> DataFrame:
+    """set, n, bins, tokens: prefixes in the order with `hot` last, from the kept shingles (in hash order) of sets; tokens are null where too
+    many of those are hot to tell."""
+    sent = kept.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        hot = sent.value
+        for batch in batches:
+            n = np.asarray(batch.column("n"))
+            lists = batch.column("tokens")
+            offsets = np.asarray(lists.offsets).astype(np.int64)
+            flat = np.asarray(lists.flatten()).astype(np.int64).view(np.uint64)
+            offsets = offsets - offsets[0]
+            at = np.minimum(np.searchsorted(hot, flat), max(len(hot) - 1, 0))
+            late = hot[at] == flat if len(hot) else np.zeros(len(flat), bool)
+            out = []
+            for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                first, own, bad = bound.prefix(int(n[k])), flat[a:b], late[a:b]
+                if not bad[:first].any():
+                    out.append(own[:first].view(np.int64))
+                elif b - a == n[k] or (b - a) - bad.sum() >= first:
+                    out.append(np.concatenate([own[~bad], own[bad]])[:first].view(np.int64))
+                else:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("set"), batch.column("n"), batch.column("bins"), pa.array(out, pa.list_(pa.int64()))], names=["set", "n", "bins", "tokens"])
+
+    return base.map_arrow(kept.select("set", "n", "bins", "tokens"), run, SETS)
 
 
 def trie_links(centre: np.ndarray, partners: list[np.ndarray], bound: Bound) -> list[int]:
@@ -164,16 +206,18 @@ def crossing(rows: DataFrame, bound: Bound) -> DataFrame:
     """lo, hi: pairs of sets of different labels that share a shingle and whose sizes and bins allow a link.
 
     rows: token, set, n, label, bins. Sets of one shingle lie side by side in a sorted partition and are compared there, so no row
-    is made for a pair that the bounds rule out. A shingle of more than BLOCK sets is cut into blocks; each two blocks meet in
+    is made for a pair that the bounds rule out, nor, as far as the first SEEN shingles of both tell, for one met at a smaller shingle. A shingle of more than BLOCK sets is cut into blocks; each two blocks meet in
     a task of their own.
     """
+    firsts = rows.groupBy("set").agg(F.slice(F.array_sort(F.collect_list("token")), 1, SEEN).alias("firsts"))
+    rows = rows.join(base.stored(firsts, "firsts"), "set")
     sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
     rows = rows.join(base.sendable(base.stored(sizes, "blocks"), 16), "token", "left").withColumn("own", F.pmod(F.xxhash64("set"), F.coalesce("blocks", F.lit(1))).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    rows = rows.withColumn("_o", other).select("token", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "set", "n", "label", "bins")
+    rows = rows.withColumn("_o", other).select("token", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "set", "n", "label", "bins", "firsts")
     rows = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "set")
 
-    def within(own, sets_, n, label, bins, free):
+    def within(token, own, sets_, n, label, bins, free, firsts):
         """Pairs of one group by rows: each row with those after it."""
         out, block = [], own[0] == own[-1] and (own == own[0]).all()
         for k in range(len(sets_) - 1):
@@ -185,6 +229,10 @@ def crossing(rows: DataFrame, bound: Bound) -> DataFrame:
             if len(at):
                 most = np.minimum(bins[at], bins[k]).sum(axis=1)
                 at = at[(most >= bound.overlap(n[at], n[k])) | free[at] | free[k]]
+            if len(at):
+                before = firsts[k][firsts[k] < token]
+                if len(before):
+                    at = at[~np.isin(firsts[at], before).any(axis=1)]
                 out.append(np.column_stack([np.full(len(at), sets_[k]), sets_[at]]))
         return out
 
@@ -219,9 +267,13 @@ def crossing(rows: DataFrame, bound: Bound) -> DataFrame:
         flat = np.zeros((batch.num_rows, BINS), np.int32)
         known = batch.column("bins").drop_null()
         flat[~free] = np.asarray(known.flatten()).reshape(-1, BINS)
+        token, lists = np.asarray(batch.column("token")), batch.column("firsts")
+        width = np.asarray(lists.value_lengths()).astype(np.int64)
+        firsts = np.full((batch.num_rows, SEEN), np.iinfo(np.int64).max)
+        firsts[np.repeat(np.arange(batch.num_rows), width), np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)] = np.asarray(lists.flatten())
         out = []
         for x, y in zip(at, ends):
-            out += within(own[x:y], sets_[x:y], n[x:y], label[x:y], flat[x:y], free[x:y])
+            out += within(token[x], own[x:y], sets_[x:y], n[x:y], label[x:y], flat[x:y], free[x:y], firsts[x:y])
         if out:
             pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["lo", "hi"])
@@ -233,18 +285,20 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of docs."""
     bound = Bound(num, den)
     docs = docs.select("doc_id", "text")
-    first = base.stored(sets(docs, gram, bound), "sets")
+    first = base.stored(sets(docs, gram, bound, spare=True), "sets")
     members = first.select("doc_id", "set", "n")
     single = base.stored(members.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id")), "single")
-    known_single = base.sendable(single, 16)
-    begun = first.join(known_single, ["set", "doc_id"], "left_semi").unionByName(first.join(known_single.filter("doc_id is null").select("set"), "set", "left_semi").filter("doc_id is null"))
-    how_many = single.count()
+    one = base.sendable(single, 16)
+    # One row of each set; rows without a doc_id count where no other row has their set.
+    begun = first.join(one, ["set", "doc_id"], "left_semi").unionByName(first.filter("doc_id is null").join(one.filter("doc_id is null").select("set"), "set", "left_semi"))
 
     def shared(prefixes: DataFrame) -> DataFrame:
         """token, many: the prefix shingles of two sets or more. Only shingles are shuffled, counted by tasks before."""
         return base.stored(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("many")).filter("many > 1"), "shared")
 
-    hot, moved_sets, prefixes, tokens = np.zeros(0, np.uint64), None, begun, shared(begun)
+    hot = np.zeros(0, np.uint64)
+    prefixes = base.stored(prefixed(begun, bound, hot), "prefixes")
+    tokens = shared(prefixes)
     for _ in range(REORDERED):
         least = HOT
         while tokens.filter(F.col("many") > least).count() * 8 > base.BROADCAST_BYTES:
@@ -253,20 +307,15 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
         if not len(np.setdiff1d(found, hot)) or (len(hot) + len(found)) * 8 > 4 * base.BROADCAST_BYTES:
             break
         hot = np.union1d(hot, found)
-        named = base.stored(tokens.filter(F.col("many") > least).select("token"), "hot")
-        moved = prefixes.select("set", "doc_id", F.explode("tokens").alias("token")).join(base.sendable(named, 8), "token", "left_semi").select("set", "doc_id").distinct()
-        moved = base.stored(moved, "moved")
-        few = moved.count() <= SETTLED * how_many
-        small = base.sendable(moved, 16)
+        before, told = prefixes, base.stored(prefixed(begun, bound, hot), "prefixes")
+        base.discard(before, tokens)
+        # Sets too full of hot shingles are made again from their texts.
+        full = base.stored(told.filter("tokens is null").select("set").join(single, "set"), "full")
+        small = base.sendable(full, 16)
         texts = docs.join(small.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
-        again = sets(texts, gram, bound, hot).join(small.select("set"), "set", "left_semi").dropDuplicates(["set"]).select(*first.columns)
-        kept = again if moved_sets is None else again.unionByName(moved_sets.join(small.select("set"), "set", "left_anti").select(*first.columns))
-        before, moved_sets = moved_sets, base.stored(kept, "prefixes")
-        base.discard(tokens, named, moved, before)
-        prefixes = begun.join(base.sendable(base.stored(moved_sets.select("set"), "names"), 8), "set", "left_anti").select(*first.columns).unionByName(moved_sets)
+        again = base.stored(sets(texts, gram, bound, hot).join(small.select("set"), "set", "left_semi").select("set", "n", "bins", "tokens").dropDuplicates(["set"]), "again")
+        prefixes = told.filter("tokens is not null").unionByName(again)
         tokens = shared(prefixes)
-        if few:
-            break
     meet = prefixes.select("set", "n", F.explode("tokens").alias("token")).join(base.sendable(tokens, 8), "token")
     meet = base.stored(meet, "meet")
     bins = prefixes.join(base.sendable(base.stored(meet.select("set").distinct(), "names"), 8), "set", "left_semi").select("set", "bins")
