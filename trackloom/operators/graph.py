@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import discard, stored
 from .ranges import near_points
 
 
@@ -25,8 +25,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        done, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = mark(edges)
+        both = low = large = least = small = None
+        discard(done)
         if after == before:
             break
         before = after
