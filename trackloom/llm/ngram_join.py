@@ -41,7 +41,7 @@ WORTH = 0.1
 #: Ranges of the hash in which the shingles of a set are counted; the sum of the smaller counts bounds the overlap of two sets.
 BINS = 64
 #: Shingles of a set by which a pair that shares several is told apart from one met before; more would only save repeated pairs.
-SEEN = 32
+SEEN = 8
 #: Most partners in one trie, and most sets of one shingle whose pairs one task looks at; larger groups meet block by block.
 PARTNERS = 512
 BLOCK = 4096
@@ -286,7 +286,7 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
     bound = Bound(num, den)
     docs = docs.select("doc_id", "text")
     first = base.stored(sets(docs, gram, bound, spare=True), "sets")
-    members = first.select("doc_id", "set", "n")
+    members = base.stored(first.select("doc_id", "set", "n"), "members")
     single = base.stored(members.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id")), "single")
     one = base.sendable(single, 16)
     # One row of each set; rows without a doc_id count where no other row has their set.
@@ -298,7 +298,7 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
 
     hot = np.zeros(0, np.uint64)
     prefixes = base.stored(prefixed(begun, bound, hot), "prefixes")
-    tokens = shared(prefixes)
+    written, tokens = [prefixes], shared(prefixes)
     for _ in range(REORDERED):
         least = HOT
         while tokens.filter(F.col("many") > least).count() * 8 > base.BROADCAST_BYTES:
@@ -307,20 +307,21 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
         if not len(np.setdiff1d(found, hot)) or (len(hot) + len(found)) * 8 > 4 * base.BROADCAST_BYTES:
             break
         hot = np.union1d(hot, found)
-        before, told = prefixes, base.stored(prefixed(begun, bound, hot), "prefixes")
-        base.discard(before, tokens)
+        base.discard(*written, tokens)
+        told = base.stored(prefixed(begun, bound, hot), "prefixes")
         # Sets too full of hot shingles are made again from their texts.
         full = base.stored(told.filter("tokens is null").select("set").join(single, "set"), "full")
         small = base.sendable(full, 16)
         texts = docs.join(small.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
         again = base.stored(sets(texts, gram, bound, hot).join(small.select("set"), "set", "left_semi").select("set", "n", "bins", "tokens").dropDuplicates(["set"]), "again")
-        prefixes = told.filter("tokens is not null").unionByName(again)
+        prefixes, written = told.filter("tokens is not null").unionByName(again), [told, again, full]
         tokens = shared(prefixes)
     meet = prefixes.select("set", "n", F.explode("tokens").alias("token")).join(base.sendable(tokens, 8), "token")
     meet = base.stored(meet, "meet")
     bins = prefixes.join(base.sendable(base.stored(meet.select("set").distinct(), "names"), 8), "set", "left_semi").select("set", "bins")
     bins = base.stored(bins, "bins")
-    base.discard(tokens)
+    begun = prefixes = told = again = None
+    base.discard(*written, tokens, first)
 
     links, tested, labels, last = None, None, None, False
     for turn in range(CENTRES + 2):
@@ -359,7 +360,9 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
             new = found.count()
             links = found if links is None else links.unionByName(found)
             if new:
-                labels = base.stored(base.components(links.select("a", "b")).select(F.col("node").alias("set"), F.col("component").alias("label")), "labels")
+                old, labels = labels, base.stored(base.components(links.select("a", "b")).select(F.col("node").alias("set"), F.col("component").alias("label")), "labels")
+                now = None
+                base.discard(old)
         if last:
             break
         last = new < WORTH * max(many, 1)
