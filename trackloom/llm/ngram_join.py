@@ -184,7 +184,8 @@ def verified(pairs: DataFrame, docs: DataFrame, sources: DataFrame, gram: int, b
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts")).filter("parts > 1")
     dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
     own = dealt.select("a", "part").distinct().select("a", F.col("a").alias("b"), "part")
-    rows = dealt.unionByName(own).join(known, "b").select("a", "part", "b", "tokens")
+    dealt = base.stored(dealt.unionByName(own), "dealt")
+    rows = known.join(base.sendable(dealt, 24), "b").select("a", "part", "b", "tokens")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         centre, kept = None, []
@@ -198,7 +199,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sources: DataFrame, gram: int, b
         return pd.DataFrame({"a": [int(group["a"].iloc[0])] * len(found), "b": [int(kept[k][0]) for k in found]}, dtype="int64")
 
     out = base.stored(shipping.map_groups(rows.groupBy("a", "part"), run, "a long, b long", pairs.sparkSession).distinct(), "links")
-    base.discard(known, wanted)
+    base.discard(known, wanted, dealt)
     return out
 
 
@@ -206,8 +207,8 @@ def crossing(rows: DataFrame, bound: Bound) -> DataFrame:
     """lo, hi: pairs of sets of different labels that share a shingle and whose sizes and bins allow a link.
 
     rows: token, set, n, label, bins. Sets of one shingle lie side by side in a sorted partition and are compared there, so no row
-    is made for a pair that the bounds rule out, nor, as far as the first SEEN shingles of both tell, for one met at a smaller shingle. A shingle of more than BLOCK sets is cut into blocks; each two blocks meet in
-    a task of their own.
+    is made for a pair that the bounds rule out, nor, as far as the first SEEN shingles of both tell, for one met at a smaller
+    shingle. A shingle of more than BLOCK sets is cut into blocks; each two blocks meet in a task of their own.
     """
     firsts = rows.groupBy("set").agg(F.slice(F.array_sort(F.collect_list("token")), 1, SEEN).alias("firsts"))
     rows = rows.join(base.stored(firsts, "firsts"), "set")
