@@ -126,6 +126,13 @@ def test_classes_of_odd_rows(spark, odd, none):
     assert ngram_join.classes(none).count() == 0
 
 
+def test_rows_without_id_are_linked(spark):
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, words), (None, words + " more"), (None, "quite another text without any partner at all"), (8, words + " more things")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {(7, 58): 7, (None, 59): 7, (8, 60): 7, (None, 6): None}
+
+
 def test_stage_keeps_one_of_each(spark, odd, none, sf):
     out = ngram_join.stage(spark, odd, sf)
     assert out.columns == odd.columns

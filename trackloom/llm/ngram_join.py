@@ -179,8 +179,9 @@ def verified(pairs: DataFrame, docs: DataFrame, sources: DataFrame, gram: int, b
     The sets are made again from the texts (sources: set, doc_id), for those in the pairs alone."""
     wanted = base.stored(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sources, "set"), "wanted")
     small = base.sendable(wanted, 16)
-    known = sets(docs.join(small.select("doc_id").distinct(), "doc_id", "left_semi"), gram, bound, hot, whole=True)
-    known = base.stored(known.join(small.select("set", "doc_id"), ["set", "doc_id"], "left_semi").select(F.col("set").alias("b"), "tokens"), "known")
+    texts = docs.join(small.filter("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    known = sets(texts, gram, bound, hot, whole=True).join(small.select("set"), "set", "left_semi")
+    known = base.stored(known.select(F.col("set").alias("b"), "tokens"), "known")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts")).filter("parts > 1")
     dealt = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
     own = dealt.select("a", "part").distinct().select("a", F.col("a").alias("b"), "part")
