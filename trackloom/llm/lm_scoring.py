@@ -1,4 +1,5 @@
-"""Language-model scoring by masked pseudo-likelihood: a small network over a window to both sides predicts every token from
+"""A small model of word classes, which tells words of a class apart by nothing; `piece_network` predicts every piece and is what the
+query op7 runs. Scoring by masked pseudo-likelihood: a small network over a window to both sides predicts every token from
 its neighbours; the summed conditional log-probabilities score a document.
 
 Tokens are word classes: the most frequent words of the corpus, hashed endings for the others, and one class for the edge
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,9 +174,3 @@ def scored(docs: DataFrame, words: list[str], net: Network, text: str = "text")
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(n, pa.int64()), pa.array(total), mean], names=[*(f.name for f in kept), *(f.name for f in new)])
 
     return base.map_arrow(docs, run, T.StructType([*kept, *new]))
-
-
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
-    words, net = fit(docs)
-    return scored(docs, words, net).drop("text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, line_dedup, lm_scoring, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, token_counts, warc
+from . import chat_format, decontaminate, line_dedup, ngram_join, piece_network, quality_classifier, quality_rules, sentencepiece_codec, token_counts, warc
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -11,7 +11,7 @@ QUERIES = {
     "op4_warc": warc.query,
     "op5_line_dedup": line_dedup.query,
     "op6_quality_classifier": quality_classifier.query,
-    "op7_lm_scoring": lm_scoring.query,
+    "op7_lm_scoring": piece_network.query,
     "op8_quality_rules": quality_rules.query,
     "op9_sentencepiece": sentencepiece_codec.query,
     "op10_decontaminate": decontaminate.query,
