@@ -193,6 +193,13 @@ def components(spark, d):
     return graph.components(t.select((F.col("l_orderkey") % 400).alias("a"), (400 + F.col("l_partkey") % 2000).alias("b")))
 
 
+@query("components_all")
+def components_all(spark, d):
+    """Every line item as an edge between its order (even nodes) and its part (odd nodes); recursive SQL cannot do it at this size."""
+    t = table(spark, d, "lineitem").filter("l_orderkey is not null and l_partkey is not null")
+    return graph.components(t.select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
+
+
 @query("occupancy", "WITH l AS (SELECT l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem) SELECT floor(x / 2)::BIGINT AS cx, floor(y / 2)::BIGINT AS cy, least(count(*), 65535)::BIGINT AS n FROM l GROUP BY 1, 2")
 def occupancy(spark, d):
     t = table(spark, d, "lineitem").select(F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
@@ -287,6 +294,13 @@ def row_runs(spark, d):
     return raster.row_peaks(p, [], 0.05).select("row", r("x").alias("x"), r("score").alias("score"), "width")
 
 
+@query("row_runs_all", "WITH p AS (SELECT l_orderkey AS row, l_linenumber AS col, max(l_discount) AS value FROM lineitem GROUP BY 1, 2), o AS (SELECT *, CASE WHEN col - lag(col) OVER (PARTITION BY row ORDER BY col) > 1 THEN 1 ELSE 0 END AS cut FROM p WHERE value >= 0.05), g AS (SELECT *, sum(cut) OVER (PARTITION BY row ORDER BY col) AS g FROM o) SELECT row, round(sum(col * value) / sum(value), 5) AS x, round(avg(value), 5) AS score, count(*) AS width FROM g GROUP BY row, g")
+def row_runs_all(spark, d):
+    """Every line item as a pixel: a row for each order, its lines side by side."""
+    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col")).agg(F.max("l_discount").alias("value"))
+    return raster.row_peaks(p, [], 0.05).select("row", r("x").alias("x"), r("score").alias("score"), "width")
+
+
 @query("rail_fusion")
 def rail_fusion(spark, d):
     s = samples(spark, d).select("track", "station", F.when(F.col("id") % 5 != 0, F.col("offset")).alias("left_z"), F.when(F.col("id") % 7 != 0, F.col("offset") + F.col("id") % 3 * 0.2).alias("right_z"))
@@ -331,8 +345,7 @@ def centreline(spark, d):
 def support_metrics(spark, d):
     from ..operators import lines
 
-    v = vertices(spark, d).filter("y < 30")
-    samples_ = lines.sampled(v, 2.0)
+    samples_ = lines.sampled(vertices(spark, d), 2.0)
     c = table(spark, d, "supplier").select((F.col("s_acctbal") % 50).alias("ax"), (F.col("s_suppkey") % 30).cast("double").alias("ay"))
     seg = c.select("ax", "ay", (F.col("ax") + 3).alias("bx"), (F.col("ay") + 4).alias("by"))
     return lines.support(samples_, seg, 2.0, 2.0, ["line_id"]).select("line_id", r("support_ratio", 4).alias("support_ratio"), "n_samples", "max_unsupported")
