@@ -128,6 +128,45 @@ def test_viterbi_against_all_splits():
         assert "".join(pieces[i] if i >= 0 else chr(-1 - i) for i in ids) == text
 
 
+def test_many_texts_against_one_pass_over_each_whole_text(monkeypatch):
+    """Cut into stretches, encoded side by side, against the plain Viterbi pass over the text as one stretch."""
+    rng = np.random.default_rng(11)
+    letters = list("abcé▁")
+    pieces = sorted({"▁" * rng.integers(0, 2) + "".join(rng.choice(letters[:4], n)) for n in (1, 2, 2, 3, 3, 4, 4, 5) for _ in range(6)} | {"a", "b", "▁", "▁▁", "語"})
+    scores = (rng.normal(-5, 2, len(pieces)) * 4).round() / 4  # sums are exact, so ties are
+    many = len(pieces)
+    codec = sentencepiece_codec.Codec([(p, float(s)) for p, s in zip(pieces, scores, strict=True)] + [(f"<0x{b:02X}>", 0.0) for b in range(256)], list(range(many, many + 256)))
+    assert codec.cut and codec.many_at_once.table is not None
+    signs = ["a", "b", "c", "é", " ", "  ", "\n", "▁", "語", "x", "🎉", "\t", "\x00"]
+    texts = [None, "", " ", "\n", "a" * 700, "▁"] + ["".join(rng.choice(signs, rng.integers(1, 60))) for _ in range(200)]
+
+    def whole(text):
+        out = []
+        for i in codec.viterbi((" " + text).replace("▁", sentencepiece_codec._OWN_MARK).replace(" ", "▁")) if text else []:
+            sign = "▁" if i == -1 - ord(sentencepiece_codec._OWN_MARK) else None
+            out += [i] if i >= 0 else [many + b for b in (sign or chr(-1 - i)).encode()]
+        return out
+
+    for long, together, table in ((200, 400_000, 1 << 26), (3, 50, 1 << 26), (200, 400_000, 10)):
+        monkeypatch.setattr(sentencepiece_codec, "LONG", long)
+        monkeypatch.setattr(sentencepiece_codec, "TOGETHER", together)
+        if table == 10:
+            codec.many_at_once.table = None
+        codec.memory.clear()
+        ids, starts = codec.encode(pa.array(texts, pa.string()))
+        got = [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])]
+        assert got == [whole(x) for x in texts]
+        assert [x.decode() for x in codec.decoded(ids, starts).to_pylist()] == [x or "" for x in texts]
+        assert [codec.decode(x) if x else "" for x in got] == [x or "" for x in texts]
+
+
+@needs_vocabularies
+def test_codec_stage_of_odd_rows(spark, odd, none, sf):
+    out = sentencepiece_codec.stage(spark, odd, sf)
+    assert out.count() == odd.count() and out.filter("not round_trip").count() == 0 and set(odd.columns) < set(out.columns)
+    assert sentencepiece_codec.stage(spark, none, sf).count() == 0
+
+
 def test_network_learns_and_sums(spark, docs):
     words = lm_scoring.vocabulary(docs)
     seen = lm_scoring.counts(docs, words).toPandas().sort_values("cell")
