@@ -18,7 +18,7 @@ def edit(a, b):
     return row[-1]
 
 
-def lines_by_force(rows):
+def lines_by_force(rows, bound=line_dedup.BOUND):
     """Removed line numbers of each (doc_id, text)."""
     seen, out = [], {}
     order = sorted({(d, t) for d, t in rows if t is not None}, key=lambda x: (x[0] is not None, x[0] or 0))
@@ -27,28 +27,57 @@ def lines_by_force(rows):
         for k, x in enumerate(t.split("\n")):
             if not x.strip(" \t\n\v\f\r"):
                 continue
-            if any(x == y or min(len(x), len(y)) >= line_dedup.LEAST and abs(len(x) - len(y)) < 2 and edit(x, y) <= 1 for y in seen):
+            if any(x == y or abs(len(x) - len(y)) <= bound and edit(x, y) <= bound for y in seen):
                 out[d, t].append(k)
             seen.append(x)
     return out
 
 
-def test_near_lines_against_force(spark):
-    r = random.Random(5)
-    stock = ["".join(r.choice("abé ") for _ in range(n)) for n in (15, 16, 17, 30, 31, 64, 90)]
+@pytest.mark.parametrize(("bound", "sizes"), [(1, (15, 16, 17, 30, 31, 64, 90)), (1, (1, 2, 3, 5, 8, 13)), (2, (1, 2, 3, 5, 9, 14, 23)), (3, (1, 4, 9, 12))])
+def test_near_lines_against_force(spark, monkeypatch, bound, sizes):
+    r = random.Random(5 + bound)
+    stock = ["".join(r.choice("abé ") for _ in range(n)) for n in sizes for _ in range(2)]
 
     def change(x):
+        if not x:
+            return "é"
         k, how = r.randrange(len(x)), r.randrange(4)
-        return [x, x[:k] + x[k + 1 :], x[:k] + "z" + x[k:], x[:k] + "q" + x[k + 1 :]][how]
-
-    rows = [(d, "\n".join(change(change(r.choice(stock)) if r.random() < 0.3 else r.choice(stock)) if r.random() < 0.9 else "  " for _ in range(6))) for d in range(40)]
-    got = {x.doc_id: x for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
-    expected = lines_by_force(rows)
-    assert sum(map(len, expected.values())) > 50
-    for d, t in rows:
-        gone = set(expected[d, t])
-        assert got[d].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-        assert got[d].n_removed == len(gone)
+        return [x, x[:k] + x[k + 1 :], x[:k] + r.choice("zyx") + x[k:], x[:k] + r.choice("qpo") + x[k + 1 :]][how]
+
+    def line():
+        x = r.choice(stock)
+        for _ in range(r.choice([0, 0, 1, 1, 2, bound + 1])):
+            x = change(x)
+        return x if r.random() < 0.9 else "  "
+
+    rows = [(d, "\n".join(line() for _ in range(5))) for d in range(40)]
+    monkeypatch.setattr(line_dedup, "CHUNK", 100)
+    for common, send in ((1_000_000, base.BROADCAST_BYTES), (3, 100)):
+        monkeypatch.setattr(line_dedup, "COMMON", common)
+        monkeypatch.setattr(base, "BROADCAST_BYTES", send)
+        if send == 100 and bound == 3:
+            continue
+        got = {x.doc_id: x for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), counts=True, bound=bound).collect()}
+        expected = lines_by_force(rows, bound)
+        assert sum(map(len, expected.values())) > 50
+        for d, t in rows:
+            gone = set(expected[d, t])
+            assert got[d].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+            assert got[d].n_removed == len(gone)
+
+
+def test_part_keys_lose_no_pair():
+    """Lines within the bound share a key, whatever their lengths."""
+    r = random.Random(8)
+    for bound in (1, 2, 3):
+        for _ in range(60):
+            x = y = "".join(r.choice("ab") for _ in range(r.randrange(1, 40)))
+            for _ in range(bound):
+                k = r.randrange(len(y) + 1)
+                y = r.choice([y[:k] + y[k + 1 :], y[:k] + "c" + y[k:], y[:k] + "d" + y[k + 1 :]]) or "c"
+            own = line_dedup.Running(pa.array([x, y], pa.large_string()))
+            for keys in [line_dedup.part_keys(own, bound)] + ([line_dedup.fine_keys(own)] if bound == 1 else []):
+                assert set(keys[0].as_py()) & set(keys[1].as_py())
 
 
 def test_lines_of_odd_rows(spark, odd, none):
