@@ -18,6 +18,7 @@ replaced. Texts are scored whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,12 @@ RATE, FIRST = 0.08, 8
 LEAST, MOST, DOUBLED, SCORED = 4096, 16384, 24, 16384
 #: Pieces whose hidden layer is made at once, so that it stays in a processor's cache.
 CACHED = 2048
+#: Pieces whose softmaxes are worked on at once, for the same reason.
+TRAINED = 2048
 #: Numbers in a block of moves.
 BLOCK = 4096
+#: Words whose pieces a process remembers, and the longest remembered, in bytes.
+REMEMBERED, SHORT = 300_000, 40
 SHIFTS = [k for k in range(-SIDE, SIDE + 1) if k]
 _loaded: dict = {}
 
@@ -54,14 +59,30 @@ class Pieces:
             raise ValueError(f"{path}: more than {FAN**3 - 1} pieces")
         names = [self.processor.id_to_piece(k) for k in range(self.size)]
         self.leaf = np.zeros(self.size + 1, np.int16)
+        self.memory: dict[str, bytes] = {}
         self.leaf[sorted(range(self.size), key=lambda k: (not names[k].startswith("▁"), names[k][::-1], k))] = np.arange(self.size)
 
+    def words(self, names: list[str]) -> list[bytes]:
+        """The pieces of each word, as the bytes of 16-bit numbers."""
+        if len(self.memory) + len(names) > REMEMBERED:
+            self.memory.clear()
+        out = [self.memory.get(x) for x in names]
+        new = [k for k, x in enumerate(out) if x is None]
+        coded = self.processor.encode([names[k] for k in new], num_threads=1) if new else []
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) * 2).tolist()
+        raw = np.fromiter(chain.from_iterable(coded), np.int16).tobytes()
+        for k, a, b in zip(new, [0, *ends], ends):
+            out[k] = raw[a:b]
+            if len(names[k]) <= SHORT:
+                self.memory[names[k]] = out[k]
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces of a slice with SIDE edges before each text and after the last; where each text starts; its number of pieces."""
         split = base.Words(texts)
-        coded = self.processor.encode(split.names.to_pylist(), num_threads=1) if len(split.names) else []
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((i for x in coded for i in x), np.int16, int(size.sum()))
+        coded = self.words(split.names.to_pylist())
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 2
+        flat = np.frombuffer(b"".join(coded), np.int16)
         each = size[split.codes] if len(coded) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(each)])
         first = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -116,7 +137,8 @@ class Network:
             nodes = node[cuts[:-1]]
             for a, b, k in zip(cuts[:-1].tolist(), cuts[1:].tolist(), nodes.tolist(), strict=True):
                 np.dot(h[a:b], w[k], out=p[a:b])
-            np.clip(p, -60, 60, out=p)
+            if p.max(initial=0) > 60:
+                np.minimum(p, 60, out=p)
             np.exp(p, out=p)
             yield cuts, nodes, branch, p, p @ np.ones(FAN, np.float32)
 
@@ -137,11 +159,12 @@ class Network:
         for at in range(SIDE, len(ids) - SIDE, SCORED):
             part = ids[at - SIDE : min(at + SCORED, len(ids) - SIDE) + SIDE]
             rows, own, leaf = self.ordered(part, self.inner(part)[1], leaf_of)
-            if len(rows):
-                total = np.zeros(len(rows))
-                for _, _, branch, p, whole in self.paths(own, leaf):
-                    total += np.log(p[np.arange(len(rows)), branch] / whole)
-                out[at + rows] = total
+            for cut in range(0, len(rows), TRAINED):
+                here, own_leaf = own[cut : cut + TRAINED], leaf[cut : cut + TRAINED]
+                total, first = np.zeros(len(here)), np.arange(len(here)) * FAN
+                for _, _, branch, p, whole in self.paths(here, own_leaf):
+                    total += np.log(p.reshape(-1)[first + branch] / whole)
+                out[at + rows[cut : cut + TRAINED]] = total
         return out
 
 
@@ -154,8 +177,12 @@ class Descent:
         self.counts = [np.zeros(len(w)) for w in net.weights()]
 
     def move(self, k: int, rows, gradient: np.ndarray, n) -> None:
-        self.squares[k][rows] += gradient * gradient
-        self.net.weights()[k][rows] -= RATE * gradient / np.sqrt(self.squares[k][rows])
+        squares = self.squares[k][rows] + gradient * gradient
+        self.squares[k][rows] = squares
+        np.sqrt(squares, out=squares)
+        np.divide(gradient, squares, out=squares)
+        squares *= RATE
+        self.net.weights()[k][rows] -= squares
         self.counts[k][rows] += n
 
     def step(self, ids: np.ndarray) -> None:
@@ -164,15 +191,22 @@ class Descent:
         rows, own, leaf = net.ordered(ids, h, self.leaf_of)
         if not len(rows):
             return
-        back, moves = np.zeros_like(own), []
-        for k, (cuts, nodes, branch, p, whole) in enumerate(net.paths(own, leaf), 3):
-            p /= whole[:, None]
-            p[np.arange(len(rows)), branch] -= 1
-            w, gradient = net.weights()[k], np.empty((len(nodes), WIDTH + 1, FAN), np.float32)
-            for j, (a, b, node) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), nodes.tolist(), strict=True)):
-                np.dot(own[a:b].T, p[a:b], out=gradient[j])
-                back[a:b] += p[a:b] @ w[node].T
-            moves.append((k, nodes, gradient, np.diff(cuts)))
+        # In pieces that stay in the processor's cache; rows are in the order of leaves, so a node's rows lie side by side.
+        back, first, held = np.zeros_like(own), np.arange(TRAINED) * FAN, np.empty((TRAINED, WIDTH + 1), np.float32)
+        nodes = [np.unique(leaf >> (shift + 5)) for shift in LEVELS]
+        gradients = [np.zeros((len(n), WIDTH + 1, FAN), np.float32) for n in nodes]
+        counts = [np.diff(np.append(np.searchsorted(leaf >> (shift + 5), n), len(leaf))) for shift, n in zip(LEVELS, nodes, strict=True)]
+        for at in range(0, len(rows), TRAINED):
+            part, into = own[at : at + TRAINED], back[at : at + TRAINED]
+            for w, gradient, known, (cuts, here, branch, p, whole) in zip(net.levels, gradients, nodes, net.paths(part, leaf[at : at + TRAINED]), strict=True):
+                p *= (1 / whole)[:, None]
+                p.reshape(-1)[first[: len(p)] + branch] -= 1
+                for a, b, node, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), here.tolist(), np.searchsorted(known, here).tolist(), strict=True):
+                    own_p = p[a:b]
+                    gradient[j] += np.dot(part[a:b].T, own_p)
+                    np.dot(own_p, w[node].T, out=held[a:b])
+                into += held[: len(p)]
+        moves = [(k, *m) for k, m in enumerate(zip(nodes, gradients, counts, strict=True), 3)]
         dh = np.zeros((many, WIDTH), np.float32)
         dh[rows] = back[:, :WIDTH]
         dh *= 1 - h * h
