@@ -166,10 +166,19 @@ def test_stage_keeps_one_of_each(spark, odd, none, sf):
     out = ngram_join.stage(spark, odd, sf)
     assert out.columns == odd.columns
     ids = sorted((r.doc_id for r in out.collect()), key=str)
-    assert ids == sorted([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None], key=str)
+    assert ids == sorted([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], key=str)  # the row without an id is a copy of 9
     assert ngram_join.stage(spark, none, sf).count() == 0
 
 
+def test_stage_tells_rows_of_one_id_apart(spark, sf):
+    words = " ".join(f"w{k}" for k in range(60))
+    other = "quite another text without any partner at all but with enough words"
+    rows = [(3, words, "a"), (3, other, "b"), (3, words + " more", "c"), (1, words, "d"), (None, other + " x y z", "e"), (None, "no id and no copy anywhere else", "f"), (None, "no id and no copy anywhere else", "g"), (4, "", "h"), (4, "", "h"), (4, None, "h")]
+    out = ngram_join.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, _by string"), sf).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(1, words), (3, other), (None, other + " x y z"), (None, "no id and no copy anywhere else"), (4, ""), (4, ""), (4, None)], key=str)
+    assert {r._by for r in out} <= set("abcdefgh")
+
+
 def test_trie_against_sets():
     rng = np.random.default_rng(1)
     bound = ngram_join.Bound(80, 100)
@@ -214,6 +223,39 @@ def test_tiling_against_force():
         assert all((a[i : i + n] == b[j : j + n]).all() for i, j, n in got)
 
 
+def test_tiling_of_repetition_is_linear():
+    import time
+
+    one = np.ones(20_000, np.uint64)
+    began = time.perf_counter()
+    got = decontaminate.tiles(one, one[:600])
+    assert sum(n for *_, n in got) == 600 and time.perf_counter() - began < 20
+
+
+def test_search_against_force(monkeypatch):
+    """All pairs of text and item tiled, against the search by seeds, whatever is looked at together."""
+    r = random.Random(3)
+    items = [" ".join(r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.randrange(3, 30))) for _ in range(30)] + ["a " * 40]
+    texts = []
+    for _ in range(60):
+        w = " ".join(r.choice(items).split()[: r.randrange(1, 40)] + [r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.randrange(20))])
+        texts.append(w + " " + r.choice(items))
+    texts += ["", "a " * 300]
+    words = lambda xs: decontaminate.plain_words(pa.array(xs, pa.string()))
+    block = decontaminate.Items(list(range(len(items))), *words(items))
+    expected = set()
+    for t, x in enumerate(texts):
+        for k, y in enumerate(items):
+            a, b = words([x])[0], words([y])[0]
+            covered = tiles_by_force(a.tolist(), b.tolist(), decontaminate.LEAST) if len(a) < 120 else len(b) * (y[:2] == "a ")
+            if len(b) >= decontaminate.LEAST and covered >= decontaminate.THRESHOLD * len(b):
+                expected.add((t, k, covered, len(b)))
+    for seeds in (2_000_000, 1):
+        monkeypatch.setattr(decontaminate, "SEEDS", seeds)
+        assert set(block.search(*words(texts))) == expected
+    assert len(expected) > 60
+
+
 def test_reordered_passages_are_caught(spark, odd, none, sf):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     w = item.split()

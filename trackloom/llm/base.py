@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components as components
 from ..shipping import map_arrow as map_arrow
 from ..storage import discard as discard
+from ..storage import scratch as scratch
 from ..storage import shared_dir as shared_dir
 from ..storage import stored as stored
 

@@ -18,12 +18,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import base
 
 LEAST = 5
 THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
+#: Places of seeds in items that are looked at together, but for a single text with more.
+SEEDS = 2_000_000
 _FACTOR = 0x9E3779B97F4A7C15
 _PUNCTUATION = r"[\p{P}\p{S}]+"
 
@@ -58,44 +61,57 @@ class Running:
         return at, (self.sums[at + size] - self.sums[at]) * self.up[at]
 
 
-def _common(a: Running, b: Running, used_a, used_b, size: int) -> list[tuple[int, int]]:
-    """Equal windows, verified word by word."""
+def _matches(a: Running, b: Running, used_a, used_b, size: int):
+    """Windows of a whose hash some window of b has: their places, the group of each in b, and the places of the groups, rising."""
     at_a, hash_a = a.windows(size, used_a)
     at_b, hash_b = b.windows(size, used_b)
-    if not len(at_a) or not len(at_b):
-        return []
     order = np.argsort(hash_b, kind="stable")
     low, high = (np.searchsorted(hash_b[order], hash_a, side=s) for s in ("left", "right"))
-    out = []
-    for x in np.flatnonzero(high > low):
-        for y in order[low[x] : high[x]]:
-            i, j = int(at_a[x]), int(at_b[y])
-            if (a.words[i : i + size] == b.words[j : j + size]).all():
-                out.append((i, j))
-    return out
+    hit = np.flatnonzero(high > low)
+    return at_a[hit].tolist(), low[hit].tolist(), high[hit].tolist(), at_b[order].tolist()
+
+
+def _equal(a: Running, b: Running, i: int, j: int, size: int) -> bool:
+    return bool((a.words[i : i + size] == b.words[j : j + size]).all())
 
 
 def tiles(document: np.ndarray, item: np.ndarray, free: np.ndarray | None = None, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in document, place in item, length), longest first. `free`: words that may match."""
+    """Greedy string tiling: (place in document, place in item, length), longest first. `free`: words that may match.
+
+    Tiles of one length are marked while the document is passed once. Places of the item that a tile covers are covered for
+    good, so each group of equal windows is passed once too, however often a passage repeats.
+    """
     a, b = Running(document), Running(item)
     used_a = np.zeros(len(document), bool) if free is None else ~free
     used_b, out = np.zeros(len(item), bool), []
     top = min(len(document), len(item))
     while top >= least:
-        low, high, found = least - 1, top, []
+        low, high = least - 1, top
         while low < high:  # whether windows of a length are shared only turns from yes to no
             size = (low + high + 1) // 2
-            if pairs := _common(a, b, used_a, used_b, size):
-                low, found = size, pairs
+            places, firsts, _, others = _matches(a, b, used_a, used_b, size)
+            if any(_equal(a, b, i, others[x], size) for i, x in zip(places, firsts, strict=True)):
+                low = size
             else:
                 high = size - 1
         if low < least:
             break
-        for i, j in found:
-            if not used_a[i : i + low].any() and not used_b[j : j + low].any():
+        places, firsts, ends, others = _matches(a, b, used_a, used_b, low)
+        passed: dict[int, int] = {}  # of each group, how many places are covered
+        until = 0
+        for i, x, y in zip(places, firsts, ends, strict=True):
+            if i < until:
+                continue
+            k = passed.get(x, x)
+            while k < y and (used_b[others[k]] or used_b[others[k] + low - 1]):
+                k += 1
+            passed[x] = k
+            if k < y and _equal(a, b, i, others[k], low):
+                j = others[k]
                 used_a[i : i + low] = used_b[j : j + low] = True
                 out.append((i, j, low))
-        top = low
+                until = i + low
+        top = low if len(out) and out[-1][2] == low else low - 1
     return out
 
 
@@ -124,22 +140,35 @@ class Items:
         hit, low, high = hit[inside], low[inside], high[inside]
         if not len(hit):
             return []
-        many = high - low
-        at = np.repeat(hit, many)
+        # Equal seeds of a text count once: they cover the same words of the items.
+        order = np.lexsort((low, text[hit]))
+        hit, low, high = hit[order], low[order], high[order]
+        new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (text[hit][1:] != text[hit][:-1])]))
+        owner, many, ends = text[hit[new]], (high - low)[new], np.append(new[1:], len(hit))
+        texts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        out, from_ = [], 0
+        for x, y in zip(texts, np.append(texts[1:], len(owner)), strict=True):  # so many texts at once as have SEEDS seeds in items
+            if y == len(owner) or many[from_:y].sum() > SEEDS:
+                out += self._judged(words, starts, hit, owner[from_:y], low[new][from_:y], many[from_:y], new[from_:y], ends[from_:y])
+                from_ = y
+        return out
+
+    def _judged(self, words, starts, hit, owner, low, many, first, end) -> list[tuple[int, int, int, int]]:
+        which = np.repeat(np.arange(len(owner)), many)
         seed = np.repeat(low - np.concatenate([[0], np.cumsum(many)])[:-1], many) + np.arange(many.sum())
-        pair = text[at] * len(self.ids) + self.owner[seed]
+        pair = owner[which] * len(self.ids) + self.owner[seed]
         order = np.argsort(pair, kind="stable")
         cuts = np.flatnonzero(np.concatenate([[True], pair[order][1:] != pair[order][:-1]]))
-        out = []
+        out, spread = [], np.arange(LEAST)
         for x, y in zip(cuts, [*cuts[1:], len(order)], strict=True):
             own = order[x:y]
             t, k = divmod(int(pair[own[0]]), len(self.ids))
             size = int(self.starts[k + 1] - self.starts[k])
-            spread = np.arange(LEAST)
             # Tiles lie where seeds lie, so seeds that cover too little of the item end the search.
             if len(np.unique(self.place[seed[own]][:, None] + spread)) < THRESHOLD * size:
                 continue
-            places = np.unique(at[own][:, None] + spread)
+            at = np.concatenate([hit[first[g] : end[g]] for g in np.unique(which[own]).tolist()])
+            places = np.unique(at[:, None] + spread)
             stretch = words[places[0] : places[-1] + 1]
             free = np.zeros(len(stretch), bool)
             free[places - places[0]] = True
@@ -172,7 +201,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
     """key, item_id, covered, item_words: the pairs whose tiles cover at least THRESHOLD of the item."""
     spark, out = docs.sparkSession, None
     rows = docs.select(F.col(key).alias("_key"), F.col(f"`{text}`").alias("text"))
-    schema = f"_key {docs.schema[key].dataType.simpleString()}, item_id long, covered long, item_words long"
+    kind = benchmark.schema["item_id"].dataType
+    schema = f"_key {docs.schema[key].dataType.simpleString()}, item_id {kind.simpleString()}, covered long, item_words long"
     for block in blocks(benchmark):
         items = Items([r.item_id for r in block], *plain_words(pa.array([r.text for r in block], pa.string())))
         sent = spark.sparkContext.broadcast((items.ids, items.hashes, items.starts))
@@ -183,12 +213,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str =
                 found = items.search(*plain_words(batch.column("text")))
                 if found:
                     t, k, covered, size = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(t)), pa.array([items.ids[x] for x in k], pa.int64()), pa.array(covered, pa.int64()), pa.array(size, pa.int64())], names=["_key", "item_id", "covered", "item_words"])
+                    yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(t)), pa.array([items.ids[x] for x in k], to_arrow_type(kind)), pa.array(covered, pa.int64()), pa.array(size, pa.int64())], names=["_key", "item_id", "covered", "item_words"])
 
         one = base.map_arrow(rows, run, schema)
         out = one if out is None else out.unionByName(one)
     if out is None:
-        out = rows.filter("false").selectExpr("_key", "0L item_id", "0L covered", "0L item_words")
+        out = rows.filter("false").select("_key", F.lit(None).cast(kind).alias("item_id"), F.lit(0).cast("long").alias("covered"), F.lit(0).cast("long").alias("item_words"))
     return out.withColumnRenamed("_key", key)
 
 
@@ -200,7 +230,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = leaks(docs, benchmark).withColumn("share", F.try_divide("covered", "item_words"))
     found = base.stored(found.groupBy("doc_id").agg(F.max("share").alias("coverage"), F.array_sort(F.collect_set("item_id")).alias("items")), "leaks")
     rows = docs.select("doc_id").alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left")
-    return rows.select("d.doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+    return rows.select("d.doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast(found.schema["items"].dataType)).alias("items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

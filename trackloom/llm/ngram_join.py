@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import shipping
@@ -45,6 +45,8 @@ SEEN = 8
 #: Most partners in one trie, and most sets of one shingle whose pairs one task looks at; larger groups meet block by block.
 PARTNERS = 512
 BLOCK = 4096
+#: Nodes of a trie's path that are matched before its bound is looked at again.
+STEP = 128
 _HOT_BIT = np.uint64(1 << 63)
 
 
@@ -96,7 +98,7 @@ SETS = "set long, n long, bins array<short>, tokens array<long>"
 
 
 def sets(docs: DataFrame, gram: int, bound: Bound, hot: np.ndarray | None = None, whole: bool = False, spare: bool = False) -> DataFrame:
-    """doc_id, set, n, bins, tokens of every row: the prefix of its set (and spare shingles after it) or, with `whole`, all of it, in
+    """doc_id, row (a hash of the text), set, n, bins, tokens of every row: the prefix of its set (and spare shingles after it) or, with `whole`, all of it, in
     the global order."""
     sent = docs.sparkSession.sparkContext.broadcast(hot if hot is not None else np.zeros(0, np.uint64))
 
@@ -115,9 +117,9 @@ def sets(docs: DataFrame, gram: int, bound: Bound, hot: np.ndarray | None = None
                 tokens.append((own if whole else own[:kept] & ~_HOT_BIT).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tokens)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.list_(pa.int16())), lists], names=["doc_id", "set", "n", "bins", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bins, pa.list_(pa.int16())), lists], names=["doc_id", "row", "set", "n", "bins", "tokens"])
 
-    return base.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SETS}")
+    return base.map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("row")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, {SETS}")
 
 
 def prefixed(kept: DataFrame, bound: Bound, hot: np.ndarray) -> DataFrame:
@@ -151,7 +153,8 @@ def prefixed(kept: DataFrame, bound: Bound, hot: np.ndarray) -> DataFrame:
 
 def trie_links(centre: np.ndarray, partners: list[np.ndarray], bound: Bound) -> list[int]:
     """Which partners are linked with the centre. Sorted, the partners are the paths of a trie from left to right; a path
-    shares with the one before as many nodes as they have first shingles in common."""
+    shares with the one before as many nodes as they have first shingles in common. A path is followed STEP nodes at a time,
+    as far as the overlap so far and the lengths that remain allow a link; no path goes further below a node where they don't."""
     order = sorted(range(len(partners)), key=lambda k: partners[k].astype(">u8").tobytes())
     out, path = [], np.zeros(0, np.uint64)
     overlap, remain = np.zeros(1, np.int64), np.array([len(centre)])  # at each depth: shared so far, and what remains of the centre
@@ -161,15 +164,16 @@ def trie_links(centre: np.ndarray, partners: list[np.ndarray], bound: Bound) ->
         same = min(len(path), len(own))
         differ = np.flatnonzero(path[:same] != own[:same])
         depth = int(differ[0]) if len(differ) else same
-        path, overlap, remain = own, overlap[: depth + 1], remain[: depth + 1]
-        if overlap[-1] + min(remain[-1], len(own) - depth) < least:
-            path = own[:depth]  # the subtree is cut off; the next path starts from here
-            continue
-        at = np.searchsorted(centre, own[depth:])
-        hit = centre[np.minimum(at, len(centre) - 1)] == own[depth:]
-        overlap = np.concatenate([overlap, overlap[-1] + np.cumsum(hit)])
-        remain = np.concatenate([remain, len(centre) - at - hit])
-        if bound.linked(int(overlap[-1]), len(centre), len(own)):
+        overlap, remain = overlap[: depth + 1], remain[: depth + 1]
+        while depth < len(own) and overlap[-1] + min(remain[-1], len(own) - depth) >= least:
+            nodes = own[depth : depth + STEP]
+            at = np.searchsorted(centre, nodes)
+            hit = centre[np.minimum(at, len(centre) - 1)] == nodes
+            overlap = np.concatenate([overlap, overlap[-1] + np.cumsum(hit)])
+            remain = np.concatenate([remain, len(centre) - at - hit])
+            depth += len(nodes)
+        path = own[:depth]
+        if depth == len(own) and bound.linked(int(overlap[-1]), len(centre), len(own)):
             out.append(k)
     return out
 
@@ -285,10 +289,18 @@ def crossing(rows: DataFrame, bound: Bound) -> DataFrame:
 
 def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) of every row of docs."""
+    rows = grouped(docs, gram, num, den)
+    least = rows.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "_class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def grouped(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, row (a hash of the text), n (the size of its set), _class (alike for all that links reach; null for an empty set) of every
+    row of docs."""
     bound = Bound(num, den)
     docs = docs.select("doc_id", "text")
     first = base.stored(sets(docs, gram, bound, spare=True), "sets")
-    members = base.stored(first.select("doc_id", "set", "n"), "members")
+    members = base.stored(first.select("doc_id", "row", "set", "n"), "members")
     single = base.stored(members.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id")), "single")
     one = base.sendable(single, 16)
     # One row of each set; rows without a doc_id count where no other row has their set.
@@ -369,9 +381,7 @@ def classes(docs: DataFrame, gram: int = 5, num: int = 80, den: int = 100) -> Da
             break
         last = new < WORTH * max(many, 1)
     rows = members.join(base.sendable(labels, 16), "set", "left") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
-    rows = rows.withColumn("_class", F.coalesce("label", "set"))
-    least = rows.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "_class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return rows.select("doc_id", "row", "n", F.coalesce("label", "set").alias("_class"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,14 +389,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near duplicates (five words, 0.8) the document with the least doc_id stays. Rows of one
-    doc_id count as one document, of which the row with the least text stays; rows without a doc_id stay."""
-    found = base.stored(classes(docs), "classes")
-    keep = base.stored(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "keep")
-    kept = docs.join(base.sendable(keep.select("doc_id"), 16), "doc_id", "left_semi").select(*(f"`{c}`" for c in docs.columns))
-    twice = base.stored(keep.filter("rows > 1").select("doc_id"), "twice")
-    if twice.limit(1).count():
-        several, at = kept.join(base.sendable(twice, 16), "doc_id", "left_semi"), base.free(docs, "_k")
-        one = several.withColumn(at, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(at) == 1).drop(at)
-        kept = kept.join(base.sendable(twice, 16), "doc_id", "left_anti").unionByName(one.select(*(f"`{c}`" for c in docs.columns)))
-    return kept.select(*(f"`{c}`" for c in docs.columns)).unionByName(docs.filter("doc_id is null"))
+    """Pipeline stage: of each class of near duplicates (five words, 0.8) one document stays: the one with the least doc_id (rows without one
+    come last), then with the least hash of its text; of equal rows one. Documents without words stay. Texts that share only a doc_id are
+    documents of their own. An empty table gives an empty one; other columns pass through, whatever their names."""
+    rows = base.stored(grouped(docs).groupBy("_class", "doc_id", "row").agg(F.count("*").alias("rows")), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "rows")
+    one = rows.filter("_class is not null").groupBy("_class").agg(F.min(order).alias("k")).select("k.doc_id", "k.row", "k.rows")
+    keep = base.stored(one.unionByName(rows.filter("_class is null").select("doc_id", "row", F.lit(1).cast("long").alias("rows"))), "keep")
+    by, own, at, many = (base.free(docs, x) for x in ("_by", "_own", "_at", "_many"))
+    side = base.sendable(keep.select(F.col("doc_id").alias(by), F.col("row").alias(at), F.col("rows").alias(many)), 32)
+    kept = docs.withColumn(own, F.xxhash64("text")).join(side, F.col("doc_id").eqNullSafe(F.col(by)) & F.col(own).eqNullSafe(F.col(at)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    equal = kept.filter(F.col(many) > 1)
+    return kept.filter(F.col(many) == 1).select(*columns).unionByName(equal.dropDuplicates(["doc_id", own]).select(*columns))

@@ -83,7 +83,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, labelled: int = LABELLED
     """Learn from labels (doc_id, quality) where the Column `learn` holds (default: all).
 
     Dictionaries learn from one half of the rows and the calibration from the other. The halves are the `labelled` rows
-    of each class with the least hash; so what is broadcast and collected is bounded whatever the tables' size.
+    of each class with the least hash; so what is broadcast and collected is bounded whatever the tables' size. Where the
+    calibration's half holds one label only, the score rises straight from 0 at a difference of -0.1 to 1 at 0.1.
     """
     own = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).filter("_id is not null and _label in (0, 1)")
     own = own.filter(learn(F.col("_id")) if learn else F.lit(True))
@@ -103,7 +104,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, labelled: int = LABELLED
         share = (row[0] / row[1]) if row[1] else 0.5
         return Model(b" " * 8, b" " * 8, (0.0,), (float(share),))
     good, bad = dictionary(parts[1]), dictionary(parts[0])
-    seen = scored(texts.filter("_use = 1").select("_label", F.col("_text").cast("string").alias("text")), Model(good, bad, (), ()), raw="_difference").select("_label", "_difference").orderBy("_difference").limit(4 * labelled).toArrow()
+    # One text of each labelled doc_id, so no doc_id of many rows takes the place of others: 4 * labelled rows at most.
+    one = texts.filter("_use = 1").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    seen = scored(one.select("_label", F.col("_text").cast("string").alias("text")), Model(good, bad, (), ()), raw="_difference").select("_label", "_difference").toArrow()
     x, y = seen.column("_difference").to_numpy().astype(float), seen.column("_label").to_numpy().astype(int)
     if len(set(y)) < 2:
         return Model(good, bad, (-0.1, 0.1), (0.0, 1.0))
@@ -131,10 +134,10 @@ def fold(doc_id):
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out (false without a doc_id), score, predicted of every document."""
     model = fit(docs, labels, learn=lambda doc_id: fold(doc_id) != 0)
     out = scored(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
