@@ -21,8 +21,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = base.stored(docs, name.split()[0])
-    return docs
+    for name, stage in STAGES[:-1]:
+        with base.scratch() as made:
+            out = stage(spark, docs, sf_dir)
+        kept = base.stored(out, name.split()[0])
+        base.discard(*made, docs)  # what this stage stored, and its input if a stage before stored it
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
