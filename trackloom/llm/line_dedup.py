@@ -39,6 +39,8 @@ BOUND = 1
 FINE = 16
 #: Rows of a line from which on it is joined apart from the others, where lines are shuffled. It steers costs, not results.
 COMMON = 1_000_000
+#: Bytes of text whose lines are hashed at once.
+SLICE = 500_000
 #: Keys made at once.
 CHUNK = 200_000
 _BLANK = r"^[\x20\x09-\x0D]*$"
@@ -144,7 +146,7 @@ def told(docs: DataFrame, text: str = "text", bound: int = BOUND) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in base.slices(batches):
+        for batch in base.slices(batches, most=SLICE):
             batch = batch.take(pc.sort_indices(pa.Table.from_batches([batch]), sort_keys=[("doc", "ascending"), ("row", "ascending")], null_placement="at_start"))
             lists = pc.split_pattern(batch.column("text").cast(pa.large_string()), "\n")
             flat = lists.flatten()

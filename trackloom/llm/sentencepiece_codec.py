@@ -33,10 +33,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
 MARK = "▁"
 #: Distinct stretches a task remembers at once, and the longest remembered, in bytes.
-REMEMBERED, SHORT = 400_000, 64
+REMEMBERED, SHORT = 150_000, 64
 #: Code points of a stretch up to which it is encoded beside others, and code points encoded at once.
 LONG, TOGETHER = 200, 400_000
-#: Most entries of the automaton's table (states times symbols); without a table stretches are encoded one by one.
+#: Most entries of the automaton's table (states with pieces beyond them, times symbols); without a table stretches are encoded one by one.
 TABLE = 1 << 26
 #: Stand for a U+2581 of the text and for the end of a stretch; surrogates occur in no text and no piece.
 _OWN_MARK, _END = "\ud800", "\ud801"
@@ -46,13 +46,13 @@ _loaded: dict = {}
 class Automaton:
     """The Aho-Corasick automaton of some pieces as a table of next states by state and symbol, for many texts at once.
 
-    Symbols are the code points of pieces of two or more; any other code point leads back to the start, and a piece of it
+    A state that no piece goes beyond has the `row` of the state its failure link leads to. Symbols are the code points of pieces of two or more; any other code point leads back to the start, and a piece of it
     alone is looked up. `longest` is the longest piece that ends in a state, `shorter` the output link from piece to piece.
     """
 
     def __init__(self, pieces: list[tuple[str, int]], many: int):
         symbols = sorted({c for p, _ in pieces if len(p) > 1 for c in p})
-        self.symbol = np.full(0x110000, len(symbols), np.int32)
+        self.symbol = np.full(0x110000, len(symbols), np.int32 if len(symbols) > 0xFFFF else np.uint16)
         self.alone = np.full(0x110000, -1, np.int32)
         self.symbol[[ord(c) for c in symbols]] = np.arange(len(symbols))
         for p, i in pieces:
@@ -64,25 +64,33 @@ class Automaton:
         piece = np.full(len(states), -1, np.int32)
         piece[[number[p] for p, _ in inner]] = [i for _, i in inner]
         self.shorter = np.full(many, -1, np.int32)
-        self.table = np.zeros((len(states), len(symbols) + 1), np.int32) if len(states) * (len(symbols) + 1) <= TABLE else None
-        if self.table is None:
-            return
         depth = np.fromiter(map(len, states), np.int64, len(states))
         parent = np.array([number[x[:-1]] for x in states], np.int64)
         by = np.array([self.symbol[ord(x[-1])] if x else 0 for x in states], np.int64)
+        inner = np.zeros(len(states), bool)
+        inner[parent] = True
+        self.row = np.where(inner, np.cumsum(inner) - 1, 0)
+        rows = int(inner.sum())
+        small = np.uint16 if len(states) <= 0x10000 else np.int32
+        self.table = np.zeros((rows, len(symbols) + 1), small) if rows * (len(symbols) + 1) <= TABLE else None
+        if self.table is None:
+            return
         fail = np.zeros(len(states), np.int64)
         self.longest = piece.copy()
         for d in range(int(depth.max()) + 1):
             here, below = np.flatnonzero(depth == d), np.flatnonzero(depth == d + 1)
             if d > 1:
-                fail[here] = self.table[fail[parent[here]], by[here]]
+                fail[here] = self.table[self.row[fail[parent[here]]], by[here]]
             if d:
-                self.table[here] = self.table[fail[here]]
+                leaf = here[~inner[here]]
+                self.row[leaf] = self.row[fail[leaf]]
+                grown = here[inner[here]]
+                self.table[self.row[grown]] = self.table[self.row[fail[grown]]]
                 ends = self.longest[fail[here]]
                 own = piece[here] >= 0
                 self.shorter[piece[here][own]] = ends[own]
                 self.longest[here] = np.where(own, piece[here], ends)
-            self.table[parent[below], by[below]] = below
+            self.table[self.row[parent[below]], by[below]] = below
 
 
 class Codec:
@@ -159,10 +167,10 @@ class Codec:
         best[starts] = 0.0
         order = np.argsort(-size, kind="stable")
         row, count = starts[order], np.searchsorted(-size[order], -np.arange(int(size.max(initial=0)) + 1), side="left")
-        state = np.zeros(len(row), np.int32)
+        state = np.zeros(len(row), np.int64)
         for t in range(int(size.max(initial=0))):
             at = row[: count[t]] + t
-            state = links.table[state[: len(at)], symbol[at]]
+            state = links.table[links.row[state[: len(at)]], symbol[at]]
             piece = np.where(outside[at], alone[at], links.longest[state])
             top, step, pick = np.full(len(at), -np.inf), np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
             on = np.flatnonzero(piece >= 0)
