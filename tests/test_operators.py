@@ -287,3 +287,28 @@ def test_stages(spark, tmp_path):
     assert status() == ["kept", "run"] and spark.read.parquet(str(tmp_path / "b")).count() == 2
     with pytest.raises(ValueError):
         st.check(plan[::-1])
+
+
+def test_positions_of_many_rows_with_a_payload(spark):
+    n = 1_000_000
+    rows = spark.range(n, numPartitions=16).select((F.pmod(F.col("id") * 611_953, F.lit(n))).alias("id"), F.concat(F.lit("payload "), F.col("id") % 97).alias("payload"))
+    got = sampling.positions(rows, "id").agg(F.count("*").alias("n"), F.countDistinct("pos").alias("d"), F.max("pos").alias("m"), F.sum((F.col("pos") != F.col("id")).cast("int")).alias("bad")).first()
+    assert (got.n, got.d, got.m, got.bad) == (n, n, n - 1, 0)
+    assert [r.id for r in sampling.even(rows, "id", 5).orderBy("id").collect()] == [0, (n - 1) // 4, (n - 1) // 2, 3 * (n - 1) // 4, n - 1]
+
+
+def test_extrapolation_gathers_no_key(spark):
+    n = 100_000
+    known = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 2.0).alias("s"), (F.col("id") * 6.0 + 1).alias("v"))
+    at = spark.range(n + 200).select("id", F.lit(1).alias("k"), (F.col("id") * 2.0 - 101).alias("at"))
+    out = ranges.interpolate(at, known, "at", "s", "v", ["k"], "extrapolate")
+    assert out.count() == n + 200 and out.filter(F.abs(F.col("v") - (F.col("at") * 3 + 1)) > 1e-6).count() == 0
+    one = ranges.interpolate(at.limit(3), known.limit(1), "at", "s", "v", ["k"], "extrapolate")
+    assert one.filter("v is not null").count() == 0
+
+
+def test_filling_costs_one_pass_a_key(spark):
+    n = 100_000
+    rows = spark.range(n).select("id", F.lit(1).alias("k"), F.when(F.col("id") % 7 == 0, F.col("id") * 2.0).alias("v"))
+    out = rows.select("id", sequences.filled(F.col("v"), ["k"], "id").alias("v"))
+    assert out.filter(F.abs(F.col("v") - F.least(F.col("id"), F.lit((n - 1) // 7 * 7)) * 2) > 1e-6).count() == 0

@@ -87,19 +87,21 @@ def interpolate(queries: DataFrame, known: DataFrame, at: str, station: str, val
     every = k.withColumn("_row", F.lit(None).cast(q.schema["_row"].dataType)).unionByName(q)
     point = F.when(F.col("_q") == 0, F.struct(F.col("_s").alias("s"), F.col("_v").alias("v")))
     back = Window.partitionBy(*on).orderBy("_s", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*on).orderBy("_s", F.desc("_q")).rowsBetween(0, Window.unboundedFollowing)
-    every = every.withColumn("_p", point).withColumns({"_a": F.last("_p", ignorenulls=True).over(back), "_b": F.first("_p", ignorenulls=True).over(ahead)})
+    ahead = Window.partitionBy(*on).orderBy(F.desc("_s"), "_q").rowsBetween(Window.unboundedPreceding, 0)  # backwards: a frame that shrinks costs a pass a row
+    every = every.withColumn("_p", point).withColumns({"_a": F.last("_p", ignorenulls=True).over(back), "_b": F.last("_p", ignorenulls=True).over(ahead)})
     if outside == "extrapolate":
-        whole = Window.partitionBy(*on)
-        firsts = F.slice(F.array_sort(F.collect_list("_p").over(whole)), 1, 2)
-        every = every.withColumns({"_f": firsts, "_l": F.slice(F.array_sort(F.collect_list("_p").over(whole)), -2, 2)})
+        # The outermost two knots of each key, so no key's knots are gathered.
+        for name, by in (("_f", F.asc("_s")), ("_l", F.desc("_s"))):
+            two = k.withColumn("_r", F.row_number().over(Window.partitionBy(*on).orderBy(by))).filter("_r <= 2")
+            two = two.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_v").alias("v")))).alias(name))
+            every = every.join(two, on, "left")
     a, b = F.col("_a"), F.col("_b")
     mid = F.when(b["s"] == a["s"], a["v"]).otherwise(a["v"] + (F.col("_s") - a["s"]) / (b["s"] - a["s"]) * (b["v"] - a["v"]))
     if outside == "clamp":
         mid = F.coalesce(mid, a["v"], b["v"])
     elif outside == "extrapolate":
         line = lambda e: e[0]["v"] + (F.col("_s") - e[0]["s"]) / (e[1]["s"] - e[0]["s"]) * (e[1]["v"] - e[0]["v"])
-        mid = F.coalesce(mid, F.when(a.isNull(), line(F.col("_f"))), F.when(b.isNull(), line(F.col("_l"))))
+        mid = F.coalesce(mid, F.when(a.isNull() & (F.size("_f") > 1), line(F.col("_f"))), F.when(b.isNull() & (F.size("_l") > 1), line(F.col("_l"))))
     return every.withColumn("_value", mid).filter("_q = 1").select("_row.*", F.col("_value").alias(value))
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 
-def positions(rows: DataFrame, order: str, name: str = "pos", buckets: int = 64) -> DataFrame:
-    """Rows with their position from 0 in the order of a column (unique). Rows are range-partitioned; a partition's start is the sum of the counts before it."""
-    parts = rows.repartitionByRange(buckets, order).withColumn("_p", F.spark_partition_id())
+
+def positions(rows: DataFrame, order: str, name: str = "pos", buckets: int | None = None) -> DataFrame:
+    """Rows with their position from 0 in the order of a column (unique). Rows are range-partitioned and written once, as the ranges are
+    drawn from a sample and another plan would draw others; a partition's start is the sum of the counts before it."""
+    ranged = rows.repartitionByRange(buckets, order) if buckets else rows.repartitionByRange(order)
+    parts = stored(ranged.withColumn("_p", F.spark_partition_id()), "ranged")
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     starts = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start"))
     numbered = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)

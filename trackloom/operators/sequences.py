@@ -135,7 +135,8 @@ def filled(value: Column, keys: list[str], order: str, most_jump: float | None =
     neighbours differ by more than most_jump, the one of smaller magnitude."""
     w = by(keys, order)
     at = F.when(value.isNotNull() & ~F.isnan(value), F.struct(F.col(order).cast("double").alias("s"), value.alias("v")))
-    a, b = F.last(at, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys).orderBy(F.desc(order))  # backwards, as a frame that shrinks costs a pass a row
+    a, b = (F.last(at, ignorenulls=True).over(x.rowsBetween(Window.unboundedPreceding, 0)) for x in (w, back))
     mid = F.when(b["s"] == a["s"], a["v"]).otherwise(a["v"] + (F.col(order) - a["s"]) / (b["s"] - a["s"]) * (b["v"] - a["v"]))
     if most_jump is not None:
         mid = F.when(F.abs(b["v"] - a["v"]) > most_jump, F.when(F.abs(a["v"]) <= F.abs(b["v"]), a["v"]).otherwise(b["v"])).otherwise(mid)

@@ -152,10 +152,10 @@ def interval_overlap_join(spark, d):
     return ranges.interval_join(a, b, ("a0", "b0"), ("a1", "b1"), 30.0, ["track"]).filter("a_id < b_id").select("a_id", "b_id", C.interval_overlap(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1")).alias("overlap"))
 
 
-@query("interpolated_lookup", 'WITH k AS (SELECT user_id AS track, event_id::DOUBLE AS station, value AS "offset" FROM events), q AS (SELECT c_custkey AS id, c_custkey % 150 AS track, (c_custkey * 7 % 9973)::DOUBLE + 0.5 AS place FROM customer), a AS (SELECT q.*, k.station AS s0, k."offset" AS v0 FROM q ASOF LEFT JOIN k ON q.track = k.track AND q.place >= k.station), b AS (SELECT a.*, k.station AS s1, k."offset" AS v1 FROM a ASOF LEFT JOIN k ON a.track = k.track AND a.place <= k.station) SELECT id, round(CASE WHEN s0 IS NULL THEN v1 WHEN s1 IS NULL THEN v0 ELSE v0 + (place - s0) / (s1 - s0) * (v1 - v0) END, 4) AS "offset" FROM b')
+@query("interpolated_lookup", 'WITH k AS (SELECT user_id AS track, event_id::DOUBLE AS station, value AS "offset" FROM events), q AS (SELECT c_custkey AS id, c_custkey % 150 AS track, (c_custkey * 7 % 9973)::DOUBLE + 0.5 AS place FROM customer), a AS (SELECT q.*, k.station AS s0, k."offset" AS v0 FROM q ASOF LEFT JOIN k ON q.track = k.track AND q.place >= k.station), b AS (SELECT a.*, k.station AS s1, k."offset" AS v1 FROM a ASOF LEFT JOIN k ON a.track = k.track AND a.place <= k.station) SELECT id, (CASE WHEN s0 IS NULL THEN v1 WHEN s1 IS NULL THEN v0 ELSE v0 + (place - s0) / (s1 - s0) * (v1 - v0) END) AS "offset" FROM b')
 def interpolated_lookup(spark, d):
     q = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 150).alias("track"), ((F.col("c_custkey") * 7 % 9973) + 0.5).alias("at"))
-    return ranges.interpolate(q, samples(spark, d).select("track", "station", "offset"), "at", "station", "offset", ["track"], "clamp").select("id", r("offset", 4).alias("offset"))
+    return ranges.interpolate(q, samples(spark, d).select("track", "station", "offset"), "at", "station", "offset", ["track"], "clamp").select("id", "offset")
 
 
 @query("nearest_band", "WITH e AS (SELECT event_id AS id, value FROM events) SELECT id, CASE WHEN abs(value - 10) <= 8 AND abs(value - 10) <= CASE WHEN abs(value - 40) <= 25 THEN abs(value - 40) ELSE 1e9 END THEN 'near' WHEN abs(value - 40) <= 25 THEN 'middle' WHEN abs(value - 120) <= 40 THEN 'far' END AS band_id FROM e")

@@ -160,10 +160,10 @@ def unsupported_runs(spark, d):
     return seq.longest_unsupported(samples(spark, d), ["track"], "station", F.col("offset") <= 60, 5.0)
 
 
-@query("filled_values", f"WITH {S}, m AS (SELECT *, CASE WHEN id % 3 <> 0 THEN \"offset\" END AS v FROM s), k AS (SELECT * FROM m WHERE v IS NOT NULL), a AS (SELECT m.id, m.track, m.station, k.station AS s0, k.v AS v0 FROM m ASOF LEFT JOIN k ON m.track = k.track AND m.station >= k.station), b AS (SELECT a.*, k.station AS s1, k.v AS v1 FROM a ASOF LEFT JOIN k ON a.track = k.track AND a.station <= k.station) SELECT id, round(CASE WHEN s0 IS NULL THEN v1 WHEN s1 IS NULL OR s1 = s0 THEN v0 ELSE v0 + (station - s0) / (s1 - s0) * (v1 - v0) END, 4) AS v FROM b")
+@query("filled_values", f"WITH {S}, m AS (SELECT *, CASE WHEN id % 3 <> 0 THEN \"offset\" END AS v FROM s), k AS (SELECT * FROM m WHERE v IS NOT NULL), a AS (SELECT m.id, m.track, m.station, k.station AS s0, k.v AS v0 FROM m ASOF LEFT JOIN k ON m.track = k.track AND m.station >= k.station), b AS (SELECT a.*, k.station AS s1, k.v AS v1 FROM a ASOF LEFT JOIN k ON a.track = k.track AND a.station <= k.station) SELECT id, (CASE WHEN s0 IS NULL THEN v1 WHEN s1 IS NULL OR s1 = s0 THEN v0 ELSE v0 + (station - s0) / (s1 - s0) * (v1 - v0) END) AS v FROM b")
 def filled_values(spark, d):
     s = samples(spark, d).withColumn("v", F.when(F.col("id") % 3 != 0, F.col("offset")))
-    return s.select("id", r(seq.filled(F.col("v"), ["track"], "station"), 4).alias("v"))
+    return s.select("id", seq.filled(F.col("v"), ["track"], "station").alias("v"))
 
 
 @query("monotone", f"WITH {S} SELECT id, max(\"offset\") OVER (PARTITION BY track ORDER BY station) AS rising, min(\"offset\") OVER (PARTITION BY track ORDER BY station) AS falling FROM s")
@@ -260,9 +260,9 @@ def _ends(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("line_id"), F.lit(0.0).alias("s0"), (10 + F.col("o_totalprice") / 10000).alias("s1"), F.lit(1.0).alias("t0"), (1 + F.col("o_custkey") % 7).cast("double").alias("t1"), F.lit(0.1).alias("m0"), F.lit(0.0).alias("m1"))
 
 
-@query("hermite_curve", f"WITH {_ENDS} SELECT line_id, k::INT AS k, round(s0 + k / 8 * (s1 - s0), 5) AS station, round((2 * pow(k / 8, 3) - 3 * pow(k / 8, 2) + 1) * t0 + (pow(k / 8, 3) - 2 * pow(k / 8, 2) + k / 8) * (s1 - s0) * 0.1 + (3 * pow(k / 8, 2) - 2 * pow(k / 8, 3)) * t1, 5) AS \"offset\" FROM k")
+@query("hermite_curve", f"WITH {_ENDS} SELECT line_id, k::INT AS k, (s0 + k / 8 * (s1 - s0)) AS station, ((2 * pow(k / 8, 3) - 3 * pow(k / 8, 2) + 1) * t0 + (pow(k / 8, 3) - 2 * pow(k / 8, 2) + k / 8) * (s1 - s0) * 0.1 + (3 * pow(k / 8, 2) - 2 * pow(k / 8, 3)) * t1) AS \"offset\" FROM k")
 def hermite_curve(spark, d):
-    return curves.hermite(_ends(spark, d), 8).select("line_id", "k", r("station").alias("station"), r("offset").alias("offset"))
+    return curves.hermite(_ends(spark, d), 8).select("line_id", "k", "station", "offset")
 
 
 @query("smoothstep_curve", f"WITH {_ENDS} SELECT line_id, k::INT AS k, round(t0 + (t1 - t0) * (pow(k / 8, 2) * (3 - 2 * k / 8)), 5) AS \"offset\" FROM k")
@@ -384,9 +384,9 @@ def monotone_slack(spark, d):
     return seq.monotone_slack(samples(spark, d), ["track"], "station", "offset", 5.0)
 
 
-@query("tapered_ends", f"WITH {S}, e AS (SELECT *, station - min(station) OVER (PARTITION BY track) AS a, max(station) OVER (PARTITION BY track) - station AS b, first_value(\"offset\") OVER w AS f, last_value(\"offset\") OVER w AS l FROM s WINDOW w AS (PARTITION BY track ORDER BY station ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT id, round(\"offset\" + (10 - f) * least(1, greatest(0, 1 - a / 2000)) + (20 - l) * least(1, greatest(0, 1 - b / 2000)), 5) AS v FROM e")
+@query("tapered_ends", f"WITH {S}, e AS (SELECT *, station - min(station) OVER (PARTITION BY track) AS a, max(station) OVER (PARTITION BY track) - station AS b, first_value(\"offset\") OVER w AS f, last_value(\"offset\") OVER w AS l FROM s WINDOW w AS (PARTITION BY track ORDER BY station ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT id, (\"offset\" + (10 - f) * least(1, greatest(0, 1 - a / 2000)) + (20 - l) * least(1, greatest(0, 1 - b / 2000))) AS v FROM e")
 def tapered_ends(spark, d):
-    return samples(spark, d).select("id", r(seq.tapered(F.col("offset"), ["track"], "station", F.lit(10.0), F.lit(20.0), 2000.0)).alias("v"))
+    return samples(spark, d).select("id", seq.tapered(F.col("offset"), ["track"], "station", F.lit(10.0), F.lit(20.0), 2000.0).alias("v"))
 
 
 @query("tangents", f"WITH {V}, g AS (SELECT line_id, seq, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy FROM v WINDOW w AS (PARTITION BY line_id ORDER BY seq)) SELECT line_id, seq, round(CASE WHEN dx = 0 AND dy = 0 THEN 1 ELSE dx / sqrt(dx * dx + dy * dy) END, 5) AS tx, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE dy / sqrt(dx * dx + dy * dy) END, 5) AS ty FROM g")
