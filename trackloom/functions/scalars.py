@@ -148,3 +148,17 @@ def risk_class(invalid: Column, single: Column, high: float = 0.25, middle: floa
 def text_predicate(words: str, *columns: Column) -> Column:
     """Whether any of the columns holds the words, in any case."""
     return F.lower(F.concat_ws(" ", *columns)).contains(words.lower())
+
+
+# Metres within which a place counts as near its anchor, and the most that nearness adds to a score.
+ANCHOR_SNAP, ANCHOR_WEIGHT = 2.5, 14.0
+
+
+def anchor_far(place: Column, anchor: Column, snap: float = ANCHOR_SNAP) -> Column:
+    """Whether a place is farther from its anchor than may be; without an anchor it is not."""
+    return F.coalesce(F.abs(place - anchor) > max(snap, 1e-6), F.lit(False))
+
+
+def anchor_bonus(distance: Column, snap: float = ANCHOR_SNAP, weight: float = ANCHOR_WEIGHT) -> Column:
+    """What nearness to an anchor adds to a score: all of the weight on it, nothing from the snap distance on."""
+    return F.greatest(F.lit(0.0), 1 - distance / max(snap, 1e-6)) * weight

@@ -122,3 +122,12 @@ def bridges(intervals: DataFrame, keys: list[str], support: float, weak: float,
     gap = F.col("to_s") - F.col("from_s")
     kind = F.when(F.coalesce("evidence", F.lit(0.0)) >= support, "evidence_promoted_bridge").when(gap <= weak, "occlusion_bridge").when((gap <= strict) & (F.coalesce("evidence", F.lit(0.0)) > 0), "weak_bridge")
     return rows.withColumns({"gap": gap, "kind": kind}).filter("gap > 0")
+
+
+def ramped(rows: DataFrame, many: int, share: float = 0.28) -> DataFrame:
+    """Curve, straight, curve in closed form: the slope rises evenly over the first share, stays, and falls evenly over the last."""
+    c = min(max(share, 0.05), 0.45)
+    u, slope = F.col("u"), 1 / (1 - c)
+    bend = lambda x: slope / (2 * c) * x * x
+    done = F.when(u <= c, bend(u)).when(u >= 1 - c, 1 - bend(1 - u)).otherwise(slope * (u - c / 2))
+    return steps(rows, many).withColumns({"station": F.col("s0") + u * (F.col("s1") - F.col("s0")), "offset": F.col("t0") + (F.col("t1") - F.col("t0")) * done})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Frame
+from .sampling import even
 
 
 def inside(points: DataFrame, **bounds: float | None) -> DataFrame:
@@ -113,3 +114,9 @@ def turnout_overlap(features: DataFrame, turnouts: DataFrame, most: float = 0.25
     part = F.sum(F.greatest(F.lit(0.0), F.least("s1", "t1") - F.greatest("s0", "t0")))
     bad = met.groupBy("feature_id", "band_id", "s0", "s1").agg(part.alias("part")).filter((F.col("part") >= most * F.greatest(F.col("s1") - F.col("s0"), F.lit(1e-9))) & (F.col("band_id") != "main"))
     return features.join(bad.select("feature_id"), "feature_id", "left_anti")
+
+
+def visible(points: DataFrame, x_range: tuple[float, float], y_range: tuple[float, float], most: int, order: str) -> DataFrame:
+    """Points within a view whose bounds may stand in any order, evenly thinned out to at most `most`."""
+    (x0, x1), (y0, y1) = sorted(x_range), sorted(y_range)
+    return even(inside(points, x_min=x0, x_max=x1, y_min=y0, y_max=y1), order, most)

@@ -67,3 +67,13 @@ def manual_anchors(rows: DataFrame, frame: Frame) -> DataFrame:
     local = to_local(rows.withColumn("z", F.coalesce("z", F.lit(frame.oz))), frame)
     after = F.lead("s").over(Window.orderBy("s"))
     return local.withColumn("_next", after).filter("_next is null or _next - s >= 1e-6").drop("_next")
+
+
+def oriented_roi(points: DataFrame, origin: tuple[float, float], along: tuple[float, float], before: float, beside: float) -> DataFrame:
+    """x, y of the corners 0 to 4 (the last is the first) of the rectangle along an axis that holds all points (x, y) with a margin."""
+    (ox, oy), (ux, uy) = origin, along
+    s, t = (F.col("x") - ox) * ux + (F.col("y") - oy) * uy, (F.col("y") - oy) * ux - (F.col("x") - ox) * uy
+    box = points.agg((F.min(s) - before).alias("s0"), (F.max(s) + before).alias("s1"), (F.min(t) - beside).alias("t0"), (F.max(t) + beside).alias("t1"))
+    corners = F.array(*(F.struct(F.col(a).alias("s"), F.col(b).alias("t")) for a, b in (("s0", "t0"), ("s1", "t0"), ("s1", "t1"), ("s0", "t1"), ("s0", "t0"))))
+    out = box.select(F.posexplode(corners).alias("corner", "c"))
+    return out.select("corner", (F.lit(ox) + F.col("c.s") * ux - F.col("c.t") * uy).alias("x"), (F.lit(oy) + F.col("c.s") * uy + F.col("c.t") * ux).alias("y"))

@@ -3,6 +3,8 @@ per key; frames are rows or stations around a row, so no window runs over more t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,40 @@ def rolling_median(value: Column, keys: list[str], order: str, half: int) -> Col
     return F.percentile(F.nanvl(value, F.lit(None)), 0.5).over(by(keys, order).rowsBetween(-half, half))
 
 
+def _ends(value: Column, keys: list[str], order: str, half: int) -> tuple[Column, Column, Column, Column]:
+    """First and last value of the key, and how many places of a frame of `half` to each side lie before and after its rows."""
+    whole = by(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at, n = F.row_number().over(by(keys, order)), F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return F.first(value).over(whole), F.last(value).over(whole), F.greatest(F.lit(half) - (at - 1), F.lit(0)), F.greatest(F.lit(half) - (n - at), F.lit(0))
+
+
+def median_edge(value: Column, keys: list[str], order: str, half: int) -> Column:
+    """Median over a full window with the end values repeated beyond the ends."""
+    first, last, before, after = _ends(value, keys, order, half)
+    inner = F.collect_list(value).over(by(keys, order).rowsBetween(-half, half))
+    return F.array_sort(F.concat(inner, F.array_repeat(first, before.cast("int")), F.array_repeat(last, after.cast("int"))))[half]
+
+
+def gaussian_weights(sigma: float) -> list[float]:
+    """Weights of the places from the middle outwards, to four sigma; both sides add up to one."""
+    reach = int(4 * sigma + 0.5)
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(reach + 1)]
+    total = raw[0] + 2 * sum(raw[1:])
+    return [x / total for x in raw]
+
+
+def gaussian_edge(value: Column, keys: list[str], order: str, sigma: float) -> Column:
+    """Gaussian smoothing with the end values repeated beyond the ends; unchanged for a sigma of 0."""
+    if sigma <= 0:
+        return value
+    w, weights = by(keys, order), gaussian_weights(sigma)
+    first, last, _, _ = _ends(value, keys, order, 0)
+    out = weights[0] * value
+    for k, x in enumerate(weights[1:], 1):
+        out = out + x * (F.coalesce(F.lag(value, k).over(w), first) + F.coalesce(F.lead(value, k).over(w), last))
+    return out
+
+
 def station_median(value: Column, keys: list[str], station: str, reach: int) -> Column:
     return F.percentile(value, 0.5).over(by(keys, station).rangeBetween(-reach, reach))
 
