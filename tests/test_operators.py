@@ -312,3 +312,17 @@ def test_filling_costs_one_pass_a_key(spark):
     rows = spark.range(n).select("id", F.lit(1).alias("k"), F.when(F.col("id") % 7 == 0, F.col("id") * 2.0).alias("v"))
     out = rows.select("id", sequences.filled(F.col("v"), ["k"], "id").alias("v"))
     assert out.filter(F.abs(F.col("v") - F.least(F.col("id"), F.lit((n - 1) // 7 * 7)) * 2) > 1e-6).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_either_way(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = np.random.default_rng(few + 1)
+    pairs = [(int(a) * 5 - 700, int(b) * 5 - 700) for a, b in rng.integers(0, 300, (220, 2))]
+    top = {x: x for p in pairs for x in p}
+    for _ in range(len(top)):
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: top[x] for p in pairs if p[0] != p[1] for x in p}
+    assert graph.components(spark.createDataFrame([], "a int, b int")).count() == 0

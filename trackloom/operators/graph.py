@@ -2,22 +2,57 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..shipping import map_arrow
 from ..storage import discard, stored
 from .ranges import near_points
 
 
+#: Counted edges up to which one task joins them (some 10 MB); more go round by round. It steers costs, not results.
+FEW = 200_000
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """(node, component) of few edges (u, v), by union-find in one task."""
+    kind = edges.schema["u"].dataType
+
+    def run(batches):
+        parts = [np.column_stack([np.asarray(b.column(c)).astype(np.int64) for c in ("u", "v")]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        nodes, flat = np.unique(np.concatenate(parts), return_inverse=True)
+        top = list(range(len(nodes)))
+        for a, b in flat.reshape(-1, 2).tolist():
+            while top[a] != a:
+                top[a] = a = top[top[a]]
+            while top[b] != b:
+                top[b] = b = top[top[b]]
+            if a != b:
+                top[max(a, b)] = min(a, b)
+        for k, x in enumerate(top):  # a top is no greater than its node, so it is settled already
+            top[k] = top[x]
+        as_kind = pa.int64() if isinstance(kind, T.LongType) else pa.int32()
+        yield pa.RecordBatch.from_arrays([pa.array(nodes).cast(as_kind), pa.array(nodes[top]).cast(as_kind)], names=["node", "component"])
+
+    return map_arrow(edges.select("u", "v").coalesce(1), run, f"node {kind.simpleString()}, component {kind.simpleString()}")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node in `edges` (a, b): the smallest node reachable.
 
     Large-star and small-star alternate until nothing moves: each node links to its smallest neighbour, so a path of any
-    length closes in a logarithmic number of rounds. Only counts reach the driver; each round is written, which cuts the lineage.
+    length closes in a logarithmic number of rounds; few edges are counted and joined at once instead. Only counts reach the driver; each round is written, which cuts the lineage.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(edges)
+    if before[0] <= FEW and isinstance(edges.schema["u"].dataType, (T.LongType, T.IntegerType)):
+        return _joined(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
