@@ -83,6 +83,11 @@ class Affine:
     def apply(self, col: Column, row: Column) -> tuple[Column, Column]:
         return col * self.a + row * self.b + self.c, col * self.d + row * self.e + self.f
 
+    def gap(self, row: Column, left: Column, right: Column) -> Column:
+        """Distance on the map of two columns of one row; null where the row is unknown."""
+        (x0, y0), (x1, y1) = self.apply(left, row), self.apply(right, row)
+        return F.hypot(x1 - x0, y1 - y0)
+
     def inverse(self) -> Affine:
         det = self.a * self.e - self.b * self.d
         if det == 0:
