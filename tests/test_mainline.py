@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import roles
 from trackloom.functions.geometry import Affine
-from trackloom.operators import mainline
+from trackloom.operators import lines, mainline
 
 
 def by_force(rows, peaks, width, gap):
@@ -63,3 +63,25 @@ def test_roles_of_missing_properties(spark):
         Affine(0.5, 0.0, 9.0, 0.0, -0.5, 9.0).gap(none.cast("double"), F.lit(2.0), F.lit(10.0)).alias("unknown"),
     ).first()
     assert tuple(row) == (None, True, "crossover", False, False, 0.2, "high", 4.0, None)
+
+
+def test_lines_beside_a_guide(spark):
+    rows = spark.createDataFrame([(1, 0.0, 10.0), (2, 5.0, 5.0), (3, 9.0, 2.0)], "id int, start double, end double")
+    got = {}
+    for x in lines.stations_between(rows, 4.0).orderBy("id", "k").collect():
+        got.setdefault(x.id, []).append(x.station)
+    assert got == {1: [0.0, 10 / 3, 20 / 3, 10.0], 2: [5.0, 5.0], 3: [9.0, 9.0]}
+
+
+def test_local_offsets(spark):
+    at = [0.0, 100.0, 150.0, 300.0, 381.0, 600.0]
+    rows = spark.createDataFrame([(k, n, s) for k in (1, 2) for n, s in enumerate(at)], "key int, k int, station double")
+    known = [(1, 95.0, 1.0), (1, 105.0, 3.0), (1, 105.0, 5.0), (1, 205.0, 13.0), (1, 420.0, -9.0), (1, 675.0, 7.0)]
+    samples = spark.createDataFrame(known, "key int, station double, offset double")
+    found = {(x.key, x.k): x.offset for x in lines.local_offsets(rows, samples, ["key"], 10.0, 2.0, bridge=110.0).collect()}
+    # none within reach; the median; between neighbours; too far from both; the one after (39 away); the one after (75 away)
+    assert [found[1, n] for n in range(6)] == [2.0, 3.0, 5.0 + 8.0 * 0.45, 2.0, -9.0, 7.0]
+    assert {found[2, n] for n in range(6)} == {2.0}
+    held = lines.local_offsets(rows, samples, ["key"], 10.0, 2.0, bridge=110.0, most=1.5)
+    assert {x.offset for x in held.filter("key = 1").collect()} == {2.0, 3.0, 3.5, 0.5}
+    assert lines.local_offsets(rows.limit(0), samples, ["key"], 10.0, 2.0).count() == 0
