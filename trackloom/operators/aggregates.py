@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import discard, stored
+
 
 def histogram(rows: DataFrame, value: str, size: float, keys: list[str] | None = None, origin: float = 0.0) -> DataFrame:
     return rows.groupBy(*(keys or []), F.floor((F.col(value) - origin) / size).alias("bin")).agg(F.count("*").alias("n"))
@@ -174,3 +176,30 @@ def union_all(parts: list[DataFrame], common_only: bool = False) -> DataFrame:
         names = [c for c in parts[0].columns if all(c in p.columns for p in parts)]
         parts = [p.select(*names) for p in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def through_fit(rows: DataFrame, keys: list[str], rounds: int = 4, x: str = "station", y: str = "offset", floor: float = 1.25, share: float = 0.75, times: float = 2.5, least: float = 0.45) -> DataFrame:
+    """A line per key through most of its rows: slope, intercept, n, n_kept, residual (the median of kept rows). Each round fits the rows kept
+    so far and keeps all whose residual is at most `times` the `share` quantile of theirs (`floor` at least), as long as that leaves two rows
+    and the share `least` of all. One place fits no slope: 0, through the mean.
+
+    What a round hands on is a row per key, so rows are never brought together by key: sums are made part by part, in four passes a round.
+    """
+    residual = lambda a, b: F.abs(F.col(y) - F.col(a) * F.col(x) - F.col(b))
+    begun = {"_a": 0.0, "_b": 0.0, "_cut": float("inf"), "_slope": 0.0, "_base": 0.0}
+    state = stored(rows.groupBy(*keys).agg(F.count("*").alias("n")).withColumns({c: F.lit(v) for c, v in begun.items()}), "state")
+    for _ in range(rounds):
+        kept = rows.join(state, keys).filter(residual("_a", "_b") <= F.col("_cut")).select(*keys, x, y)
+        slope, base = F.coalesce(F.regr_slope(y, x), F.lit(0.0)), F.coalesce(F.regr_intercept(y, x), F.avg(y))
+        fit = stored(kept.groupBy(*keys).agg(slope.alias("slope"), base.alias("intercept")), "fit")
+        wide = kept.join(fit, keys).groupBy(*keys).agg((F.percentile(residual("slope", "intercept"), share) * times).alias("_q"))
+        cut = stored(fit.join(wide, keys).select(*keys, "slope", "intercept", F.greatest(F.lit(floor), "_q").alias("_new")), "cut")
+        many = rows.join(cut, keys).filter(residual("slope", "intercept") <= F.col("_new")).groupBy(*keys).agg(F.count("*").alias("_many"))
+        good = F.coalesce("_many", F.lit(0)) >= F.greatest(F.lit(2), F.floor(F.col("n") * least))
+        chosen = {a: F.when(good, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("_a", "slope"), ("_b", "intercept"), ("_cut", "_new"))}
+        next_ = state.join(cut, keys).join(many, keys, "left").select(*keys, "n", *chosen.values(), F.col("slope").alias("_slope"), F.col("intercept").alias("_base"))
+        old, state = state, stored(next_, "state")
+        discard(old, fit, cut)
+    found = rows.join(state, keys).filter(residual("_a", "_b") <= F.col("_cut"))
+    out = found.groupBy(*keys, "_slope", "_base", "n").agg(F.count("*").alias("n_kept"), F.percentile(residual("_slope", "_base"), 0.5).alias("residual"))
+    return out.select(*keys, F.col("_slope").alias("slope"), F.col("_base").alias("intercept"), "n", "n_kept", "residual")
