@@ -3,11 +3,13 @@
 import random
 import statistics
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import roles
 from trackloom.functions.geometry import Affine
-from trackloom.operators import lines, mainline
+from trackloom.operators import aggregates, lines, mainline
 
 
 def by_force(rows, peaks, width, gap):
@@ -85,3 +87,30 @@ def test_local_offsets(spark):
     held = lines.local_offsets(rows, samples, ["key"], 10.0, 2.0, bridge=110.0, most=1.5)
     assert {x.offset for x in held.filter("key = 1").collect()} == {2.0, 3.0, 3.5, 0.5}
     assert lines.local_offsets(rows.limit(0), samples, ["key"], 10.0, 2.0).count() == 0
+
+
+def through_by_force(rows, rounds=4, floor=1.25, times=2.5):
+    s, t = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    keep, slope, base = np.ones(len(s), bool), 0.0, float(t.mean())
+    for _ in range(rounds):
+        if np.ptp(s[keep]) > 0:
+            slope, base = np.polyfit(s[keep], t[keep], 1)
+        else:
+            slope, base = 0.0, t[keep].mean()
+        off = np.abs(t - slope * s - base)
+        near = off <= max(floor, np.percentile(off[keep], 75) * times)
+        if near.sum() >= max(2, int(len(s) * 0.45)):
+            keep = near
+    return slope, base, len(s), int(keep.sum()), float(np.median(np.abs(t - slope * s - base)[keep]))
+
+
+def test_through_fit_against_force(spark):
+    r = random.Random(3)
+    groups = {k: [(float(s), 0.02 * s + r.gauss(0, 0.4) + (r.uniform(5, 40) if r.random() < share else 0)) for s in range(0, 200, 3)] for k, share in ((1, 0.0), (2, 0.2), (3, 0.6))}
+    groups |= {4: [(5.0, 7.0)], 5: [(5.0, 7.0), (5.0, 8.0)], 6: [(0.0, 0.0), (10.0, 5.0)]}
+    frame = spark.createDataFrame([(k, s, t) for k, rows in groups.items() for s, t in rows], "key int, station double, offset double")
+    got = {x.key: (x.slope, x.intercept, x.n, x.n_kept, x.residual) for x in aggregates.through_fit(frame, ["key"]).collect()}
+    assert set(got) == set(groups)
+    for k, rows in groups.items():
+        assert got[k] == pytest.approx(through_by_force(rows), rel=1e-7, abs=1e-7), k
+    assert aggregates.through_fit(frame.limit(0), ["key"]).count() == 0
