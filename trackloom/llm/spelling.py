@@ -19,7 +19,6 @@ from __future__ import annotations
 import string
 import uuid
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ LEAST, OCCURRENCES, RATIO = 7, 2, 10
 #: One in so many runs loses a code point, chosen by a hash of document and run.
 DELETED = 31
 #: Words, and code points, of a shard; a longer word has a shard of its own. Bytes of the shards of a turn.
-SHARD, SHARD_POINTS = 50_000, 2_000_000
+SHARD, SHARD_POINTS = 200_000, 8_000_000
 TURN_BYTES = 16 << 20
 #: Words that one task walks with.
 WALKED = 20_000
@@ -128,40 +127,57 @@ class Trie:
         found = self.low[node]
         return found if d == size and self.words[found][at:] == word[at + shift :] else -1
 
-    def _edits(self, node: int, letter: str, word: str, at: int) -> Iterator[int]:
+    def _edits(self, node: int, word: str, at: int, out: list[int]) -> None:
         """Neighbours under a node that leaves the word after `at` letters by another letter: replaced, inserted or deleted there."""
-        size = len(word)
-        if at < size and (found := self._straight(node, word, at + 1, 0)) >= 0:
-            yield found
-        if (found := self._straight(node, word, at + 1, -1)) >= 0:
-            yield found
-        if at + 1 < size and word[at + 1] == letter and (found := self._straight(node, word, at + 1, 1)) >= 0:
-            yield found
-
-    def near(self, word: str) -> Iterator[int]:
+        size, text = len(word), self.words[self.low[node]]
+        deleted = at + 1 < size and word[at + 1] == text[at]
+        if self.depth[node] > at + 1:  # the next letter of all words below, which rules most edits out
+            after = text[at + 1]
+            replaced, inserted = at + 1 < size and word[at + 1] == after, at < size and word[at] == after
+            deleted = deleted and at + 2 < size and word[at + 2] == after
+        else:
+            replaced, inserted = at < size, True
+        if replaced and (found := self._straight(node, word, at + 1, 0)) >= 0:
+            out.append(found)
+        if inserted and (found := self._straight(node, word, at + 1, -1)) >= 0:
+            out.append(found)
+        if deleted and (found := self._straight(node, word, at + 1, 1)) >= 0:
+            out.append(found)
+
+    def near(self, word: str) -> list[int]:
         """Numbers of the words at an edit distance of exactly one.
 
         A neighbour's edit can always be put where it first differs from the word. So the walk follows the word itself, and
         at each branch that leaves it one edit is spent, after which a single path remains.
         """
-        node, at, size = 0, 0, len(word)
+        node, at, size, out = 0, 0, len(word), []
+        words, low, depth, first, heads = self.words, self.low, self.depth, self.first, self.heads
         while True:
-            text, end = self.words[self.low[node]], self.depth[node]
+            text, end = words[low[node]], depth[node]
             if text[at:end] != word[at:end]:  # the edge leaves the word, or goes on after its end
-                at += _shared(text[at:end], word[at:end])
-                yield from self._edits(node, text[at], word, at)
-                return
+                self._edits(node, word, at + _shared(text[at:end], word[at:end]), out)
+                return out
             at = end
             if at == size - 1 and len(text) == at:
-                yield self.low[node]  # the word without its last letter
-            onward, letter = -1, word[at : at + 1]
-            for child in range(self.first[node], self.first[node + 1]):
-                if self.heads[child] == letter:
+                out.append(low[node])  # the word without its last letter
+            onward, begin, end = -1, first[node], first[node + 1]
+            letter, after = word[at : at + 1], word[at + 1 : at + 2]
+            for child in range(begin, end):
+                head = heads[child]
+                if head == letter:
                     onward = child
-                else:
-                    yield from self._edits(child, self.heads[child], word, at)
+                elif depth[child] > at + 1 or head == after:
+                    self._edits(child, word, at, out)
+                else:  # no deletion; a replaced or an inserted letter, if the next one is there
+                    a, b = first[child], first[child + 1]
+                    if after and heads.find(after, a, b) >= 0 and (found := self._straight(child, word, at + 1, 0)) >= 0:
+                        out.append(found)
+                    if letter and heads.find(letter, a, b) >= 0 and (found := self._straight(child, word, at + 1, -1)) >= 0:
+                        out.append(found)
+                    if not after and len(words[low[child]]) == at + 1 and at + 1 in (size, size + 1):  # the last letter replaced, or one put after it
+                        out.append(low[child])
             if onward < 0:
-                return
+                return out
             node = onward
 
 
@@ -219,7 +235,7 @@ def neighbours(words: DataFrame, most: int = TURN_BYTES) -> DataFrame:
     spark = words.sparkSession
     count = words.count()
     cut = base.stored(shards(words, count), "shards")
-    sizes = sorted((r["low"], r["size"]) for r in cut.select("low", "size").collect())  # one row for some tens of thousands of words
+    sizes = sorted((r["low"], r["size"]) for r in cut.select("low", "size").collect())  # one row for some hundred thousand words
     parts = max(spark.sparkContext.defaultParallelism, -(-count // WALKED))
     dealt = base.stored(words.select("word").repartition(parts), "walkers") if sizes else None
     found = []
