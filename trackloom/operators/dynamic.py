@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_groups
+from ..shipping import map_groups, map_runs
 
 
 def best_disjoint_pairs(peaks: DataFrame, keys: list[str], low: float, high: float, target: float) -> DataFrame:
@@ -44,51 +45,47 @@ def gauge_pairs(peaks: DataFrame, keys: list[str], gauge: float, tolerance: floa
     return listed.select(*keys, F.explode(kept).alias("p")).select(*keys, ((F.col("p.left") + F.col("p.right")) / 2).alias("center"), (F.col("p.right") - F.col("p.left")).alias("gauge"), (-F.col("p.neg")).alias("score"))
 
 
-def _tracks(rows: pd.DataFrame, max_gap: float, max_offset: float, max_slope: float) -> pd.DataFrame:
-    """Station by station, the best samples first join the open track whose prediction is nearest and near enough, else open one."""
-    rows = rows.sort_values(["station", "score", "center"], ascending=[True, False, True], kind="stable")
-    station, center = rows["station"].to_numpy(float), rows["center"].to_numpy(float)
-    track = np.zeros(len(rows), np.int64)
-    open_: list[list[int]] = []
-    ids: list[int] = []
-    at = 0
-    while at < len(rows):
-        end = at
-        while end < len(rows) and station[end] == station[at]:
-            end += 1
-        keep = [k for k, t in enumerate(open_) if station[at] - station[t[-1]] <= max_gap]
-        open_, ids, used = [open_[k] for k in keep], [ids[k] for k in keep], set()
-        for i in range(at, end):
+def _tracks(station: np.ndarray, center: np.ndarray, max_gap: float, max_offset: float, max_slope: float) -> list[int]:
+    """Track numbers of samples sorted by station, best first. Station by station each joins the open track whose prediction is
+    nearest and near enough, else opens one. A track is (its last station, centre and slope); those too far behind close."""
+    out, made, live, at = [], 0, {}, 0
+    station, center = station.tolist(), center.tolist()
+    while at < len(station):
+        here, end = station[at], at
+        live = {k: v for k, v in live.items() if here - v[0] <= max_gap}
+        used = {}
+        while end < len(station) and station[end] == here:
             best, cost = None, np.inf
-            for k, t in enumerate(open_):
-                ds = station[i] - station[t[-1]]
-                if k in used or ds < 0:
-                    continue
-                guess = center[t[-1]]
-                if len(t) > 1:
-                    guess += (center[t[-1]] - center[t[-2]]) / max(station[t[-1]] - station[t[-2]], 1e-6) * ds
-                miss = abs(center[i] - guess)
-                if miss <= max_offset + max_slope * ds and miss < cost:
+            for k, (s, c, slope) in live.items():
+                miss = abs(center[end] - c - slope * (here - s))
+                if k not in used and miss <= max_offset + max_slope * (here - s) and miss < cost:
                     best, cost = k, miss
+            slope = 0.0
             if best is None:
-                open_.append([])
-                ids.append(int(track.max()) + 1 if at or i else 1)
-                best = len(open_) - 1
-            open_[best].append(i)
-            used.add(best)
-            track[i] = ids[best]
+                made += 1
+                best = made
+            else:
+                s, c, _ = live[best]
+                slope = (center[end] - c) / max(here - s, 1e-6)
+            used[best] = (here, center[end], slope)
+            out.append(best)
+            end += 1
+        live |= used
         at = end
-    return rows.assign(track=track)
+    return out
 
 
 def linked_tracks(samples: DataFrame, keys: list[str], max_gap: float, max_offset: float, max_slope: float, least: int, length: float) -> DataFrame:
     """Pair samples (station, center, score) of each key linked to tracks; those with too few samples or too short go."""
-    key_types = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    key_types = "".join(f"{k} {samples.schema[k].dataType.simpleString()}, " for k in keys)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return _tracks(group, max_gap, max_offset, max_slope)[[*keys, "station", "center", "score", "track"]]
+    def run(batch, starts):
+        station, center = (np.asarray(batch.column(c)) for c in ("station", "center"))
+        track = [t for a, b in zip(starts, starts[1:], strict=False) for t in _tracks(station[a:b], center[a:b], max_gap, max_offset, max_slope)]
+        return batch.append_column("track", pa.array(track, pa.int64()))
 
-    found = map_groups(samples.select(*keys, F.col("station").cast("double"), F.col("center").cast("double"), F.col("score").cast("double")).groupBy(*keys), run, f"{key_types}, station double, center double, score double, track long", samples.sparkSession)
+    rows = samples.select(*keys, F.col("station").cast("double"), F.col("center").cast("double"), F.col("score").cast("double"))
+    found = map_runs(rows, keys, ["station", F.desc("score"), "center"], run, f"{key_types}station double, center double, score double, track long")
     long = found.groupBy(*keys, "track").agg(F.count("*").alias("n"), (F.max("station") - F.min("station")).alias("span")).filter((F.col("n") >= least) & (F.col("span") >= length))
     return found.join(long.select(*keys, "track"), [*keys, "track"], "left_semi")
 
@@ -115,40 +112,54 @@ def path(scores: list[np.ndarray], places: list[np.ndarray], null: float = -0.45
 
 def traced(candidates: DataFrame, keys: list[str], **weights: float) -> DataFrame:
     """One candidate (station, offset, score) per station along the best path of each key; stations where none is best are left out."""
-    key_types = ", ".join(f"{k} {candidates.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        steps = [g for _, g in group.sort_values(["station", "offset"]).groupby("station", sort=True)]
-        chosen = path([g["score"].to_numpy(float) for g in steps], [g["offset"].to_numpy(float) for g in steps], **weights)
-        rows = [g.iloc[[k]] for g, k in zip(steps, chosen, strict=True) if k >= 0]
-        return pd.concat(rows)[[*keys, "station", "offset", "score"]] if rows else group.iloc[:0][[*keys, "station", "offset", "score"]]
+    key_types = "".join(f"{k} {candidates.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def run(batch, starts):
+        station, offset, score = (np.asarray(batch.column(c)) for c in ("station", "offset", "score"))
+        kept = []
+        for a, b in zip(starts, starts[1:], strict=False):
+            cuts = [a, *(a + 1 + np.flatnonzero(np.diff(station[a:b]) != 0)).tolist(), b]
+            steps = [slice(x, y) for x, y in zip(cuts, cuts[1:], strict=False)]
+            chosen = path([score[x] for x in steps], [offset[x] for x in steps], **weights)
+            kept += [x.start + k for x, k in zip(steps, chosen, strict=True) if k >= 0]
+        return batch.take(pa.array(kept, pa.int64()))
 
     picked = candidates.select(*keys, F.col("station").cast("double"), F.col("offset").cast("double"), F.col("score").cast("double"))
-    return map_groups(picked.groupBy(*keys), run, f"{key_types}, station double, offset double, score double", candidates.sparkSession)
+    return map_runs(picked, keys, ["station", "offset"], run, f"{key_types}station double, offset double, score double")
+
+
+def _chain(s0: np.ndarray, s1: np.ndarray, max_gap: float, gap_cost: float) -> list[int]:
+    """The best chain of segments sorted by their starts."""
+    total, back = s1 - s0, np.full(len(s0), -1)
+    for i in range(1, len(s0)):
+        gap = s0[i] - s1[:i]
+        gain = np.where((gap >= 0) & (gap <= max_gap), total[:i] - gap_cost * gap, -np.inf)
+        best = int(gain.argmax())
+        if gain[best] > 0:
+            back[i] = best
+            total[i] += gain[best]
+    chain, k = [], int(total.argmax())
+    while k >= 0:
+        chain.append(k)
+        k = int(back[k])
+    return chain[::-1]
 
 
 def best_chain(segments: DataFrame, keys: list[str], max_gap: float = 60.0, gap_cost: float = 0.25) -> DataFrame:
     """The chain of segments (segment_id, s0, s1) of each key that maximises length less the gaps' cost; segments of a chain do not overlap."""
-    key_types = ", ".join(f"{k} {segments.schema[k].dataType.simpleString()}" for k in keys)
+    key_types = "".join(f"{k} {segments.schema[k].dataType.simpleString()}, " for k in keys)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["s0", "s1", "segment_id"]).reset_index(drop=True)
-        s0, s1 = g["s0"].to_numpy(float), g["s1"].to_numpy(float)
-        total, back = s1 - s0, np.full(len(g), -1)
-        for i in range(len(g)):
-            gap = s0[i] - s1[:i]
-            gain = np.where((gap >= 0) & (gap <= max_gap), total[:i] - gap_cost * gap, -np.inf)
-            if len(gain) and gain.max() > 0:
-                back[i] = int(gain.argmax())
-                total[i] += gain.max()
-        chain, k = [], int(total.argmax())
-        while k >= 0:
-            chain.append(k)
-            k = int(back[k])
-        return g.iloc[chain[::-1]].assign(place=range(len(chain)))[[*keys, "segment_id", "place"]]
+    def run(batch, starts):
+        s0, s1 = (np.asarray(batch.column(c)) for c in ("s0", "s1"))
+        kept, place = [], []
+        for a, b in zip(starts, starts[1:], strict=False):
+            chain = _chain(s0[a:b], s1[a:b], max_gap, gap_cost)
+            kept += [a + k for k in chain]
+            place += range(len(chain))
+        return batch.take(pa.array(kept, pa.int64())).select([*keys, "segment_id"]).append_column("place", pa.array(place, pa.int32()))
 
     picked = segments.select(*keys, "segment_id", F.col("s0").cast("double"), F.col("s1").cast("double"))
-    return map_groups(picked.groupBy(*keys), run, f"{key_types}, segment_id {segments.schema['segment_id'].dataType.simpleString()}, place int", segments.sparkSession)
+    return map_runs(picked, keys, ["s0", "s1", "segment_id"], run, f"{key_types}segment_id {segments.schema['segment_id'].dataType.simpleString()}, place int")
 
 
 def smoothing_matrix(window: int, order: int) -> np.ndarray:
@@ -194,17 +205,17 @@ def prominences(scores: np.ndarray) -> np.ndarray:
 
 def greedy_matches(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs (left, right, score) taken best first, each end once."""
-    key_types = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    ends = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("left", "right", "score"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["score", "left", "right"], ascending=[False, True, True])
-        left, right, kept = set(), set(), []
-        for k, (a, b) in enumerate(zip(g["left"], g["right"], strict=True)):
-            if a not in left and b not in right:
-                left.add(a)
-                right.add(b)
-                kept.append(k)
-        return g.iloc[kept][[*keys, "left", "right", "score"]]
-
-    return map_groups(pairs.select(*keys, "left", "right", "score").groupBy(*keys), run, f"{key_types}, {ends}", pairs.sparkSession)
+    picked = pairs.select(*keys, "left", "right", "score")
+
+    def run(batch, starts):
+        left, right, kept = batch.column("left").to_pylist(), batch.column("right").to_pylist(), []
+        for a, b in zip(starts, starts[1:], strict=False):
+            lefts, rights = set(), set()
+            for k in range(a, b):
+                if left[k] not in lefts and right[k] not in rights:
+                    lefts.add(left[k])
+                    rights.add(right[k])
+                    kept.append(k)
+        return batch.take(pa.array(kept, pa.int64()))
+
+    return map_runs(picked, keys, [F.desc("score"), "left", "right"], run, picked.schema)

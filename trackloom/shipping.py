@@ -10,7 +10,9 @@ import shutil
 import tempfile
 import zipfile
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
@@ -64,3 +66,50 @@ def map_groups(grouped, run, schema, spark: SparkSession) -> DataFrame:
     """applyInPandas for functions of this package."""
     ship(spark)
     return grouped.applyInPandas(run, schema)
+
+
+def _changes(batch: pa.RecordBatch, at: list[int]) -> np.ndarray:
+    """The rows from the second on whose keys differ from the row before; null equals null."""
+    changed = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for k in at:
+        column = batch.column(k)
+        a, b = column.slice(1), column.slice(0, batch.num_rows - 1)
+        changed |= np.asarray(pc.fill_null(pc.not_equal(a, b), False)) | (np.asarray(pc.is_null(a)) != np.asarray(pc.is_null(b)))
+    return np.flatnonzero(changed) + 1
+
+
+def map_runs(df: DataFrame, keys: list[str], order: list, run, schema) -> DataFrame:
+    """Kernels that depend on the row before: rows are dealt by key and sorted by Spark, and `run(batch, starts)` gets whole keys, many at a
+    time (key k in rows starts[k] to starts[k + 1]), and returns a batch. A task holds no more than one Arrow batch and one key."""
+    at = [df.columns.index(k) for k in keys]
+
+    def many(batches):
+        held, starts, last = [], [], None
+
+        def done(parts):
+            whole = pa.Table.from_batches(parts).combine_chunks().to_batches()
+            return run(whole[0], np.array([*starts, whole[0].num_rows]))
+
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = tuple(batch.column(k)[0].as_py() for k in at)
+            cuts = _changes(batch, at).tolist()
+            if first != last:
+                cuts.insert(0, 0)
+            if cuts and (cuts[-1] or held):
+                parts = [*held, batch.slice(0, cuts[-1])] if cuts[-1] else held
+                starts += [rows + c for c in cuts[:-1]]
+                yield done(parts)
+                held, starts, rows, batch = [], [0], 0, batch.slice(cuts[-1])
+            elif cuts:
+                starts = [0]
+            held.append(batch)
+            rows += batch.num_rows
+            last = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in at)
+        if held:
+            yield done(held)
+
+    dealt = df.repartition(*keys) if keys else df.coalesce(1)
+    return map_arrow(dealt.sortWithinPartitions(*keys, *order), many, schema)
