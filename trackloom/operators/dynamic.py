@@ -45,33 +45,46 @@ def gauge_pairs(peaks: DataFrame, keys: list[str], gauge: float, tolerance: floa
     return listed.select(*keys, F.explode(kept).alias("p")).select(*keys, ((F.col("p.left") + F.col("p.right")) / 2).alias("center"), (F.col("p.right") - F.col("p.left")).alias("gauge"), (-F.col("p.neg")).alias("score"))
 
 
-def _tracks(station: np.ndarray, center: np.ndarray, max_gap: float, max_offset: float, max_slope: float) -> list[int]:
-    """Track numbers of samples sorted by station, best first. Station by station each joins the open track whose prediction is
-    nearest and near enough, else opens one. A track is (its last station, centre and slope); those too far behind close."""
-    out, made, live, at = [], 0, {}, 0
-    station, center = station.tolist(), center.tolist()
-    while at < len(station):
-        here, end = station[at], at
-        live = {k: v for k, v in live.items() if here - v[0] <= max_gap}
-        used = {}
-        while end < len(station) and station[end] == here:
+class Linker:
+    """Tracks that samples join station by station: each the open track whose prediction is nearest and near enough, else a new one.
+    `live` holds each open track's last station, centre and slope; a track too far behind is closed."""
+
+    def __init__(self, max_gap: float, max_offset: float, max_slope: float, made: int = 0):
+        self.max_gap, self.max_offset, self.max_slope, self.made = max_gap, max_offset, max_slope, made
+        self.live: dict[int, tuple[float, float, float]] = {}
+
+    def close(self, station: float) -> None:
+        self.live = {k: v for k, v in self.live.items() if station - v[0] <= self.max_gap}
+
+    def take(self, station: float, centers: list[float]) -> list[int]:
+        """Track numbers of the samples of a station, given best first."""
+        self.close(station)
+        out, used = [], {}
+        for center in centers:
             best, cost = None, np.inf
-            for k, (s, c, slope) in live.items():
-                miss = abs(center[end] - c - slope * (here - s))
-                if k not in used and miss <= max_offset + max_slope * (here - s) and miss < cost:
+            for k, (s, c, slope) in self.live.items():
+                miss = abs(center - c - slope * (station - s))
+                if k not in used and miss <= self.max_offset + self.max_slope * (station - s) and miss < cost:
                     best, cost = k, miss
             slope = 0.0
             if best is None:
-                made += 1
-                best = made
+                self.made += 1
+                best = self.made
             else:
-                s, c, _ = live[best]
-                slope = (center[end] - c) / max(here - s, 1e-6)
-            used[best] = (here, center[end], slope)
+                s, c, _ = self.live[best]
+                slope = (center - c) / max(station - s, 1e-6)
+            used[best] = (station, center, slope)
             out.append(best)
-            end += 1
-        live |= used
-        at = end
+        self.live |= used
+        return out
+
+
+def _tracks(station: np.ndarray, center: np.ndarray, *rule: float) -> list[int]:
+    """Track numbers of samples sorted by station, best first."""
+    linker, centers, out = Linker(*rule), center.tolist(), []
+    cuts = [0, *(1 + np.flatnonzero(np.diff(station))).tolist(), len(station)] if len(station) else [0]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        out += linker.take(float(station[a]), centers[a:b])
     return out
 
 
@@ -81,13 +94,21 @@ def linked_tracks(samples: DataFrame, keys: list[str], max_gap: float, max_offse
 
     def run(batch, starts):
         station, center = (np.asarray(batch.column(c)) for c in ("station", "center"))
-        track = [t for a, b in zip(starts, starts[1:], strict=False) for t in _tracks(station[a:b], center[a:b], max_gap, max_offset, max_slope)]
-        return batch.append_column("track", pa.array(track, pa.int64()))
+        tracks, kept = [], []
+        for a, b in zip(starts, starts[1:], strict=False):
+            found = np.array(_tracks(station[a:b], center[a:b], max_gap, max_offset, max_slope))
+            order = np.argsort(found, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(found[order]) > 0))
+            n, at = np.diff(np.append(first, len(found))), station[a:b][order]
+            long = (n >= least) & (at[np.append(first[1:], len(found)) - 1] - at[first] >= length)
+            rows = np.sort(order[np.repeat(long, n)])
+            kept.append(a + rows)
+            tracks.append(found[rows])
+        out = batch.take(pa.array(np.concatenate(kept), pa.int64()))
+        return out.append_column("track", pa.array(np.concatenate(tracks), pa.int64()))
 
     rows = samples.select(*keys, F.col("station").cast("double"), F.col("center").cast("double"), F.col("score").cast("double"))
-    found = map_runs(rows, keys, ["station", F.desc("score"), "center"], run, f"{key_types}station double, center double, score double, track long")
-    long = found.groupBy(*keys, "track").agg(F.count("*").alias("n"), (F.max("station") - F.min("station")).alias("span")).filter((F.col("n") >= least) & (F.col("span") >= length))
-    return found.join(long.select(*keys, "track"), [*keys, "track"], "left_semi")
+    return map_runs(rows, keys, ["station", F.desc("score"), "center"], run, f"{key_types}station double, center double, score double, track long")
 
 
 def path(scores: list[np.ndarray], places: list[np.ndarray], null: float = -0.45, switch: float = -0.2, weight: float = 1.0) -> list[int]:

@@ -450,3 +450,32 @@ def stream_slices(spark, d):
     q = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).format("memory").queryName(name).start()
     q.awaitTermination()
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "bin", "n")
+
+
+def _visits(spark, d):
+    """Events as samples of their users' tracks in time."""
+    return table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("time"), F.col("value").cast("double").alias("center"), (1 / (1 + F.col("value"))).cast("double").alias("score"))
+
+
+_LINKS = {"max_gap": 4 * 86400.0, "max_offset": 40.0, "max_slope": 0.0, "least": 3, "length": 86400.0}
+
+
+@query("stream_tracks")
+def stream_tracks(spark, d):
+    """The tracks of all users' events as a stream that takes five days at a time; the rows are those of `batch_tracks`."""
+    import uuid
+
+    from ..storage import shared_dir
+    from ..streaming.linking import chunked, drained, linked_stream
+
+    place, late = f"{shared_dir(spark).rstrip('/')}/links-{uuid.uuid4().hex}", 5 * 86400
+    rows = _visits(spark, d)
+    chunked(spark, rows, "time", late, f"{place}/in")
+    end = rows.agg(F.max("time").alias("time")).select(F.lit(None).cast("long").alias("user_id"), (F.coalesce("time", F.lit("2000-01-01").cast("timestamp")) + F.expr("INTERVAL 30 DAYS")).alias("time"), F.lit(0.0).alias("center"), F.lit(0.0).alias("score"))
+    return drained(lambda s: linked_stream(s, ["user_id"], "time", f"{late} seconds", **_LINKS), f"{place}/in", end, place, 64)
+
+
+@query("batch_tracks")
+def batch_tracks(spark, d):
+    rows = _visits(spark, d).withColumn("station", F.unix_millis("time") / 1000)
+    return dynamic.linked_tracks(rows, ["user_id"], **_LINKS)
