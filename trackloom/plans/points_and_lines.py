@@ -51,9 +51,9 @@ def line_summary(spark, d):
 _SEG = "g AS (SELECT line_id, seq, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by_, z FROM v WINDOW w AS (PARTITION BY line_id ORDER BY seq)), h AS (SELECT *, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS l FROM g WHERE bx IS NOT NULL), a AS (SELECT *, coalesce(sum(l) OVER (PARTITION BY line_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM h WHERE l > 0), t AS (SELECT line_id, max(s0 + l) AS len FROM a GROUP BY line_id)"
 
 
-@query("densify", f"WITH {V}, {_SEG}, n AS (SELECT line_id, len, greatest(2, ceil(len / 20)::INT + 1) AS many FROM t), k AS (SELECT line_id, k, len, k * len / (many - 1) AS station FROM (SELECT *, unnest(range(many)) AS k FROM n)), m AS (SELECT k.line_id, k.k, k.station, a.*, row_number() OVER (PARTITION BY k.line_id, k.k ORDER BY a.s0 DESC) AS rn FROM k JOIN a ON a.line_id = k.line_id AND a.s0 <= least(k.station, k.len)) SELECT line_id, k::INT AS k, round(station, 6) AS station, round(ax + (station - s0) / l * (bx - ax), 6) AS x, round(ay + (station - s0) / l * (by_ - ay), 6) AS y FROM m WHERE rn = 1")
+@query("densify", f"WITH {V}, {_SEG}, n AS (SELECT line_id, len, greatest(2, ceil(len / 20)::INT + 1) AS many FROM t), k AS (SELECT line_id, k, len, k * len / (many - 1) AS station FROM (SELECT *, unnest(range(many)) AS k FROM n)), m AS (SELECT k.line_id, k.k, k.station, a.*, row_number() OVER (PARTITION BY k.line_id, k.k ORDER BY a.s0 DESC) AS rn FROM k JOIN a ON a.line_id = k.line_id AND a.s0 <= least(k.station, k.len)) SELECT line_id, k::INT AS k, station, ax + (station - s0) / l * (bx - ax) AS x, ay + (station - s0) / l * (by_ - ay) AS y FROM m WHERE rn = 1")
 def densify(spark, d):
-    return lines.densify(vertices(spark, d), 20.0).select("line_id", "k", *(r(c, 6).alias(c) for c in ("station", "x", "y")))
+    return lines.densify(vertices(spark, d), 20.0).select("line_id", "k", "station", "x", "y")
 
 
 @query("turn_angles", f"WITH {V}, w AS (SELECT *, x - lag(x) OVER o AS a, y - lag(y) OVER o AS b, lead(x) OVER o - x AS c, lead(y) OVER o - y AS e FROM v WINDOW o AS (PARTITION BY line_id ORDER BY seq)) SELECT line_id, count(*) AS n, round(max(degrees(acos(least(1, greatest(-1, (a * c + b * e) / (sqrt(a * a + b * b) * sqrt(c * c + e * e))))))), 4) AS sharpest FROM w WHERE a IS NOT NULL AND c IS NOT NULL AND sqrt(a * a + b * b) * sqrt(c * c + e * e) > 0 GROUP BY line_id")

@@ -446,10 +446,15 @@ def stream_slices(spark, d):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), "value")
     counts = slice_counts(rows, "ts", "1 day", "1 day", "value", 50.0)
-    name = f"slices_{uuid.uuid4().hex}"
-    q = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).format("memory").queryName(name).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "bin", "n")
+    done = []
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{place}/rows-{number}")
+        done.append(number)
+
+    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.schema(counts.schema).parquet(f"{place}/rows-{max(done)}") if done else spark.createDataFrame([], counts.schema)
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "bin", "n")
 
 
 def _visits(spark, d):
