@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import natural_key, stable_id
+from .las import las_headers as las_headers
+from .las import las_points as las_points
 
 POINT = T.StructType([T.StructField(c, T.DoubleType()) for c in "xyz"])
 
@@ -20,64 +22,6 @@ def text_points(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("x is not null and y is not null and z is not null")
 
 
-def _las(batches, chunk: int):
-    """Points of LAS content (public ASPRS layout, point formats 0 to 10, not compressed)."""
-    import numpy as np
-    import pyarrow as pa
-
-    for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            at = lambda kind, pos, n=1, c=content: np.frombuffer(c, kind, n, pos)
-            if content[:4] != b"LASF":
-                raise ValueError(f"{path} is no LAS file")
-            start, form, size = int(at("<u4", 96)[0]), content[104] & 0x3F, int(at("<u2", 105)[0])
-            if content[104] & 0x80:
-                raise ValueError(f"{path} is compressed; LAZ needs an external library")
-            many = int(at("<u4", 107)[0]) or (int(at("<u8", 247)[0]) if content[25] >= 4 else 0)
-            scale, shift = at("<f8", 131, 3), at("<f8", 155, 3)
-            colour = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}.get(form)
-            raw = np.frombuffer(content, np.uint8, many * size, start).reshape(many, size)
-            for k in range(0, many, chunk):
-                part = raw[k : k + chunk]
-                field = lambda pos, kind, p=part: np.ascontiguousarray(p[:, pos : pos + np.dtype(kind).itemsize]).view(kind).ravel()
-                columns = [field(4 * j, "<i4") * scale[j] + shift[j] for j in range(3)] + [field(12, "<u2").astype("f4"), field(16 if form >= 6 else 15, "u1").astype("i4") & (0xFF if form >= 6 else 0x1F)]
-                rgb = [field(colour + 2 * j, "<u2").astype("i4") if colour else None for j in range(3)]
-                arrays = [pa.array(c) for c in columns] + [pa.nulls(len(part), pa.int32()) if c is None else pa.array(c) for c in rgb] + [pa.array([path] * len(part))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["x", "y", "z", "intensity", "classification", "red", "green", "blue", "source_path"])
-
-
-LAS = "x double, y double, z double, intensity float, classification int, red int, green int, blue int, source_path string"
-
-
-def las_points(spark: SparkSession, path: str, chunk: int = 1_000_000) -> DataFrame:
-    """Points of LAS files. A file is one task's input; a point cloud of many tiles spreads over many."""
-    from ..shipping import map_arrow
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[lL][aA][sS]").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return map_arrow(files, lambda batches: _las(batches, chunk), LAS)
-
-
-def las_headers(spark: SparkSession, path: str) -> DataFrame:
-    """path, n, bounds, has_rgb of LAS files, from their headers."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[lL][aA][sS]").option("recursiveFileLookup", True).load(path)
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for p, c in zip(batch.column("path").to_pylist(), batch.column("head").to_pylist(), strict=True):
-                b = np.frombuffer(c, "<f8", 6, 179)
-                n = int(np.frombuffer(c, "<u4", 1, 107)[0])
-                rows.append({"path": p, "n": n, "x_max": b[0], "x_min": b[1], "y_max": b[2], "y_min": b[3], "z_max": b[4], "z_min": b[5], "has_rgb": (c[104] & 0x3F) in (2, 3, 5, 7, 8, 10)})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("n", pa.int64()), *((k, pa.float64()) for k in ("x_min", "x_max", "y_min", "y_max", "z_min", "z_max")), ("has_rgb", pa.bool_())]))
-
-    from ..shipping import map_arrow
-
-    return map_arrow(files.select("path", F.substring("content", 1, 375).alias("head")), run, "path string, n long, x_min double, x_max double, y_min double, y_max double, z_min double, z_max double, has_rgb boolean")
-
-
 def pruned(headers: DataFrame, x_min: float, x_max: float, y_min: float, y_max: float) -> list[str]:
     """Paths of files whose bounds meet a rectangle, in natural order."""
     met = headers.filter((F.col("x_min") <= x_max) & (F.col("x_max") >= x_min) & (F.col("y_min") <= y_max) & (F.col("y_max") >= y_min))
