@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scalars import clamp
@@ -195,3 +195,103 @@ def utm_forward(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
     east = k0 * n * (q + (1 - t + c) * q**3 / 6 + (5 - 18 * t + t**2 + 72 * c - 58 * ep2) * q**5 / 120) + 500000.0
     north = k0 * (m + n * F.tan(phi) * (q**2 / 2 + (5 - t + 9 * c + 4 * c**2) * q**4 / 24 + (61 - 58 * t + t**2 + 600 * c - 330 * ep2) * q**6 / 720))
     return east, north
+
+
+#: WGS 84 and the scale of UTM's central meridian, fixed values.
+_A, _F, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
+_N = _F / (2 - _F)
+
+
+def _series(rows: list[list[float]]) -> list[float]:
+    """Row j holds the factors of n to the powers j, j + 1 and so on."""
+    return [sum(c * _N ** (j + k) for k, c in enumerate(row)) for j, row in enumerate(rows, 1)]
+
+
+# Krueger's series to the sixth order, to the plane, back to the conformal sphere, and from conformal to geographic latitude.
+_TO_PLANE = _series([
+    [1 / 2, -2 / 3, 5 / 16, 41 / 180, -127 / 288, 7891 / 37800], [13 / 48, -3 / 5, 557 / 1440, 281 / 630, -1983433 / 1935360],
+    [61 / 240, -103 / 140, 15061 / 26880, 167603 / 181440], [49561 / 161280, -179 / 168, 6601661 / 7257600], [34729 / 80640, -3418889 / 1995840], [212378941 / 319334400],
+])
+_FROM_PLANE = _series([
+    [1 / 2, -2 / 3, 37 / 96, -1 / 360, -81 / 512, 96199 / 604800], [1 / 48, 1 / 15, -437 / 1440, 46 / 105, -1118711 / 3870720],
+    [17 / 480, -37 / 840, -209 / 4480, 5569 / 90720], [4397 / 161280, -11 / 504, -830251 / 7257600], [4583 / 161280, -108847 / 3991680], [20648693 / 638668800],
+])
+_TO_LATITUDE = _series([
+    [2, -2 / 3, -2, 116 / 45, 26 / 45, -2854 / 675], [7 / 3, -8 / 5, -227 / 45, 2704 / 315, 2323 / 945],
+    [56 / 15, -136 / 35, -1262 / 105, 73814 / 2835], [4279 / 630, -332 / 35, -399572 / 14175], [4174 / 315, -144838 / 6237], [601676 / 22275],
+])
+_RADIUS = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64 + _N**6 / 256)
+
+
+def to_utm(rows: DataFrame, zone: int, south: bool = False, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
+    """Rows with x, y in a UTM zone (WGS 84), of degrees; exact to less than a micrometre within some thousand kilometres of the central meridian."""
+    e = (_F * (2 - _F)) ** 0.5
+    phi, lam = F.radians(lat), F.radians(F.col(lon) - (zone * 6 - 183))
+    rows = rows.withColumns({"_s": F.sin(phi), "_l": lam})
+    rows = rows.withColumn("_t", F.sinh(F.atanh("_s") - e * F.atanh(e * F.col("_s"))))
+    rows = rows.withColumns({"_xi": F.atan2(F.col("_t"), F.cos("_l")), "_eta": F.asinh(F.sin("_l") / F.hypot(F.col("_t"), F.cos("_l")))})
+    xi, eta = F.col("_xi"), F.col("_eta")
+    east, north = eta, xi
+    for j, c in enumerate(_TO_PLANE, 1):
+        east, north = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta), north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return rows.withColumns({x: _K0 * _RADIUS * east + 500000.0, y: _K0 * _RADIUS * north + (10000000.0 if south else 0.0)}).drop("_s", "_l", "_t", "_xi", "_eta")
+
+
+def from_utm(rows: DataFrame, zone: int, south: bool = False, x: str = "x", y: str = "y", lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Rows with lon, lat in degrees, of x, y in a UTM zone (WGS 84)."""
+    rows = rows.withColumns({"_xi": (F.col(y) - (10000000.0 if south else 0.0)) / (_K0 * _RADIUS), "_eta": (F.col(x) - 500000.0) / (_K0 * _RADIUS)})
+    xi, eta = F.col("_xi"), F.col("_eta")
+    a, b = xi, eta
+    for j, c in enumerate(_FROM_PLANE, 1):
+        a, b = a - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta), b - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    rows = rows.withColumns({"_a": a, "_b": b})
+    rows = rows.withColumn("_chi", F.asin(F.sin("_a") / F.cosh("_b")))
+    chi = F.col("_chi")
+    phi = chi
+    for j, c in enumerate(_TO_LATITUDE, 1):
+        phi = phi + c * F.sin(2 * j * chi)
+    return rows.withColumns({lon: F.degrees(F.atan2(F.sinh("_b"), F.cos("_a"))) + (zone * 6 - 183), lat: F.degrees(phi)}).drop("_xi", "_eta", "_a", "_b", "_chi")
+
+
+def utm_zone(epsg: int) -> tuple[int, bool]:
+    """Zone and hemisphere (True: south) of a WGS 84 UTM code."""
+    zone, south = epsg % 100, epsg // 100 == 327
+    if epsg // 100 not in (326, 327) or not 1 <= zone <= 60:
+        raise ValueError(f"{epsg} is no code of a WGS 84 UTM zone")
+    return zone, south
+
+
+def reprojected(rows: DataFrame, source: int, target: int, x: str = "x", y: str = "y") -> DataFrame:
+    """x and y of one system in another: 4326 (degrees) or any WGS 84 UTM zone, by EPSG codes."""
+    if source == target:
+        return rows
+    if source != 4326:
+        rows = from_utm(rows, *utm_zone(source), x=x, y=y, lon="_lon", lat="_lat")
+    else:
+        rows = rows.withColumns({"_lon": F.col(x), "_lat": F.col(y)})
+    if target != 4326:
+        rows = to_utm(rows, *utm_zone(target), lon="_lon", lat="_lat", x=x, y=y)
+    else:
+        rows = rows.withColumns({x: F.col("_lon"), y: F.col("_lat")})
+    return rows.drop("_lon", "_lat")
+
+
+def reprojected_boxes(boxes: DataFrame, source: int, target: int, steps: int = 32) -> DataFrame:
+    """Boxes (x_min, x_max, y_min, y_max) in another system, so that all points of a box are in the new one: each side is walked in `steps`, as the image of
+    a straight side is curved, and the new box is widened by the most that a curve can rise between two steps."""
+    if source == target:
+        return boxes
+    k = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("_k")
+    rows = boxes.withColumn("_id", F.monotonically_increasing_id()).withColumn("_box", F.struct(*boxes.columns))
+    u = F.col("_k") / steps
+    across, up = F.col("x_min") + u * (F.col("x_max") - F.col("x_min")), F.col("y_min") + u * (F.col("y_max") - F.col("y_min"))
+    sides = F.array(*(F.struct(F.lit(n).alias("side"), a.alias("px"), b.alias("py")) for n, (a, b) in enumerate(((across, F.col("y_min")), (across, F.col("y_max")), (F.col("x_min"), up), (F.col("x_max"), up)))))
+    points = rows.select("_id", "_box", "x_min", "x_max", "y_min", "y_max", k).select("_id", "_box", "_k", F.explode(sides).alias("_p")).select("_id", "_box", "_k", "_p.side", "_p.px", "_p.py")
+    points = reprojected(points, source, target, "px", "py")
+    w = Window.partitionBy("_id", "side").orderBy("_k")
+    bend = lambda c: F.abs(F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w))
+    points = points.withColumns({"_bx": bend("px"), "_by": bend("py")})
+    rise = lambda c: F.coalesce(F.max(c), F.lit(0.0))  # noqa: E731  a parabola rises by an eighth of its second difference, so all of it is ample
+    new = {"x_min": F.min("px") - rise("_bx"), "x_max": F.max("px") + rise("_bx"), "y_min": F.min("py") - rise("_by"), "y_max": F.max("py") + rise("_by")}
+    found = points.groupBy("_id").agg(F.first("_box").alias("_box"), *(c.alias(f"_{n}") for n, c in new.items()))
+    return found.select(*(F.col(f"_{c}").alias(c) if c in new else F.col(f"_box.{c}").alias(c) for c in boxes.columns))

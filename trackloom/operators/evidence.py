@@ -174,3 +174,62 @@ def arc_probe(curve: DataFrame, arc: DataFrame, keys: list[str], s0: Column, s1:
     both = interpolate(curve, arc.withColumnRenamed("offset", "arc_offset"), "station", "station", "arc_offset", keys)
     inside = F.col("station").between(s0, s1) & F.col("arc_offset").isNotNull()
     return both.withColumn("moved", F.when(inside, F.col("arc_offset") - F.col("offset")).otherwise(F.lit(0.0))).withColumn("offset", F.when(inside, F.col("arc_offset")).otherwise(F.col("offset"))).drop("arc_offset")
+
+
+def constrained(candidates: DataFrame, gauges: DataFrame, keys: list[str], longest: float = 45.0, shift: float = 1.2, step: float = 1.0) -> DataFrame:
+    """Candidates (keys, s, t) rebuilt along the gauge centreline (keys, s, t) that was matched to them: keys, place, s, t, kind.
+
+    Between the ends of the gauge line its own vertices stand. Where the candidate begins before it or ends after it, by no more than `longest`, a
+    stub of `step` metres eases over to the candidate's end (kind prefix, suffix). A suffix that has to move sideways by more than `shift` does so early,
+    as evidence that ends before the tangent gives no reason for a line beside the main track, and the whole line is then evened out
+    (kind smoothed). A key with fewer than two vertices on either side keeps its candidate (kind candidate). Defaults are fixed values.
+    """
+    ends = lambda df, a: df.groupBy(*keys).agg(F.count("*").alias(f"{a}n"), F.min(F.struct("s", "t")).alias(f"{a}0"), F.max(F.struct("s", F.struct((-F.col("t")).alias("m"), "t").alias("o"))).alias(f"{a}1"))
+    both = ends(candidates, "c").join(ends(gauges, "g"), keys).filter("cn > 1 and gn > 1")
+    c0, g0, c1, g1 = F.col("c0"), F.col("g0"), F.struct(F.col("c1.s").alias("s"), F.col("c1.o.t").alias("t")), F.struct(F.col("g1.s").alias("s"), F.col("g1.o.t").alias("t"))
+    both = both.select(*keys, c0.alias("c0"), g0.alias("g0"), c1.alias("c1"), g1.alias("g1"))
+    before, after = F.col("g0.s") - F.col("c0.s"), F.col("c1.s") - F.col("g1.s")
+    early = F.abs(F.col("c1.t") - F.col("g1.t")) > shift
+    both = both.withColumns({"_pre": (before > 0) & (before <= longest), "_post": (after > 0) & (after <= longest)}).withColumn("_early", F.col("_post") & early)
+
+    def stub(a, b, power, kind):
+        many = F.greatest(F.lit(2), F.ceil(F.abs(b["s"] - a["s"]) / max(step, 0.1)).cast("int") + 1)
+
+        def at(k):
+            u = k / (many - 1)
+            d = F.pow(u, power)
+            return F.struct((a["s"] + (b["s"] - a["s"]) * u).alias("s"), (a["t"] + (b["t"] - a["t"]) * d * d * (3 - 2 * d)).alias("t"), F.lit(kind).alias("kind"))
+
+        return F.transform(F.sequence(F.lit(0), many - 1), at)
+
+    own = gauges.join(both.select(*keys, "_early"), keys).select(*keys, "s", "t", F.lit("gauge").alias("kind"), F.lit(1).alias("_rank"), "_early")
+    pre = both.filter("_pre").select(*keys, "_early", F.explode(stub(F.col("c0"), F.col("g0"), F.lit(1.0), "prefix")).alias("p"))
+    post = both.filter("_post").select(*keys, "_early", F.explode(stub(F.col("g1"), F.col("c1"), F.when(F.col("_early"), 0.35).otherwise(1.0), "suffix")).alias("p"))
+    rows = own
+    for stubs, rank in ((pre, 0), (post, 0)):  # where a stub meets the gauge line, the gauge's own vertex stands
+        rows = rows.unionByName(stubs.select(*keys, "p.s", "p.t", "p.kind", F.lit(rank).alias("_rank"), "_early"))
+    # Of vertices nearer than a micrometre the last stands; the gauge's rank puts it last.
+    w = Window.partitionBy(*keys).orderBy("s", "_rank", "t")
+    rows = rows.withColumn("_next", F.lead("s").over(w)).filter(F.col("_next").isNull() | (F.col("_next") - F.col("s") >= 1e-6)).drop("_next")
+    even = evened(rows.filter("_early"), keys).withColumn("kind", F.lit("smoothed"))
+    kept = candidates.join(both.select(*keys), keys, "left_anti").select(*keys, "s", "t", F.lit("candidate").alias("kind"))
+    out = rows.filter("not _early").select(*keys, "s", "t", "kind").unionByName(even.select(*keys, "s", "t", "kind")).unionByName(kept)
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("s", "t")) - 1)
+
+
+def evened(rows: DataFrame, keys: list[str], step: float = 0.75, window: int = 5, passes: int = 4) -> DataFrame:
+    """Lines (keys, s, t) at even stations, smoothed by a moving mean `passes` times; the two places at either end stay. Lines of fewer than five vertices are left as they are."""
+    from .ranges import interpolate
+
+    ends = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("s").alias("_a"), F.max("s").alias("_b"))
+    long = ends.filter("_n >= 5 and _b > _a")
+    many = F.greatest(F.lit(5), F.ceil((F.col("_b") - F.col("_a")) / max(step, 0.1)).cast("int") + 1)
+    grid = long.withColumn("_m", many).select(*keys, "_m", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda k: F.col("_a") + (F.col("_b") - F.col("_a")) * k / (F.col("_m") - 1))).alias("_k", "s"))
+    out = interpolate(grid, rows.select(*keys, F.col("s").alias("_at"), "t"), "s", "_at", "t", keys, "clamp")
+    half = max(1, window // 2)
+    w = Window.partitionBy(*keys).orderBy("_k").rowsBetween(-half, half)
+    locked = (F.col("_k") < 2) | (F.col("_k") > F.col("_m") - 3)
+    for _ in range(passes):
+        out = out.withColumn("_t", F.avg("t").over(w)).withColumn("t", F.when(locked, F.col("t")).otherwise(F.col("_t"))).drop("_t")
+    short = rows.join(long.select(*keys), keys, "left_anti")
+    return out.select(*keys, "s", "t").unionByName(short.select(*keys, "s", "t"))
