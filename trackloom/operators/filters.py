@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Frame
+from .quantiles import exact_quantiles
 from .sampling import even
 
 
@@ -26,8 +27,8 @@ def inside_oriented(points: DataFrame, frame: Frame, s: tuple[float, float], t:
 def highest(points: DataFrame, keep: float) -> DataFrame:
     """The highest share of all points (0.05 to 1)."""
     keep = min(1.0, max(0.05, keep))
-    least = points.agg(F.percentile("z", 1 - keep)).first()[0]
-    return points if least is None else points.filter(F.col("z") >= least)
+    least = exact_quantiles(points, "z", [1 - keep])
+    return points if least is None else points.filter(F.col("z") >= least[0])
 
 
 def slice_tops(points: DataFrame, slice_: str = "slice", shares: tuple[float, ...] = (0.55, 0.45, 0.35)) -> DataFrame:
@@ -52,14 +53,14 @@ def above_ground(points: DataFrame, cell: float, low: float, high: float, share:
     keyed = points.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)})
     rows = keyed.join(ground(points, cell, share), ["gx", "gy"]).withColumn("height", F.col("z") - F.col("ground")).filter(F.col("height").between(low, high))
     if intensity_share is not None:
-        most = points.agg(F.percentile("intensity", intensity_share)).first()[0]
-        rows = rows.filter(F.col("intensity") <= most) if most is not None else rows
+        most = exact_quantiles(points, "intensity", [intensity_share])
+        rows = rows.filter(F.col("intensity") <= most[0]) if most else rows
     return rows.drop("gx", "gy")
 
 
 def station_ground(points: DataFrame, size: float, share: float = 0.2, least: int = 8) -> DataFrame:
     """station_bin, ground: a low quantile per bin; the quantile of all where a bin has too few points."""
-    overall = points.agg(F.percentile("z", share)).first()[0]
+    overall = (exact_quantiles(points, "z", [share]) or [None])[0]
     bins = points.groupBy(F.floor(F.col("station") / size).alias("station_bin")).agg(F.count("z").alias("n"), F.percentile("z", share).alias("own"))
     return bins.select("station_bin", F.when(F.col("n") < least, F.lit(overall)).otherwise(F.col("own")).alias("ground"))
 

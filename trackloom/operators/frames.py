@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Frame, Guide
+from .quantiles import exact_quantiles
 
 
 def pca_frame(points: DataFrame, forced_up: bool = False) -> Frame:
-    """Origin at mean x, mean y, median z; axis along the larger eigenvector of the sample covariance. One aggregate row."""
-    r = points.agg(F.avg("x"), F.avg("y"), F.percentile("z", 0.5), F.var_samp("x"), F.covar_samp("x", "y"), F.var_samp("y")).first()
+    """Origin at mean x, mean y, median z; axis along the larger eigenvector of the sample covariance."""
+    z = (exact_quantiles(points, "z", [0.5]) or [None])[0]
+    r = points.agg(F.avg("x"), F.avg("y"), F.lit(z).cast("double"), F.var_samp("x"), F.covar_samp("x", "y"), F.var_samp("y")).first()
     if r[0] is None:
         raise ValueError("a frame needs points")
     angle = 0.5 * math.atan2(2 * (r[4] or 0.0), (r[3] or 0.0) - (r[5] or 0.0))
@@ -52,8 +54,8 @@ def guide_of(line: DataFrame) -> Guide:
 def bounding_box(points: DataFrame, frame: Frame, low: float = 0.02, high: float = 0.98, margin: float = 1.0) -> list[tuple[float, float]]:
     """Corners, in order, of the box of the quantiles along the frame, widened by a margin."""
     s, t, _ = frame.local(F.col("x"), F.col("y"), F.lit(0.0))
-    q = points.select(s.alias("s"), t.alias("t")).agg(F.percentile("s", F.array(F.lit(low), F.lit(high))), F.percentile("t", F.array(F.lit(low), F.lit(high)))).first()
-    (s0, s1), (t0, t1) = q
+    local = points.select(s.alias("s"), t.alias("t"))
+    (s0, s1), (t0, t1) = (exact_quantiles(local, c, [low, high]) for c in "st")
     out = []
     for a, b in ((s0 - margin, t0 - margin), (s1 + margin, t0 - margin), (s1 + margin, t1 + margin), (s0 - margin, t1 + margin)):
         out.append((a * frame.ux - b * frame.uy + frame.ox, a * frame.uy + b * frame.ux + frame.oy))

@@ -48,6 +48,9 @@ class Tracing:
     start_apart: float = 1.75
     #: A branch start is drawn onto the main track if its next place is no farther from it.
     anchored: float = 1.0
+    #: How far from its anchor a candidate may be, and what one on it gains.
+    snap: float = 2.5
+    anchor_weight: float = 14.0
 
 
 def normalised(candidates: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -177,8 +180,8 @@ def turnouts(candidates: DataFrame, keys: list[str], rule: Tracing | None = None
         for role, name in (("main", "gain"), ("branch", "branch_gain")):
             given = anchors.filter(F.col("role") == role).select(*keys, F.col("s").cast("double"), F.col("t").cast("double").alias("_at"))
             rows = interpolate(rows, given, "s", "s", "_at", keys)
-            bonus = F.coalesce(anchor_bonus(F.abs(F.col("t") - F.col("_at"))), F.lit(0.0))
-            rows = rows.withColumn(name, F.when(~anchor_far(F.col("t"), F.col("_at")), F.col(name) + bonus)).drop("_at")  # null: left out
+            bonus = F.coalesce(anchor_bonus(F.abs(F.col("t") - F.col("_at")), rule.snap, rule.anchor_weight), F.lit(0.0))
+            rows = rows.withColumn(name, F.when(~anchor_far(F.col("t"), F.col("_at"), rule.snap), F.col(name) + bonus)).drop("_at")  # null: left out
     rows = rows.select(*keys, "slice", "s", "t", "z", "gain", "branch_gain", "place")
     key_types = "".join(f"{k} {candidates.schema[k].dataType.simpleString()}, " for k in keys)
 
