@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, tables
-from ..operators import evidence, guides, masks
+from ..operators import evidence, guides, masks, polygons
 from . import points_and_lines  # noqa: F401  its SQL is used here
 from .registry import ORACLE_SQL, query, table, vertices
 
@@ -68,3 +68,13 @@ def constrained_lines(spark, d):
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double")
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), day.alias("s"), (F.col("l_quantity") / 20).alias("t"), "l_linenumber")
     return evidence.constrained(rows.select("key", "s", "t"), rows.filter("l_linenumber % 2 = 0").select("key", "s", "t"), ["key"])
+
+
+@query("merged_zones")
+def merged_zones(spark, d):
+    """A four-cornered zone at each customer, and the outlines of what they cover together."""
+    c = table(spark, d, "customer")
+    corner = F.explode(F.array(*(F.struct(F.lit(k).alias("seq"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(((-1.0, -0.5), (1.0, -1.0), (0.7, 1.0), (-0.6, 0.8)))))).alias("k")
+    half = 1 + F.col("c_nationkey") / 10
+    rows = c.select(F.col("c_custkey").alias("polygon_id"), (F.col("c_acctbal") / 200).alias("cx"), (F.col("c_custkey") / 5).alias("cy"), half.alias("h"), corner)
+    return polygons.union(rows.select("polygon_id", "k.seq", (F.col("cx") + F.col("h") * F.col("k.a")).alias("x"), (F.col("cy") + F.col("h") * F.col("k.b")).alias("y")), 4.0)
