@@ -99,3 +99,25 @@ def test_empty_pages(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write(df, str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_broken_archives_are_told(spark, tmp_path):
+    """A wrong length, a line before the first record, a file cut off, a file that is no archive: errors, or the records up to there."""
+    rows = [(k, "u", f"page {k} " * 5) for k in range(6)]
+    warc.records(spark.createDataFrame(rows, "page_id long, url string, html string")).coalesce(1).write.option("lineSep", "\r\n").text(str(tmp_path / "sound"))
+    (whole,) = [p for p in (tmp_path / "sound").iterdir() if p.name.startswith("part-")]
+    sound = whole.read_bytes()
+    length = len(b"page 2 ") * 5
+    third = sound.index(b"page 2 ")
+    at = sound.rindex(b"Content-Length: ", 0, third)
+    cases = {
+        "length": (sound[:at] + sound[at:].replace(f"Content-Length: {length}".encode(), f"Content-Length: {length + 3}".encode(), 1), 3),
+        "before": (b"\n" + sound, 0), "cut": (sound[:-9], 6), "text": (b"no archive at all", 0), "more": (sound + b"x", 6),
+    }
+    for name, (data, n) in cases.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(data)
+        with pytest.raises(ValueError, match="a.warc at byte"):
+            warc.read(spark, str(tmp_path / name))
+        assert warc.read(spark, str(tmp_path / name), broken="keep").count() == n, name
+    assert warc.read(spark, str(tmp_path / "sound")).count() == 6

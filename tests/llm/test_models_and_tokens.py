@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from trackloom.llm import lm_scoring, quality_classifier, quality_rules, sentencepiece_codec, token_counts
+from trackloom.llm import quality_classifier, quality_rules, sentencepiece_codec, token_counts
 
 needs_vocabularies = pytest.mark.skipif(not os.path.isdir("/opt/tokenizers"), reason="no vocabulary files")
 
@@ -167,35 +167,6 @@ def test_codec_stage_of_odd_rows(spark, odd, none, sf):
     assert sentencepiece_codec.stage(spark, none, sf).count() == 0
 
 
-def test_network_learns_and_sums(spark, docs):
-    words = lm_scoring.vocabulary(docs)
-    seen = lm_scoring.counts(docs, words).toPandas().sort_values("cell")
-    texts = [r.text for r in docs.collect()]
-    n_words = sum(len((t or "").encode().split()) for t in texts)
-    assert seen["n"].sum() == n_words
-    cells, n = seen["cell"].to_numpy(np.int64), seen["n"].to_numpy(float)
-    loss = [-(lm_scoring.train(cells, n, steps).table()[cells] * n).sum() / n.sum() for steps in (0, 40)]
-    share = np.bincount(cells % lm_scoring.CLASSES, weights=n) / n.sum()
-    assert loss[1] < -(share[share > 0] * np.log(share[share > 0])).sum() < loss[0]
-
-
-def test_scores_against_force(spark, odd, none, docs):
-    words, net = lm_scoring.fit(docs)
-    known = {w: i for i, w in enumerate(words)}
-    table = net.table().reshape((lm_scoring.CLASSES,) * 3)
-
-    def score(text):
-        c = [known[w] if w in known else lm_scoring.WORDS + lm_scoring.base.hash_word(w[-3:]) % lm_scoring.ENDINGS for w in (x.decode() for x in (text or "").encode().split())]
-        padded = [lm_scoring.EDGE, *c, lm_scoring.EDGE]
-        return sum(float(table[padded[k], padded[k + 2], padded[k + 1]]) for k in range(len(c)))
-
-    for frame in (odd.drop("n"), docs.limit(30)):
-        for r in lm_scoring.scored(frame, words, net).select("text", "n_tokens", "log_likelihood", "mean_log_likelihood").collect():
-            assert r.log_likelihood == pytest.approx(score(r.text), rel=1e-4) and (r.mean_log_likelihood is None) == (r.n_tokens == 0)
-    assert lm_scoring.scored(none, words, net).count() == 0
-    assert np.allclose(np.exp(table).sum(axis=2), 1, atol=1e-3)
-
-
 def test_slices_hold_every_row():
     from trackloom.llm import base
 

@@ -7,7 +7,8 @@ Pointers are jumped over runs: candidates of a file whose successors are the nex
 out. A sound file is one run; each false magic adds two. So the jumps are few and their table is small.
 
 Defined results: a null payload is empty; a null url is written as an empty target. Repeated ids are written again and read
-again, and the copies of one row are told apart by where they stand. An empty table gives no archive rows. Extra columns are not read.
+again, and the copies of one row are told apart by where they stand. Of equal payloads the largest page_id is the response; rows that tie on it too are all responses.
+An empty table gives no archive rows. Extra columns are not read. An archive whose chain of records breaks before its end is an error, unless its sound beginning is asked for.
 Payloads are written and read whole; they must be text in UTF-8, as archives of compressed records are not split.
 """
 
@@ -119,13 +120,26 @@ def reachable(rows: DataFrame, rounds: int = 64) -> DataFrame:
     return rows.join(entries, ["file", "run"]).filter("offset >= _from").drop("_from", "run")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def unreached(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """file, reached, bytes of the files whose chain of records does not end where the file ends: broken, cut off, or no archive."""
+    whole = found.groupBy("file").agg((F.sum(F.col("size") + len(MAGIC)) - len(MAGIC)).alias("bytes"))
+    ends = kept.groupBy("file").agg(F.max("next").alias("reached"))
+    return whole.join(ends, "file", "left").select("file", F.coalesce("reached", F.lit(0)).alias("reached"), "bytes").filter("reached <> bytes and bytes > 0")
+
+
+def read(spark: SparkSession, path: str, broken: str = "raise") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record; what a revisit has comes from the record it names.
 
-    The digest of a payload that holds the magic is taken from its pieces, in order; only their scan is repeated.
+    The digest of a payload that holds the magic is taken from its pieces, in order; only their scan is repeated. Files whose
+    chain does not reach their end are an error, or with broken="keep" give the records up to there.
     """
-    every = base.stored(placed(candidates(spark, path)), "placed")
+    if broken not in ("raise", "keep"):
+        raise ValueError("broken is 'raise' or 'keep'")
+    found = base.stored(candidates(spark, path), "found")
+    every = base.stored(placed(found), "placed")
     kept = base.stored(reachable(every), "kept")
+    if broken == "raise" and (bad := unreached(found, kept).orderBy("file").limit(5).collect()):
+        raise ValueError("records end before their file does: " + "; ".join(f"{r['file']} at byte {r['reached']} of {r['bytes']}" for r in bad))
     torn = kept.filter("length > 0 and digest is null").select("file", "offset", F.col("offset").alias("start"), (F.col("offset") + len(MAGIC) + F.col("cut") + 3).alias("begin"), "length")
     if torn.limit(1).count():
         raw = spark.read.option("lineSep", MAGIC).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("value"))
