@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
+#: Rows and bytes of an Arrow batch. Spark's own bounds let one batch of long texts, held by the JVM and by Python, take a good part of an executor's memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
 def _archive() -> str:
@@ -51,6 +53,9 @@ def _release() -> None:
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow for functions of this package. A task leaves no memory behind but what the function keeps on purpose."""
     ship(df.sparkSession)
+    for key, (usual, ours) in BATCH.items():
+        if df.sparkSession.conf.get(key, usual) == usual:  # else the session has a bound of its own
+            df.sparkSession.conf.set(key, ours)
 
     def lean(batches):
         pa.set_memory_pool(pa.system_memory_pool())
