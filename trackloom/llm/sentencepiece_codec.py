@@ -38,6 +38,8 @@ REMEMBERED, SHORT = 150_000, 64
 LONG, TOGETHER = 200, 400_000
 #: Most entries of the automaton's table (states with pieces beyond them, times symbols); without a table stretches are encoded one by one.
 TABLE = 1 << 26
+#: Bytes of text looked at at once.
+SLICE = 1_000_000
 #: Stand for a U+2581 of the text and for the end of a stretch; surrogates occur in no text and no piece.
 _OWN_MARK, _END = "\ud800", "\ud801"
 _loaded: dict = {}
@@ -310,7 +312,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", check: s
 
     def run(batches):
         codec = Codec.load(vocabulary)
-        for batch in base.slices(batches, text):
+        for batch in base.slices(batches, text, SLICE):
             texts = batch.column(text)
             flat, starts = codec.encode(texts)
             column = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat), mask=texts.is_null())
