@@ -76,13 +76,44 @@ def test_training_adds_up_tasks_and_learns(spark, docs, net):
     ids = np.concatenate([p.encode(docs.select("text").toArrow().column("text").combine_chunks())[0]])
     share = np.bincount(ids[ids != p.edge]) / (ids != p.edge).sum()
     assert mean(fresh) < -9 and mean(net) > (share[share > 0] * np.log(share[share > 0])).sum()
-    one = pn.improved(docs.coalesce(1), fresh)
+    one, (texts, parts) = pn.improved(docs, fresh), pn.dealt(docs)
+    assert parts == 1
     own = pn.Descent(pn.copied(fresh), p.leaf)
-    for batch in pn.base.slices(docs.coalesce(1).select("text").toArrow().to_batches()):
+    for batch in pn.base.slices(texts.toArrow().to_batches()):
         own.learn(p.encode(batch.column("text"))[0])
     assert np.allclose(one.levels[0], own.net.levels[0], atol=2e-2)
-    twice = pn.improved(docs.repartition(3), fresh)
-    assert mean(twice) > mean(fresh)
+    assert mean(one) > mean(fresh)
+
+
+def test_one_corpus_gives_one_model(docs, monkeypatch):
+    """However the table is cut, and with several parts and several rounds of adding up."""
+    monkeypatch.setattr(pn, "PART", 60_000)
+    monkeypatch.setattr(pn, "ADDED", 2)
+    assert pn.dealt(docs)[1] > 4
+    scores = []
+    for cut in (docs.coalesce(1), docs.repartition(4, "source"), docs.repartition(16)):
+        scored = pn.scored(docs, pn.fit(cut)).select("doc_id", "log_likelihood").toPandas().sort_values("doc_id")
+        scores.append(scored["log_likelihood"].to_numpy())
+    assert np.allclose(scores[0], scores[1], rtol=1e-6) and np.allclose(scores[0], scores[2], rtol=1e-6)
+
+
+def test_copies_are_dealt_apart(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(pn, "PART", 2_000)
+    same = spark.range(2000).selectExpr("'a text that is found in many rows' text")
+    texts, parts = pn.dealt(same.unionByName(odd.filter("doc_id in (1, 2, 5, 9, 10)").select("text")))
+    rows = texts.selectExpr("text", "spark_partition_id() part").toPandas()
+    assert len(rows) == 2004 and parts == 34 and rows.groupby("part").size().max() < 120
+    fresh = pn.Network(pn.pieces(pn.VOCABULARY).size)
+    assert pn.dealt(none)[0].count() == 0 and np.array_equal(pn.improved(none, fresh).embedding, fresh.embedding)
+
+
+def test_no_score_is_infinite(net):
+    p = pn.pieces(pn.VOCABULARY)
+    far = pn.copied(net)
+    for w in far.levels:
+        w *= 4000
+    ids = np.array([p.edge] * 3 + [50, 60, 31000, 80] + [p.edge] * 3, np.int16)
+    assert np.isfinite(far.score(ids, p.leaf)).all()
 
 
 def test_query_is_the_piece_network():

@@ -5,10 +5,11 @@ The vocabulary covers any text (bytes stand for what it has no piece for), so no
 the leaves of a tree of FAN branches; a softmax at each of its three levels gives a piece's probability as the product along
 its path, and the probabilities of all pieces add up to one.
 
-Every document trains. Tasks descend over the texts of their part (Adagrad) from common weights and hand on what moved, each row
-of weights times the number of pieces it was trained on; a shuffle adds the moves up block by block, and the driver divides by
-the counts. A first round over the eighth of the documents with the least hashes brings the weights near, a second runs over all.
-Weights depend on how the table is cut into parts; given the weights, a text's score depends on the text alone.
+Every document trains. Texts are dealt into parts of about PART bytes and ordered within them by their hashes, so that one corpus
+gives one model however its table is cut; copies of a text are numbered and dealt apart. Tasks descend over the texts of their part
+(Adagrad) from common weights and hand on what moved, each row of weights times the number of pieces it was trained on; shuffles add
+the moves up block by block, ADDED parts at a time, and the driver divides by the counts. A first round over an eighth of the texts,
+chosen by hash, brings the weights near, a second runs over all. Given the weights, a text's score depends on the text alone.
 
 Defined results: a null or empty text has no tokens, score 0 and no mean; repeated rows are scored alike; an empty table trains
 on nothing and gives an empty result. Extra columns pass through `scored`; an input column with the name of an output is
@@ -23,6 +24,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,10 +41,15 @@ LEAST, MOST, DOUBLED, SCORED = 4096, 16384, 24, 16384
 CACHED = 2048
 #: Pieces whose softmaxes are worked on at once, for the same reason.
 TRAINED = 2048
-#: Numbers in a block of moves.
-BLOCK = 4096
+#: Numbers in a block of moves, and parts whose moves are added up at once.
+BLOCK, ADDED = 4096, 64
+#: Bytes of text in a part.
+PART = 16 << 20
+#: Least share of a branch, so that no score is infinite.
+TINY = 1e-37
 #: Words whose pieces a process remembers, and the longest remembered, in bytes.
 REMEMBERED, SHORT = 300_000, 40
+MOVES = "part int, block int, data binary"
 SHIFTS = [k for k in range(-SIDE, SIDE + 1) if k]
 _loaded: dict = {}
 
@@ -137,8 +144,8 @@ class Network:
             nodes = node[cuts[:-1]]
             for a, b, k in zip(cuts[:-1].tolist(), cuts[1:].tolist(), nodes.tolist(), strict=True):
                 np.dot(h[a:b], w[k], out=p[a:b])
-            if p.max(initial=0) > 60:
-                np.minimum(p, 60, out=p)
+            if p.max(initial=0) > 60 or p[:, 0].min(initial=0) < -60:  # the first branch always leads to a piece
+                p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
             yield cuts, nodes, branch, p, p @ np.ones(FAN, np.float32)
 
@@ -163,7 +170,7 @@ class Network:
                 here, own_leaf = own[cut : cut + TRAINED], leaf[cut : cut + TRAINED]
                 total, first = np.zeros(len(here)), np.arange(len(here)) * FAN
                 for _, _, branch, p, whole in self.paths(here, own_leaf):
-                    total += np.log(p.reshape(-1)[first + branch] / whole)
+                    total += np.log(np.maximum(p.reshape(-1)[first + branch], TINY) / whole)
                 out[at + rows[cut : cut + TRAINED]] = total
         return out
 
@@ -236,33 +243,55 @@ def copied(net: Network) -> Network:
     return new
 
 
-def moves(docs: DataFrame, net: Network, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """block, data: of each task, what its texts moved, times the counts of the rows; then the counts."""
+def dealt(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+    """The texts that have any, as `text`, in parts and in an order that depend on the texts alone; the number of parts. Copies are counted before the
+    shuffle and numbered after it, so a text that fills a third of the rows fills no part."""
+    counted = docs.filter(F.octet_length(text) > 0).groupBy(F.col(text).alias("text")).agg(F.count("*").alias("n"))
+    counted = base.stored(counted.withColumn("hash", F.xxhash64("text")), "texts")
+    whole = counted.agg(F.sum(F.octet_length("text") * F.col("n"))).first()[0] or 0
+    parts = max(1, -(-whole // PART))
+    each = counted.select("text", "hash", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    return each.repartition(parts, F.xxhash64("hash", "copy")).sortWithinPartitions("hash", "text", "copy"), parts
+
+
+def moves(docs: DataFrame, net: Network, vocabulary: str = VOCABULARY) -> DataFrame:
+    """part, block, data: of each task, what its texts moved, times the counts of the rows; then the counts."""
 
     def run(batches):
-        p = pieces(vocabulary)
+        p, part = pieces(vocabulary), TaskContext.get().partitionId()
         own = Descent(copied(net), p.leaf)
-        for batch in base.slices(batches, text):
-            own.learn(p.encode(batch.column(text))[0])
+        for batch in base.slices(batches):
+            own.learn(p.encode(batch.column("text"))[0])
         if own.steps:
             moved = [(w - was).reshape(len(w), -1) * n[:, None] for w, was, n in zip(own.net.weights(), net.weights(), own.counts, strict=True)]
             flat = np.concatenate([x.ravel() for x in (*moved, *own.counts)]).astype(np.float32)
             for at in range(0, len(flat), BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([flat[at : at + BLOCK].tobytes()], pa.binary())], names=["block", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at // BLOCK], pa.int32()), pa.array([flat[at : at + BLOCK].astype(np.float64).tobytes()], pa.binary())], names=["part", "block", "data"])
 
-    return base.map_arrow(docs.select(text), run, "block int, data binary")
+    return base.map_arrow(docs.select("text"), run, MOVES)
 
 
 def added(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(rows["data"].iloc[0]) // 4)
+    """The sum of at most ADDED parts of a block, added in the order of the parts: sums of floats depend on it."""
+    rows = rows.sort_values("part")
+    total = np.zeros(len(rows["data"].iloc[0]) // 8)
     for data in rows["data"]:
-        total += np.frombuffer(data, np.float32)
-    return pd.DataFrame({"block": [rows["block"].iloc[0]], "data": [total.tobytes()]})
+        total += np.frombuffer(data)
+    return pd.DataFrame({"part": [rows["part"].iloc[0] // ADDED], "block": [rows["block"].iloc[0]], "data": [total.tobytes()]})
 
 
 def improved(docs: DataFrame, net: Network, text: str = "text", vocabulary: str = VOCABULARY) -> Network:
     """The network after one round over docs."""
-    sums = map_groups(moves(docs, net, text, vocabulary).groupBy("block"), added, "block int, data binary", docs.sparkSession).collect()
+    with base.scratch() as made:
+        texts, parts = dealt(docs, text)
+        sums = moves(texts, net, vocabulary)
+        while True:
+            sums = map_groups(sums.groupBy("block", F.floor(F.col("part") / ADDED)), added, MOVES, docs.sparkSession)
+            parts = -(-parts // ADDED)
+            if parts == 1:
+                break
+        sums = sums.collect()
+    base.discard(*made)
     out = copied(net)
     if sums:
         flat = np.concatenate([np.frombuffer(r["data"], np.float64) for r in sorted(sums, key=lambda r: r.block)])
