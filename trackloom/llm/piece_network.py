@@ -24,7 +24,6 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +48,7 @@ PART = 16 << 20
 TINY = 1e-37
 #: Words whose pieces a process remembers, and the longest remembered, in bytes.
 REMEMBERED, SHORT = 300_000, 40
-MOVES = "part int, block int, data binary"
+MOVES = "part long, block int, data binary"
 SHIFTS = [k for k in range(-SIDE, SIDE + 1) if k]
 _loaded: dict = {}
 
@@ -182,6 +181,7 @@ class Descent:
         self.net, self.leaf_of, self.steps = net, leaf_of, 0
         self.squares = [np.full(w.shape, 1e-6, np.float32) for w in net.weights()]
         self.counts = [np.zeros(len(w)) for w in net.weights()]
+        self.held = np.zeros(0, np.int16)
 
     def move(self, k: int, rows, gradient: np.ndarray, n) -> None:
         squares = self.squares[k][rows] + gradient * gradient
@@ -229,12 +229,19 @@ class Descent:
         for m in moves:
             self.move(*m)
 
-    def learn(self, ids: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, last: bool = False) -> None:
+        """Whole steps over what is held and ids; the rest is held, so that steps do not depend on how texts come in batches."""
+        if len(self.held):
+            ids = np.concatenate([self.held[:-SIDE], ids if len(ids) else self.held[-SIDE:]])
         at = SIDE
         while at < len(ids) - SIDE:
-            end = min(at + min(MOST, LEAST << min(self.steps // DOUBLED, 9)), len(ids) - SIDE)
+            end = at + min(MOST, LEAST << min(self.steps // DOUBLED, 9))
+            if end > len(ids) - SIDE and not last:
+                break
+            end = min(end, len(ids) - SIDE)
             self.step(ids[at - SIDE : end + SIDE])
             self.steps, at = self.steps + 1, end
+        self.held = ids[at - SIDE :]
 
 
 def copied(net: Network) -> Network:
@@ -244,31 +251,43 @@ def copied(net: Network) -> Network:
 
 
 def dealt(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
-    """The texts that have any, as `text`, in parts and in an order that depend on the texts alone; the number of parts. Copies are counted before the
+    """The texts that have any, as `text`, with a `part` and in an order that depend on the texts alone; the number of parts. Copies are counted before the
     shuffle and numbered after it, so a text that fills a third of the rows fills no part."""
     counted = docs.filter(F.octet_length(text) > 0).groupBy(F.col(text).alias("text")).agg(F.count("*").alias("n"))
     counted = base.stored(counted.withColumn("hash", F.xxhash64("text")), "texts")
     whole = counted.agg(F.sum(F.octet_length("text") * F.col("n"))).first()[0] or 0
     parts = max(1, -(-whole // PART))
     each = counted.select("text", "hash", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
-    return each.repartition(parts, F.xxhash64("hash", "copy")).sortWithinPartitions("hash", "text", "copy"), parts
+    each = each.withColumn("part", F.pmod(F.xxhash64("hash", "copy"), F.lit(parts)))
+    return each.repartitionByRange(parts, "part").sortWithinPartitions("part", "hash", "text", "copy"), parts
 
 
-def moves(docs: DataFrame, net: Network, vocabulary: str = VOCABULARY) -> DataFrame:
-    """part, block, data: of each task, what its texts moved, times the counts of the rows; then the counts."""
+def moves(texts: DataFrame, net: Network, vocabulary: str = VOCABULARY) -> DataFrame:
+    """part, block, data: of each part, what its texts moved, times the counts of the rows; then the counts. A task may hold several parts."""
 
-    def run(batches):
-        p, part = pieces(vocabulary), TaskContext.get().partitionId()
-        own = Descent(copied(net), p.leaf)
-        for batch in base.slices(batches):
-            own.learn(p.encode(batch.column("text"))[0])
+    def handed(part: int, own: Descent):
+        own.learn(own.held[:0], last=True)
         if own.steps:
             moved = [(w - was).reshape(len(w), -1) * n[:, None] for w, was, n in zip(own.net.weights(), net.weights(), own.counts, strict=True)]
-            flat = np.concatenate([x.ravel() for x in (*moved, *own.counts)]).astype(np.float32)
+            flat = np.concatenate([x.ravel() for x in (*moved, *own.counts)])
             for at in range(0, len(flat), BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at // BLOCK], pa.int32()), pa.array([flat[at : at + BLOCK].astype(np.float64).tobytes()], pa.binary())], names=["part", "block", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([at // BLOCK], pa.int32()), pa.array([flat[at : at + BLOCK].astype(np.float64).tobytes()], pa.binary())], names=["part", "block", "data"])
 
-    return base.map_arrow(docs.select("text"), run, MOVES)
+    def run(batches):
+        p, part, own = pieces(vocabulary), None, None
+        for batch in base.slices(batches):
+            parts = np.asarray(batch.column("part"))
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for a, b in zip(cuts, cuts[1:]):
+                if own is None or parts[a] != part:
+                    if own is not None:
+                        yield from handed(part, own)
+                    part, own = int(parts[a]), Descent(copied(net), p.leaf)
+                own.learn(p.encode(batch.column("text").slice(a, b - a))[0])
+        if own is not None:
+            yield from handed(part, own)
+
+    return base.map_arrow(texts.select("text", "part"), run, MOVES)
 
 
 def added(rows: pd.DataFrame) -> pd.DataFrame:
