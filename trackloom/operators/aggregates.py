@@ -154,15 +154,38 @@ def roughness(rows: DataFrame, keys: list[str], order: str, z: str) -> DataFrame
 
 
 def displacement(a: DataFrame, b: DataFrame, keys: list[str], step: float) -> DataFrame:
-    """Two curves (keys, station, offset) compared on a grid over their common stations: mean and largest distance, and where that is."""
+    """Two curves (keys, station, offset) compared on a grid over their common stations: mean and largest distance, and where that is.
+
+    The places of the grid are not written out: between two neighbouring vertices of either curve the distance is straight, so the sum over the places
+    there is that of one or, where the curves cross, two arithmetic series, and the largest is at one of its ends. Rows grow with the vertices, not with the places.
+    """
     from .ranges import interpolate
 
     ends = a.groupBy(*keys).agg(F.min("station").alias("a0"), F.max("station").alias("a1")).join(b.groupBy(*keys).agg(F.min("station").alias("b0"), F.max("station").alias("b1")), keys)
     low, high = F.greatest("a0", "b0"), F.least("a1", "b1")
-    spots = ends.filter(low <= high).select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.floor((high - low) / step).cast("int")), lambda k: low + k * step)).alias("at"))
-    both = interpolate(interpolate(spots, a.withColumnRenamed("offset", "va"), "at", "station", "va", keys), b.withColumnRenamed("offset", "vb"), "at", "station", "vb", keys)
-    d = F.abs(F.col("va") - F.col("vb"))
-    return both.withColumn("d", d).filter("d is not null").groupBy(*keys).agg(F.avg("d").alias("mean"), F.max("d").alias("most"), F.max_by("at", F.struct("d", (-F.col("at")).alias("o"))).alias("at"))
+    ends = ends.select(*keys, low.alias("_low"), high.alias("_high")).filter("_low <= _high")
+    knots = a.select(*keys, F.col("station").alias("_knot")).unionByName(b.select(*keys, F.col("station").alias("_knot"))).distinct().join(ends, keys).filter(F.col("_knot").between(F.col("_low"), F.col("_high")))
+    both = interpolate(interpolate(knots, a.withColumnRenamed("offset", "va"), "_knot", "station", "va", keys), b.withColumnRenamed("offset", "vb"), "_knot", "station", "vb", keys)
+    w = Window.partitionBy(*keys).orderBy("_knot")
+    both = both.withColumns({"_e": F.col("va") - F.col("vb"), "_k": F.ceil((F.col("_knot") - F.col("_low")) / step)})
+    both = both.withColumns({c: F.lead(f"_{c}").over(w) for c in ("knot", "e", "k")})
+    # Places first to last lie from this vertex up to the next one, that excluded; the last vertex has its own alone.
+    rows = both.withColumns({"_first": F.col("_k"), "_last": F.coalesce(F.col("k") - 1, F.when(F.col("_k") == (F.col("_knot") - F.col("_low")) / step, F.col("_k")))}).filter("_last >= _first")
+    at = lambda k: F.col("_low") + k * step
+    alone = at(F.col("_first")) == F.col("_knot")
+    on = lambda k: F.when(at(k) == F.col("_knot"), F.col("_e")).otherwise(F.col("_e") + (at(k) - F.col("_knot")) / (F.col("knot") - F.col("_knot")) * (F.col("e") - F.col("_e")))
+    # Beside a vertex without an offset only a place on the other one has a distance.
+    rows = rows.withColumn("_last", F.when(F.col("e").isNull() & F.col("_e").isNotNull() & alone, F.col("_first")).otherwise(F.col("_last")))
+    rows = rows.withColumns({"_m": F.col("_last") - F.col("_first") + 1, "_f0": on(F.col("_first")), "_f1": on(F.col("_last"))}).filter("_f0 is not null and _f1 is not null")
+    slope = F.when(F.col("_m") > 1, (F.col("_f1") - F.col("_f0")) / (F.col("_m") - 1)).otherwise(0.0)
+    turn = F.when(F.col("_f0") * F.col("_f1") < 0, F.least(F.floor(F.abs(F.col("_f0") / slope)) + 1, F.col("_m") - 1)).otherwise(F.col("_m"))  # so many places before the curves cross
+    series = lambda n, x, y: n * (F.abs(x) + F.abs(y)) / 2
+    rows = rows.withColumn("_t", turn)
+    before, after = F.col("_f0") + slope * (F.col("_t") - 1), F.col("_f0") + slope * F.col("_t")
+    total = F.when(F.col("_t") == F.col("_m"), series(F.col("_m"), F.col("_f0"), F.col("_f1"))).otherwise(series(F.col("_t"), F.col("_f0"), before) + series(F.col("_m") - F.col("_t"), after, F.col("_f1")))
+    edge = lambda f, k: F.struct(F.abs(F.col(f)).alias("d"), (-at(F.col(k))).alias("o"))
+    rows = rows.select(*keys, "_m", total.alias("_sum"), F.greatest(edge("_f0", "_first"), edge("_f1", "_last")).alias("_most"))
+    return rows.groupBy(*keys).agg((F.sum("_sum") / F.sum("_m")).alias("mean"), F.max("_most").alias("_b")).select(*keys, "mean", F.col("_b.d").alias("most"), (-F.col("_b.o")).alias("at"))
 
 
 def counts_map(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
