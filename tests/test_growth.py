@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from trackloom.operators import aggregates
+from trackloom.operators import aggregates, lines, ranges
 
 
 def rows_of(df):
@@ -30,3 +30,51 @@ def test_displacement_writes_no_places_out(spark):
         assert np.allclose([got[key].mean, got[key].most, got[key].at], [d.mean(), d.max(), at[d.argmax()]])
     assert abs(got[9].mean - 5 / 6) < 1e-6 and got[9].most == 2.0 and got[9].at == 0.0  # 2 at the start, 0 at two thirds, 1 at the end
     assert got[11].mean == 3.0 and got[11].at == 5.0
+
+
+def test_stations_are_not_broadcast(spark):
+    """A row a track becomes a hundred thousand stations: Spark reckons with the row, and would send the stations to every task."""
+    ends = spark.createDataFrame([(k, 0.0, 1e6) for k in range(3)], "track int, start double, end double")
+    samples = spark.createDataFrame([(k, 500.0 * j, float(j)) for k in range(3) for j in range(9)], "track int, station double, offset double")
+    df = lines.local_offsets(lines.stations_between(ends, 100.0), samples, ["track"], 20.0, 7.0)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.track, r.k): r.offset for r in df.filter("k <= 41").collect()}
+    assert len(got) == 3 * 42 and df.count() == 3 * 10_001
+    assert got[1, 10] == 2.0 and got[2, 41] == 7.0 and got[0, 0] == 0.0 and got[0, 1] == 7.0 and got[0, 5] == 1.0
+
+
+def _places(rng, n, spread):
+    return [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, spread, (n, 2)).round(2))]
+
+
+def test_nearest_looks_near_first(spark, monkeypatch):
+    """Many targets at one place and around: the same rows as by force, ties to the smaller, through several radii."""
+    rng = np.random.default_rng(7)
+    a, b = [*_places(rng, 300, 20), (900, 27.0, 3.0), (901, 60.0, 60.0)], _places(rng, 2000, 20)
+    b += [(2000 + k, 5.0, 5.0) for k in range(50)]
+    tried = []
+    once = ranges.near_points
+    monkeypatch.setattr(ranges, "near_points", lambda points, targets, radius, *names: tried.append(radius) or once(points, targets, radius, *names))
+    p, t = spark.createDataFrame(a, "id int, x double, y double"), spark.createDataFrame(b, "sid int, tx double, ty double")
+    got = {r.id: (r.sid, r.distance) for r in ranges.nearest(p, t, 8.0, "id", "sid").collect()}
+    at = np.array([r[1:] for r in b])
+    expected = {}
+    for k, x, y in a:
+        d = np.hypot(*(at - (x, y)).T)
+        if d.min() <= 8:
+            expected[k] = (int(np.flatnonzero(d <= d.min() + 1e-12)[0]), d.min())
+    assert tried[0] <= 1.0 and tried[-1] == 8.0 and len(tried) > 3
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expected.items()} and 900 in got and 901 not in got
+
+
+def test_full_cells_are_cut(spark, monkeypatch):
+    """A cell of many pairs goes to many tasks, and no pair is lost or doubled."""
+    monkeypatch.setattr(ranges, "PAIRS", 500)
+    rng = np.random.default_rng(9)
+    a, b = _places(rng, 150, 3), _places(rng, 60, 3) + [(100 + k, 40.0, 40.0) for k in range(9)]
+    p, t = spark.createDataFrame(a, "id int, x double, y double"), spark.createDataFrame(b, "sid int, tx double, ty double")
+    df = ranges.near_points(p, t, 4.0)
+    assert df.rdd.getNumPartitions() > 10
+    found = sorted((r.id, r.sid) for r in df.select("id", "sid").collect())
+    assert found == sorted((i, j) for i, x, y in a for j, u, v in b if np.hypot(x - u, y - v) <= 4)
+    assert max(df.rdd.glom().map(len).collect()) < len(found) / 4
