@@ -78,3 +78,34 @@ def test_full_cells_are_cut(spark, monkeypatch):
     found = sorted((r.id, r.sid) for r in df.select("id", "sid").collect())
     assert found == sorted((i, j) for i, x, y in a for j, u, v in b if np.hypot(x - u, y - v) <= 4)
     assert max(df.rdd.glom().map(len).collect()) < len(found) / 4
+
+
+def test_snapping_looks_at_few_segments(spark, monkeypatch):
+    """Points that find an end of another line are not held against segments; the rows are those of brute force."""
+    rng = np.random.default_rng(11)
+    ends = [(k, k // 2, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(0, 6, (80, 2)))] + [(100, 70, 2.25, 2.5), (101, 70, 9.0, 9.0)]
+    seen = []
+    once = lines.near_segments
+    monkeypatch.setattr(lines, "near_segments", lambda p, *rest, **named: seen.append(p.count()) or once(p, *rest, **named))
+    points = spark.createDataFrame(ends, "point_id int, line_id int, x double, y double")
+    pairs = [(a[1], a[2], a[3], b[2], b[3]) for a, b in zip(ends[::2], ends[1::2], strict=True)]
+    segments = spark.createDataFrame(pairs, "line_id int, ax double, ay double, bx double, by double")
+    got = {r.point_id: (r.to_end, r.other, round(r.distance, 9)) for r in lines.snap_targets(points, segments, points.select("line_id", "x", "y"), 1.0).collect()}
+    expected, alone = {}, 0
+    for k, line, x, y in ends:
+        near = min(((np.hypot(u - x, v - y), o) for _, o, u, v in ends if o != line and np.hypot(u - x, v - y) <= 0.35), default=None)
+        alone += near is None
+        if near:
+            expected[k] = (True, near[1], round(near[0], 9))
+            continue
+        found = []
+        for o, ax, ay, bx, by in pairs:
+            size = (bx - ax) ** 2 + (by - ay) ** 2
+            u = min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / size)) if size else 0.0
+            d = np.hypot(x - ax - u * (bx - ax), y - ay - u * (by - ay))
+            if o != line and d <= 1.0:
+                found.append((round(d, 9), o))
+        if found:
+            expected[k] = (False, min(found)[1], min(found)[0])
+    assert seen == [alone] and 0 < alone < 60
+    assert {k: v[::2] for k, v in got.items()} == {k: v[::2] for k, v in expected.items()} and all(got[k][1] == v[1] for k, v in expected.items() if v[0])
