@@ -121,7 +121,8 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     dx, dy = bx - ax, by - ay
     size = dx * dx + dy * dy
     u = F.when(size == 0, F.lit(0.0)).otherwise(clamp(((px - ax) * dx + (py - ay) * dy) / size, 0.0, 1.0))
-    return F.hypot(px - ax - u * dx, py - ay - u * dy), u
+    rx, ry = px - ax - u * dx, py - ay - u * dy
+    return F.sqrt(rx * rx + ry * ry), u  # not hypot, whose last bit SQL does not give
 
 
 def segment_crossing(ax, ay, bx, by, cx, cy, dx, dy) -> tuple[Column, Column, Column]:

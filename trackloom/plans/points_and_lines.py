@@ -129,14 +129,14 @@ def near_pairs(spark, d):
     return ranges.near_points(c, s, 4.0).select("id", "sid")
 
 
-@query("near_segments", f"WITH {_CS}, g AS (SELECT sid, tx AS ax, ty AS ay, tx + 3 AS bx, ty + 4 AS by_ FROM s), m AS (SELECT id, sid, x, y, ax, ay, least(1, greatest(0, ((x - ax) * 3 + (y - ay) * 4) / 25)) AS u FROM c, g WHERE x BETWEEN ax - 3 AND bx + 3 AND y BETWEEN ay - 3 AND by_ + 3) SELECT id, sid, round(sqrt(pow(x - ax - 3 * u, 2) + pow(y - ay - 4 * u, 2)), 5) AS distance FROM m WHERE sqrt(pow(x - ax - 3 * u, 2) + pow(y - ay - 4 * u, 2)) <= 3")
+@query("near_segments", f"WITH {_CS}, g AS (SELECT sid, tx AS ax, ty AS ay, tx + 3 AS bx, ty + 4 AS by_ FROM s), m AS (SELECT id, sid, x, y, ax, ay, bx, by_, least(1, greatest(0, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS u FROM c, g WHERE x BETWEEN ax - 3.001 AND bx + 3.001 AND y BETWEEN ay - 3.001 AND by_ + 3.001) SELECT id, sid, round(sqrt((x - ax - u * (bx - ax)) * (x - ax - u * (bx - ax)) + (y - ay - u * (by_ - ay)) * (y - ay - u * (by_ - ay))), 5) AS distance FROM m WHERE sqrt((x - ax - u * (bx - ax)) * (x - ax - u * (bx - ax)) + (y - ay - u * (by_ - ay)) * (y - ay - u * (by_ - ay))) <= 3")
 def near_segments(spark, d):
     c, s = _near(spark, d)
     g = s.select("sid", F.col("tx").alias("ax"), F.col("ty").alias("ay"), (F.col("tx") + 3).alias("bx"), (F.col("ty") + 4).alias("by"))
     return ranges.near_segments(c, g, 3.0).select("id", "sid", r("distance").alias("distance"))
 
 
-@query("segment_crossings", f"WITH {_CS}, a AS (SELECT id, x AS ax, y AS ay, x + 2 AS bx, y + 3 AS by_ FROM c), b AS (SELECT sid, tx AS cx, ty AS cy, tx + 6 AS dx, ty - 4 AS dy FROM s), m AS (SELECT *, ((cx - ax) * -4.0 - (cy - ay) * 6.0) / (2.0 * -4 - 3.0 * 6) AS u, ((cx - ax) * 3.0 - (cy - ay) * 2.0) / (2.0 * -4 - 3.0 * 6) AS w FROM a, b) SELECT id, sid FROM m WHERE u BETWEEN 0 AND 1 AND w BETWEEN 0 AND 1")
+@query("segment_crossings", f"WITH {_CS}, a AS (SELECT id, x AS ax, y AS ay, x + 2 AS bx, y + 3 AS by_ FROM c), b AS (SELECT sid, tx AS cx, ty AS cy, tx + 6 AS dx, ty - 4 AS dy FROM s), m AS (SELECT id, sid, (bx - ax) * (dy - cy) - (by_ - ay) * (dx - cx) AS det, (cx - ax) * (dy - cy) - (cy - ay) * (dx - cx) AS u, (cx - ax) * (by_ - ay) - (cy - ay) * (bx - ax) AS w FROM a, b) SELECT id, sid FROM m WHERE det <> 0 AND u / det BETWEEN 0 AND 1 AND w / det BETWEEN 0 AND 1")
 def segment_crossings(spark, d):
     c, s = _near(spark, d)
     a = c.select("id", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 2).alias("bx"), (F.col("y") + 3).alias("by"))
