@@ -109,3 +109,23 @@ def test_snapping_looks_at_few_segments(spark, monkeypatch):
             expected[k] = (False, min(found)[1], min(found)[0])
     assert seen == [alone] and 0 < alone < 60
     assert {k: v[::2] for k, v in got.items()} == {k: v[::2] for k, v in expected.items()} and all(got[k][1] == v[1] for k, v in expected.items() if v[0])
+
+
+def test_distances_at_the_radius_equal_sql(spark):
+    """A point that lies as far from a segment's end as the radius says, in numbers of hundredths, as the SQL has it."""
+    import os
+
+    import duckdb
+    import pytest
+
+    from trackloom import catalog
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    for name in ("near_segments", "segment_crossings"):
+        got = {tuple(r) for r in catalog.QUERIES[name](spark, d).select("id", "sid").collect()}
+        assert got == {r[:2] for r in con.sql(catalog.ORACLE_SQL[name]).fetchall()}
