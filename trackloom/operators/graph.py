@@ -42,6 +42,19 @@ def _joined(edges: DataFrame) -> DataFrame:
     return map_arrow(edges.select("u", "v").coalesce(1), run, f"node {kind.simpleString()}, component {kind.simpleString()}")
 
 
+#: Rows of one node from which it is looked up by a broadcast: so many rows of one key would be sorted by one task. It steers costs, not results.
+HOT = 50_000
+
+
+def _with(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """rows joined with a table of one row for each key, whose `_n` says about how many rows have that key. Keys of many rows are few, as their rows add up to the
+    table's size; they are broadcast, so that no task gets all rows of one key."""
+    few = table.withColumnRenamed("u", key)
+    hot = F.broadcast(few.filter(F.col("_n") > HOT).drop("_n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(few.filter(F.col("_n") <= HOT).drop("_n").hint("merge"), key)
+    return cold.unionByName(rows.join(hot, key))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node in `edges` (a, b): the smallest node reachable.
 
@@ -55,15 +68,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return _joined(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        low = stored(both.groupBy("u").agg(F.min("v").alias("n"), F.count("*").alias("_n")).select("u", F.least("u", "n").alias("m"), "_n"), "low")
+        # Neighbours above a node are the edges that have it as their lower end.
+        large = _with(edges.select(F.col("v").alias("low"), F.col("u").alias("high")), "low", low).select(F.col("high").alias("u"), F.col("m").alias("v"))
+        large = stored(large.unionByName(low.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "large")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")), "least")
+        small = _with(large, "u", least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         done, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = mark(edges)
+        discard(done, low, large, least)
         both = low = large = least = small = None
-        discard(done)
         if after == before:
             break
         before = after
