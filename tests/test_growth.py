@@ -129,3 +129,36 @@ def test_distances_at_the_radius_equal_sql(spark):
     for name in ("near_segments", "segment_crossings"):
         got = {tuple(r) for r in catalog.QUERIES[name](spark, d).select("id", "sid").collect()}
         assert got == {r[:2] for r in con.sql(catalog.ORACLE_SQL[name]).fetchall()}
+
+
+def test_nodes_of_many_edges_are_looked_up_apart(spark, monkeypatch):
+    """Stars and a chain through both ways of looking up, beyond the edges that one task joins."""
+    from trackloom.operators import graph
+
+    monkeypatch.setattr(graph, "FEW", 0)
+    monkeypatch.setattr(graph, "HOT", 5)
+    edges = [(1, k) for k in range(100, 140)] + [(500, k) for k in range(130, 170)] + [(900 + k, 901 + k) for k in range(12)] + [(k, 3000) for k in range(2000, 2030)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    expected = {k: 1 for k in [1, 500, *range(100, 170)]} | {k: 900 for k in range(900, 913)} | {k: 2000 for k in [3000, *range(2000, 2030)]}
+    assert got == expected
+
+
+def test_chunks_are_cut_in_one_pass(spark, tmp_path):
+    """Each step reads its own rows; those without a time are left out, and the files hold every other row once."""
+    from pyspark.sql import functions as F
+
+    from trackloom.streaming.linking import chunked
+
+    rows = spark.createDataFrame([(k, 1_700_000_000 + 40 * k) for k in range(50)] + [(99, None)], "id long, s long").select("id", F.timestamp_seconds("s").alias("time"))
+    scans = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        scans.add(1)
+        yield from batches
+
+    chunked(spark, rows.coalesce(1).mapInArrow(seen, rows.schema), "time", 500, f"{tmp_path}/in")
+    assert scans.value <= 2  # for the bounds, and once for all chunks
+    found = spark.read.parquet(f"{tmp_path}/in")
+    assert sorted(r.id for r in found.collect()) == list(range(50)) and found.columns == rows.columns
+    spans = found.groupBy(F.input_file_name()).agg((F.max(F.unix_seconds("time")) - F.min(F.unix_seconds("time"))).alias("span")).collect()
+    assert max(r.span for r in spans) < 500

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.dynamic import Linker
 from ..shipping import ship
+from ..storage import discard
 
 _SAMPLE = "ms long, center double, score double"
 _OPEN = "track long, station double, center double, slope double, first double, n long"
@@ -123,9 +124,16 @@ def chunked(spark, rows: DataFrame, time: str, step: int, place: str) -> None:
     if first is None:
         rows.limit(0).write.mode("append").parquet(place)
         return
-    second = F.unix_seconds(F.col(time))
-    for at in range(first, last + 1, step):
-        rows.filter((second >= at) & (second < at + step)).write.mode("append").parquet(place)
+    # Dealt to folders in one pass, so that each step reads its own rows, not all of them.
+    cut = f"{place.rstrip('/')}-cut"
+    kept = rows.filter(F.col(time).isNotNull())
+    kept.withColumn("_chunk", F.floor((F.unix_seconds(F.col(time)) - first) / step)).write.partitionBy("_chunk").parquet(cut)
+    kind = T.StructType([*rows.schema.fields, T.StructField("_chunk", T.LongType())])
+    dealt = spark.read.schema(kind).parquet(cut)
+    for k in range((last - first) // step + 1):
+        dealt.filter(F.col("_chunk") == k).select(*rows.columns).write.mode("append").parquet(place)
+    dealt._stored_at = cut
+    discard(dealt)
 
 
 def drained(stream_of, source: str, end: DataFrame, place: str, files: int) -> DataFrame:
