@@ -162,3 +162,22 @@ def test_chunks_are_cut_in_one_pass(spark, tmp_path):
     assert sorted(r.id for r in found.collect()) == list(range(50)) and found.columns == rows.columns
     spans = found.groupBy(F.input_file_name()).agg((F.max(F.unix_seconds("time")) - F.min(F.unix_seconds("time"))).alias("span")).collect()
     assert max(r.span for r in spans) < 500
+
+
+def test_endpoints_are_linked_by_cells(spark, monkeypatch):
+    """Many endpoints near each other: links between cells, not between all pairs; nodes as by force."""
+    from trackloom.operators import graph
+
+    rng = np.random.default_rng(13)
+    ends = [(k, float(x), float(y), k == 5) for k, (x, y) in enumerate([*rng.uniform(0, 3, (200, 2)), *rng.uniform(0, 60, (60, 2))])] + [(400, None, 1.0, False), (401, float("nan"), 1.0, False)]
+    seen, once = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda edges: seen.append(edges.count()) or once(edges))
+    got = {r.end_id: r.node for r in graph.endpoint_clusters(spark.createDataFrame(ends, "end_id long, x double, y double, accepted boolean"), 2.0).collect()}
+    top = {k: k for k, *_ in ends}
+    for _ in range(260):
+        before = dict(top)
+        for a, x, y, _a in ends[:260]:
+            top[a] = min(top[b] for b, u, v, _b in ends[:260] if np.hypot(x - u, y - v) <= 2)
+        if before == top:
+            break
+    assert got == top and seen[0] < 400

@@ -94,14 +94,24 @@ def labelled(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 
 def endpoint_clusters(ends: DataFrame, tolerance: float) -> DataFrame:
-    """Endpoints (end_id, x, y, accepted) with their node and its anchor: the one accepted endpoint of the node, else the mean."""
-    other = ends.select(F.col("end_id").alias("b"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    edges = near_points(ends, other, tolerance).filter("end_id < b").select(F.col("end_id").alias("a"), "b")
-    rows = labelled(ends, edges, "end_id").withColumnRenamed("component", "node")
-    w = Window.partitionBy("node")
-    one = F.sum(F.col("accepted").cast("int")).over(w) == 1
-    at = lambda c: F.when(one, F.max(F.when(F.col("accepted"), F.col(c))).over(w)).otherwise(F.avg(c).over(w))
-    return rows.withColumns({"anchor_x": at("x"), "anchor_y": at("y")})
+    """Endpoints (end_id, x, y, accepted) with their node and its anchor: the one accepted endpoint of the node, else the mean.
+
+    All endpoints of a cell whose diagonal is no longer than the tolerance are one node, so edges are between cells, not between all that are near.
+    """
+    size = tolerance * (1 - 1e-9) / 2**0.5
+    sound = ~F.isnan("x") & ~F.isnan("y")
+    rows = ends.withColumns({f"_{c}": F.when(sound, F.floor(F.col(c) / size)) for c in ("x", "y")})
+    heads = rows.groupBy("_x", "_y").agg(F.min("end_id").alias("_head")).filter("_x is not null and _y is not null")
+    rows = rows.join(heads, ["_x", "_y"], "left").withColumn("_head", F.coalesce("_head", "end_id")).drop("_x", "_y")
+    rows = stored(rows, "heads")
+    other = rows.select(F.col("_head").alias("b"), F.col("x").alias("tx"), F.col("y").alias("ty")).distinct()
+    own = rows.select(F.col("_head").alias("a"), "x", "y").distinct()
+    edges = near_points(own, other, tolerance).filter("a < b").select("a", "b").distinct()
+    found = components(edges)
+    rows = rows.join(found.withColumnRenamed("node", "_head"), "_head", "left").withColumn("node", F.coalesce("component", "_head")).drop("component", "_head")
+    accepted = F.col("accepted")
+    at = lambda c: F.when(F.sum(accepted.cast("int")) == 1, F.max(F.when(accepted, F.col(c)))).otherwise(F.avg(c)).alias(f"anchor_{c}")
+    return rows.join(rows.groupBy("node").agg(at("x"), at("y")), "node", "left").select(*ends.columns, "node", "anchor_x", "anchor_y")
 
 
 def degrees(ends: DataFrame) -> DataFrame:
