@@ -181,3 +181,17 @@ def test_endpoints_are_linked_by_cells(spark, monkeypatch):
         if before == top:
             break
     assert got == top and seen[0] < 400
+
+
+def test_samples_are_judged_by_cells(spark, monkeypatch):
+    """Only samples along the edge of what segments reach are held against segments; the verdicts are those of brute force."""
+    rng = np.random.default_rng(17)
+    a, s = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 30, (400, 2)))], rng.uniform(3, 12, (60, 2))
+    seen, once = [], ranges.near_segments
+    monkeypatch.setattr(ranges, "near_segments", lambda p, *rest, **named: seen.append(p.count()) or once(p, *rest, **named))
+    segments = spark.createDataFrame([(float(x), float(y), float(x) + 3, float(y) + 4) for x, y in s], "ax double, ay double, bx double, by double")
+    got = {r.k: r.ok for r in ranges.within_segments(spark.createDataFrame(a, "k int, x double, y double"), segments, 2.0, "ok", ["k"]).collect()}
+    for k, x, y in a:
+        u = np.clip(((x - s[:, 0]) * 3 + (y - s[:, 1]) * 4) / 25, 0, 1)
+        assert got[k] == bool(np.hypot(x - s[:, 0] - 3 * u, y - s[:, 1] - 4 * u).min() <= 2)
+    assert sum(seen) < 100 and 50 < sum(got.values()) < 350
