@@ -195,3 +195,28 @@ def test_samples_are_judged_by_cells(spark, monkeypatch):
         u = np.clip(((x - s[:, 0]) * 3 + (y - s[:, 1]) * 4) / 25, 0, 1)
         assert got[k] == bool(np.hypot(x - s[:, 0] - 3 * u, y - s[:, 1] - 4 * u).min() <= 2)
     assert sum(seen) < 100 and 50 < sum(got.values()) < 350
+
+
+def test_ways_are_compared_at_once(monkeypatch):
+    """Many candidates a slice: the ways kept are those of comparing one by one, without a median for each pair of ways."""
+    from trackloom.operators import turnouts
+
+    rng = np.random.default_rng(19)
+    number = np.repeat(np.arange(40), 8)
+    s, t, z, gain = number + rng.integers(0, 30, 320) / 30, rng.integers(1, 51, 320) / 20, rng.integers(0, 9, 320) / 100, 2 + rng.random(320)
+    rule = turnouts.Tracing()
+    ways = turnouts.Ways(number, s, t, z, gain, rule)
+    expected: list[dict] = []
+    for end in np.argsort(-ways.total, kind="stable"):
+        mine = {int(number[k]): t[k] for k in ways.to(end)}
+        alike = lambda o, mine=mine: len(mine.keys() & o) >= 3 and np.median([abs(mine[k] - o[k]) for k in mine.keys() & o]) < rule.alike
+        if len(mine) >= rule.least_slices and not any(alike(o) for o in expected) and len(expected) < 96:
+            expected.append(mine)
+    medians, once = [], np.median
+    monkeypatch.setattr(np, "median", lambda *a, **named: medians.append(1) or once(*a, **named))
+    for cells in (1 << 18, 500):  # the second: a few ways and slices at a time
+        monkeypatch.setattr(turnouts, "CELLS", cells)
+        again = turnouts.Ways(number, s, t, z, gain, rule)
+        assert (again.back == ways.back).all() and (again.total == ways.total).all()
+        assert [{int(number[k]): t[k] for k in way} for way in again.best(96, rule)] == expected
+    assert len(expected) > 3 and len(medians) < 200

@@ -18,6 +18,10 @@ from ..shipping import map_runs
 from .ranges import interpolate
 
 
+#: Cells of a matrix at once: places of ways, or pairs of candidates.
+CELLS = 1 << 18
+
+
 @dataclass(frozen=True)
 class Tracing:
     """Defaults are fixed values."""
@@ -70,23 +74,41 @@ class Ways:
         self.total, self.back = gain.astype(float), np.full(n, -1)
         begins = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if n else np.zeros(0, np.int64)
         ends = np.append(begins[1:], n)
-        far = np.maximum.reduceat(s, begins) if n else s  # the last s of each slice
-        for k in range(1, len(begins)):
-            a, b = begins[k], ends[k]
-            first = begins[np.argmax(far >= s[a:b].min() - rule.most_gap)]
-            if first >= a:
-                continue
-            ds, dt = s[a:b, None] - s[None, first:a], np.abs(t[a:b, None] - t[None, first:a])
-            allowed = (ds > 1e-6) & (ds <= rule.most_gap) & (dt <= np.maximum(rule.least_move, rule.move_per_metre * ds + rule.move_slack))
-            price = rule.lateral_weight * dt + rule.gap_weight * np.maximum(0.0, ds - rule.slice_length) + rule.height_weight * np.abs(z[a:b, None] - z[None, first:a])
-            before = np.where(allowed, self.total[None, first:a] - price, -np.inf)
-            # Of equal ways the one over the nearest slice, then the better candidate.
-            order = np.lexsort((np.arange(first, a), -number[first:a]))
-            best = order[before[:, order].argmax(axis=1)]
-            more = before[np.arange(b - a), best]
-            take = more > 0
-            self.total[a:b] += np.where(take, more, 0.0)
-            self.back[a:b] = np.where(take, best + first, -1)
+        if not n:
+            return
+        far, near = np.maximum.accumulate(np.maximum.reduceat(s, begins)), np.minimum.reduceat(s, begins)
+        past = np.minimum(np.searchsorted(far, near - rule.most_gap), np.arange(len(begins)))  # the first slice that a way may come from
+        # Of equal ways the one over the nearest slice, then the better candidate: slices from last to first, so what lies before a slice is one stretch.
+        turned = np.lexsort((np.arange(n), -number))
+        reach, many = begins - begins[past], ends - begins
+        upto = np.cumsum(reach * many)
+        total = np.zeros(n)
+        total[n - ends[0] :] = self.total[: ends[0]]
+        done = 1
+        while done < len(begins):
+            to = max(done + 1, int(np.searchsorted(upto, upto[done - 1] + CELLS, side="right")))
+            price = self._prices(turned, z, rule, begins[done:to], many[done:to], reach[done:to])
+            for a, b, wide, at in zip(*(c.tolist() for c in (begins[done:to], ends[done:to], reach[done:to], upto[done - 1 : to - 1] - upto[done - 1])), strict=True):
+                if wide:
+                    before = total[n - a : n - a + wide] - price[at : at + wide * (b - a)].reshape(b - a, wide)
+                    best = before.argmax(axis=1)
+                    more = before.max(axis=1)
+                    take = more > 0
+                    self.total[a:b] += np.maximum(more, 0.0)
+                    self.back[a:b][take] = turned[n - a + best[take]]
+                total[n - b : n - a] = self.total[a:b]
+            done = to
+
+    def _prices(self, turned: np.ndarray, z: np.ndarray, rule: Tracing, begins: np.ndarray, many: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """What each candidate of some slices pays for coming from each one before within reach, the nearest slice first; infinite where it may not."""
+        each = np.repeat(reach, many)
+        row = np.repeat(np.arange(begins[0], begins[0] + many.sum()), each)
+        ends = np.cumsum(each)
+        other = turned[np.repeat(np.repeat(len(turned) - begins, many) - ends + each, each) + np.arange(len(row))]
+        ds, dt = self.s[row] - self.s[other], np.abs(self.t[row] - self.t[other])
+        allowed = (ds > 1e-6) & (ds <= rule.most_gap) & (dt <= np.maximum(rule.least_move, rule.move_per_metre * ds + rule.move_slack))
+        price = rule.lateral_weight * dt + rule.gap_weight * np.maximum(0.0, ds - rule.slice_length) + rule.height_weight * np.abs(z[row] - z[other])
+        return np.where(allowed, price, np.inf)
 
     def to(self, end: int) -> list[int]:
         out = []
@@ -96,24 +118,55 @@ class Ways:
         return out[::-1]
 
     def best(self, most: int, rule: Tracing) -> list[list[int]]:
-        """Ways by falling total, none too short, none like one before."""
-        kept: list[tuple[list[int], dict[int, float]]] = []
-        for end in np.argsort(-self.total, kind="stable").tolist():
-            way = self.to(end)
-            if len(way) < rule.least_slices:
-                continue
-            places = {int(self.slices[k]): float(self.t[k]) for k in way}
-            if any(self._alike(places, other, rule.alike) for _, other in kept):
-                continue
-            kept.append((way, places))
-            if len(kept) == most:
-                break
-        return [way for way, _ in kept]
-
-    @staticmethod
-    def _alike(a: dict[int, float], b: dict[int, float], alike: float) -> bool:
-        common = a.keys() & b.keys()
-        return len(common) >= 3 and float(np.median([abs(a[k] - b[k]) for k in common])) < alike
+        """Ways by falling total, none too short, none like one before.
+
+        Ways are rows of a matrix with a column for each slice, some ways at a time; each way that is kept is held against all that are left at once.
+        """
+        _, column = np.unique(self.slices, return_inverse=True)
+        order, wide = np.argsort(-self.total, kind="stable"), int(column.max(initial=0)) + 1
+        at_once = max(1, CELLS // wide)
+        kept: list[int] = []
+        rows: list[np.ndarray] = []
+        for begin in range(0, len(order), at_once):
+            ends = order[begin : begin + at_once]
+            places, size = self._places(ends, column, wide)
+            ends, places = ends[size >= rule.least_slices], places[size >= rule.least_slices]
+            for row in rows:
+                left = ~_alike(places, row, rule.alike)
+                ends, places = ends[left], places[left]
+            while len(ends):
+                kept.append(int(ends[0]))
+                rows.append(places[0])
+                if len(kept) == most:
+                    return [self.to(end) for end in kept]
+                left = ~_alike(places[1:], rows[-1], rule.alike)
+                ends, places = ends[1:][left], places[1:][left]
+        return [self.to(end) for end in kept]
+
+    def _places(self, ends: np.ndarray, column: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the way to each end its t in each slice, NaN where it takes none, and how many it takes."""
+        places = np.full(len(ends) * wide, np.nan)
+        row, at = np.arange(len(ends)) * wide, ends
+        while len(at):
+            places[row + column[at]] = self.t[at]
+            at = self.back[at]
+            on = np.flatnonzero(at >= 0)
+            row, at = row[on], at[on]
+        places = places.reshape(len(ends), wide)
+        return places, (~np.isnan(places)).sum(axis=1)
+
+
+def _alike(ways: np.ndarray, way: np.ndarray, alike: float) -> np.ndarray:
+    """Which ways (rows of t by slice, NaN where none) have three slices or more in common with one, and a median distance there of less than `alike`.
+
+    Where more than half of the distances are less, the median is; where exactly half are, it is the mean of the two in the middle.
+    """
+    apart = np.abs(ways[:, ~np.isnan(way)] - way[~np.isnan(way)])
+    common, near = (~np.isnan(apart)).sum(axis=1), (apart < alike).sum(axis=1)
+    out = (common >= 3) & (2 * near > common)
+    for k in np.flatnonzero((common >= 3) & (2 * near == common)):
+        out[k] = np.median(apart[k][~np.isnan(apart[k])]) < alike
+    return out
 
 
 def branch_score(total: float, s: np.ndarray, separation: np.ndarray, rule: Tracing) -> float | None:
