@@ -220,3 +220,20 @@ def test_ways_are_compared_at_once(monkeypatch):
         assert (again.back == ways.back).all() and (again.total == ways.total).all()
         assert [{int(number[k]): t[k] for k in way} for way in again.best(96, rule)] == expected
     assert len(expected) > 3 and len(medians) < 200
+
+
+def test_profile_is_looked_up(spark):
+    """The shape of the curve is that of k alone: no window sorts the samples, and lines of one name are apart."""
+    from trackloom.operators import curves
+
+    rows = spark.createDataFrame([(1, 0.0, 9.0, 1.0, 5.0), (1, 0.0, 3.0, 2.0, 0.0)], "line_id int, s0 double, s1 double, t0 double, t1 double")
+    df = curves.curve_straight_curve(rows, 12, 0.3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    u = np.arange(13) / 12
+    head = np.minimum(1, np.minimum(u / 0.3, (1 - u) / 0.3))
+    done = np.append(0, np.cumsum((head[1:] + head[:-1]) / 2))
+    for line in ((9.0, 1.0, 5.0), (3.0, 2.0, 0.0)):
+        got = np.array([r.offset for r in sorted(df.filter(df.s1 == line[0]).collect(), key=lambda r: r.k)])
+        assert np.allclose(got, line[1] + (line[2] - line[1]) * done / done[-1], atol=1e-12)
+    assert [r.offset for r in curves.curve_straight_curve(rows.limit(1), 1).orderBy("k").collect()] == [1.0, 5.0]

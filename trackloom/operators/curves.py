@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +29,15 @@ def eased(rows: DataFrame, many: int, power: float = 1.0) -> DataFrame:
 
 
 def curve_straight_curve(rows: DataFrame, many: int, share: float = 0.25) -> DataFrame:
-    """The heading rises over the first share, stays, and falls over the last: offset is its running integral (trapezoids), scaled to end at t1."""
-    u = F.col("u")
-    head = F.least(u / share, F.lit(1.0), (1 - u) / share)
-    w = Window.partitionBy("line_id").orderBy("k")
-    out = steps(rows, many).withColumn("_h", head)
-    out = out.withColumn("_a", F.sum((F.col("_h") + F.coalesce(F.lag("_h").over(w), F.col("_h"))) / 2).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("line_id")
-    first, last = F.min("_a").over(whole), F.max("_a").over(whole)
-    share_done = F.when(last > first, (F.col("_a") - first) / (last - first)).otherwise(u)
-    return out.withColumns({"station": F.col("s0") + u * (F.col("s1") - F.col("s0")), "offset": F.col("t0") + (F.col("t1") - F.col("t0")) * share_done}).drop("_h", "_a")
+    """The heading rises over the first share, stays, and falls over the last: offset is its running integral (trapezoids), scaled to end at t1.
+
+    The integral depends on k alone, so it is the same for all rows and is looked up, not summed over each line's samples.
+    """
+    head = [min(k / many / share, 1.0, (1 - k / many) / share) for k in range(many + 1)]
+    area = [0.0, *itertools.accumulate((a + b) / 2 for a, b in itertools.pairwise(head))]
+    done = [a / area[-1] if area[-1] > 0 else k / many for k, a in enumerate(area)]
+    at = F.element_at(F.array(*map(F.lit, done)), F.col("k") + 1)
+    return steps(rows, many).withColumns({"station": F.col("s0") + F.col("u") * (F.col("s1") - F.col("s0")), "offset": F.col("t0") + (F.col("t1") - F.col("t0")) * at})
 
 
 def bezier_bridge(rows: DataFrame, many: int, most: float = 18.0) -> DataFrame:
