@@ -237,3 +237,25 @@ def test_profile_is_looked_up(spark):
         got = np.array([r.offset for r in sorted(df.filter(df.s1 == line[0]).collect(), key=lambda r: r.k)])
         assert np.allclose(got, line[1] + (line[2] - line[1]) * done / done[-1], atol=1e-12)
     assert [r.offset for r in curves.curve_straight_curve(rows.limit(1), 1).orderBy("k").collect()] == [1.0, 5.0]
+
+
+def test_lines_of_a_partition_are_sampled_together(spark):
+    """A partition of many lines, cut into small batches, gives what a partition a line gives; lines are never called for one by one."""
+    from trackloom.functions import tables
+
+    rng = np.random.default_rng(23)
+    rows = [(None if k == 7 else k, q, *map(float, rng.integers(0, 40, 2))) for k in range(60) for q in range(rng.integers(1, 30))] + [(99, q, 3.0, 3.0) for q in range(3)] + [(100, 0, 1.0, 1.0), (100, 1, None, 2.0)]
+    spark.createDataFrame(rows, "line_id long, seq int, x double, y double").createOrReplaceTempView("lines_together")
+    tables.register(spark, "bigint")
+    say = lambda f, by, order, t="lines_together": sorted(((-1 if r.line_id is None else r.line_id, r.k), (r.station, r.x, r.y)) for r in spark.sql(f"SELECT * FROM {f}(TABLE({t}) PARTITION BY {by} ORDER BY {order}, 7.0D)").collect())
+    spark.sql("SELECT * FROM lines_together WHERE x IS NOT NULL").createOrReplaceTempView("lines_whole")
+    apart, size = say("densify_line", "line_id", "(seq)", "lines_whole"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows_at_once in ("17", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
+            together = say("densify_lines", "pmod(hash(line_id), 3)", "(line_id, seq)")
+            assert [a for a, _ in together] == [a for a, _ in apart]
+            assert np.allclose([b for _, b in together], [b for _, b in apart], atol=1e-9)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {a[0] for a, _ in apart} == {k for k in range(60) if k != 7 and sum(r[0] == k for r in rows) > 1} | {-1}
