@@ -259,3 +259,22 @@ def test_lines_of_a_partition_are_sampled_together(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert {a[0] for a, _ in apart} == {k for k in range(60) if k != 7 and sum(r[0] == k for r in rows) > 1} | {-1}
+
+
+def test_pixels_are_counted_within_tiles(spark):
+    """Squares over the borders of tiles, negative places, repeated and null pixels: as by force, and no pixel is multiplied."""
+    from trackloom.operators import masks
+
+    rng = np.random.default_rng(29)
+    at = [(k, *map(int, p)) for k in (1, 5) for p in rng.integers(-6, 14, (260, 2))]
+    df = spark.createDataFrame([*at, *at[:40], (1, None, 3), (None, 2, 3)], "image int, row int, col int")
+    for reach, least in ((1, 4), (2, 9), (1, 9)):
+        found = masks.crowded(df, reach, least, 4)
+        around = range(-reach, reach + 1)
+        n = {}
+        for k, r, c in set(at):
+            for p in ((k, r + i, c + j) for i in around for j in around):
+                n[p] = n.get(p, 0) + 1
+        assert sorted(map(tuple, found.collect())) == sorted(p for p, m in n.items() if m >= least)
+        assert found.dtypes == df.dtypes
+    assert "HashAggregate" not in masks.crowded(df, 1, 4)._jdf.queryExecution().executedPlan().toString()

@@ -95,21 +95,45 @@ def without_small(found: DataFrame, least: int) -> DataFrame:
     return found.join(sizes(found).filter(F.col("n") >= least).select("image", "component"), ["image", "component"], "left_semi")
 
 
-def _spread(pixels: DataFrame, reach: int) -> DataFrame:
-    step = F.sequence(F.lit(-reach), F.lit(reach))
-    rows = pixels.select("image", "col", F.explode(F.transform(step, lambda k: F.col("row") + k)).alias("row"))
-    return rows.select("image", "row", F.explode(F.transform(step, lambda k: F.col("col") + k)).alias("col"))
+def crowded(pixels: DataFrame, reach: int, least: int, tile: int = TILE) -> DataFrame:
+    """Every pixel, set or not, with `least` set ones or more in the square around it. Repeated pixels count once, those with a null are left out.
+
+    Set pixels go to the tiles that they reach, and a kernel counts within a tile by sums over rectangles; no pixel is written out for the squares it lies in.
+    """
+    rows = pixels.select("image", "row", "col").dropna()
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile)))
+    rows = rows.select("image", F.col("row").cast("long"), F.col("col").cast("long")).withColumn("_r", near("row")).withColumn("_c", near("col"))
+    side = 2 * reach + 1
+
+    def run(batch, starts):
+        row, col, top, left = (np.asarray(batch.column(c)) for c in ("row", "col", "_r", "_c"))
+        taken, down, across = [], [], []
+        for a, b in zip(starts, starts[1:], strict=False):
+            r0, c0 = row[a:b].min() - 2 * reach, col[a:b].min() - 2 * reach
+            count = np.zeros((row[a:b].max() - r0 + 2 + 2 * reach, col[a:b].max() - c0 + 2 + 2 * reach), np.int32)
+            count[row[a:b] - r0 + 1, col[a:b] - c0 + 1] = 1
+            count = count.cumsum(axis=0).cumsum(axis=1)
+            r, c = np.nonzero(count[side:, side:] - count[:-side, side:] - count[side:, :-side] + count[:-side, :-side] >= least)
+            r, c = r + r0 + reach, c + c0 + reach
+            inside = (r // tile == top[a]) & (c // tile == left[a])
+            down.append(r[inside])
+            across.append(c[inside])
+            taken.append(np.full(len(down[-1]), a))
+        return pa.RecordBatch.from_arrays([batch.column("image").take(pa.array(np.concatenate(taken))), pa.array(np.concatenate(down)), pa.array(np.concatenate(across))], names=["image", "row", "col"])
+
+    kind = pixels.schema["image"].dataType.simpleString()
+    found = map_runs(rows.select("image", "_r", "_c", "row", "col"), ["image", "_r", "_c"], [], run, f"image {kind}, row long, col long")
+    return found.select("image", *(F.col(c).cast(pixels.schema[c].dataType) for c in ("row", "col")))
 
 
 def dilated(pixels: DataFrame, reach: int, height: int, width: int) -> DataFrame:
     """Every pixel of the image with a set one in the square around it."""
-    return _spread(pixels.select("image", "row", "col").distinct(), reach).filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).distinct()
+    return crowded(pixels, reach, 1).filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
 
 
 def eroded(pixels: DataFrame, reach: int) -> DataFrame:
     """Every pixel whose square is set as a whole; what lies outside the image is not set."""
-    full = (2 * reach + 1) ** 2
-    return _spread(pixels.select("image", "row", "col").distinct(), reach).groupBy("image", "row", "col").agg(F.count("*").alias("n")).filter(F.col("n") == full).drop("n")
+    return crowded(pixels, reach, (2 * reach + 1) ** 2)
 
 
 def opened(pixels: DataFrame, reach: int, height: int, width: int) -> DataFrame:
