@@ -109,3 +109,15 @@ def test_odd_rows(spark, odd, none):
     assert held(spark, odd, labels, 1) == plain(rows, marks, 1)
     assert quality_rules.judged(none, labels).count() == 0 and quality_rules.judged(odd, labels.limit(0)).count() == len(rows)
     assert quality_rules.judged(odd.drop("lang"), labels).count() == len(rows)
+
+
+def test_bands_are_those_of_all_rows(spark):
+    """More clean rows than the sample of before held; the bands are the quantiles of all of them."""
+    n = 6000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("word"), F.sha2(F.concat_ws("-", "id", F.lit(k)), 256).substr(1, 4)) for k in range(12))).alias("text"), F.lit("xx").alias("lang"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    rows = quality_rules.measured(docs).filter("not base_failed").collect()
+    assert len(rows) > 5000
+    q = lambda c, s: float(np.percentile([r[c] for r in rows], 100 * s))
+    expected = (q("chars_per_token", 0.01), 9.0, max(quality_rules.SLACK, q("byte_share", 0.99)), q("entropy_share", 0.01))
+    assert quality_rules.learnt(docs, labels)["xx"] == pytest.approx(expected, abs=1e-12)
