@@ -278,3 +278,22 @@ def test_pixels_are_counted_within_tiles(spark):
         assert sorted(map(tuple, found.collect())) == sorted(p for p, m in n.items() if m >= least)
         assert found.dtypes == df.dtypes
     assert "HashAggregate" not in masks.crowded(df, 1, 4)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_rebuilt_once(spark):
+    """Each side is read from tables that hold the ends and the rebuilt lines, not worked out anew for each use."""
+    from trackloom.operators import evidence
+
+    rows = [(k, float(s), float(k % 3)) for k in range(20) for s in range(0, 30, 3)]
+    candidates = spark.createDataFrame(rows, "key int, s double, t double")
+    gauges = spark.createDataFrame([(k, s, t + (2.0 if k % 2 else 0.5)) for k, s, t in rows if 3 <= s <= 20], "key int, s double, t double")
+    scans = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            scans.add(batch.num_rows)
+            yield batch
+
+    got = evidence.constrained(candidates, gauges.coalesce(1).mapInArrow(seen, gauges.schema), ["key"]).collect()
+    assert scans.value <= 2 * gauges.count()  # for the ends, and for the lines
+    assert {r.kind for r in got} == {"prefix", "gauge", "suffix", "smoothed"} and {r.key for r in got} == set(range(20))
