@@ -90,3 +90,38 @@ def test_query(spark):
     g = np.random.default_rng(1)
     for x, y in g.uniform((-8, -3), (55, 35), (4000, 2)):
         assert any(inside(x, y, s) for s in shapes) == (sum(inside(x, y, s) for s in rings.values()) % 2 == 1)
+
+
+def test_long_rings_are_put_in_order_tile_by_tile(spark, monkeypatch):
+    """A long outline with holes along it, one zone: no task holds it whole, and the rows are those of one tile."""
+    shapes, k = {}, 0
+    for j in range(60):  # a ladder: two rails, a rung every four
+        for s in (box(4 * j, 0, 4 * j + 5, 1), box(4 * j, 5 + j % 2, 4 * j + 5, 6 + j % 2), box(4 * j, 0, 4 * j + 1, 6 + j % 2)):
+            shapes[k], k = s, k + 1
+    shapes[k] = box(4 * 59 + 4, 0, 4 * 60 + 1, 1)
+    shapes[k + 1], shapes[k + 2] = box(500, 0, 502, 2), box(502, 2, 504, 4)  # a place where two go on
+    held, once = [], polygons.map_runs
+
+    def seen(df, keys, *rest):
+        held.append(df.groupBy(*keys).count().agg({"count": "max"}).first()[0] or 0)
+        return once(df, keys, *rest)
+
+    monkeypatch.setattr(polygons, "map_runs", seen)
+    rows = lambda: sorted(tuple(r) for r in polygons.union(table(spark, shapes), 3.0).collect())
+    monkeypatch.setattr(polygons, "TILE", 4, raising=False)
+    monkeypatch.setattr(polygons, "WIDER", 2, raising=False)
+    monkeypatch.setattr(polygons, "RUNS", 8, raising=False)
+    got = rows()
+    assert len(held) > 3 and max(held) < len(got) / 5
+    monkeypatch.setattr(polygons, "TILE", 10_000, raising=False)
+    assert got == rows()
+    rings = {}
+    for zone, ring, hole, area, seq, x, y in got:
+        rings.setdefault((zone, ring, hole, area), []).append((seq, x, y))
+    assert sorted(r[:2] for r in rings) == [(0, n) for n in range(60)] + [(k + 1, 0), (k + 1, 1)]
+    assert sum(hole for _, _, hole, _ in rings) == 59
+    for (_, _, hole, area), places in rings.items():
+        assert [p[0] for p in places] == list(range(len(places))) and hole == (area < 0)
+        assert area == pytest.approx(0.5 * sum(a[1] * b[2] - b[1] * a[2] for a, b in zip(places, places[1:] + places[:1], strict=True)))
+        ways = [(*a[1:], *b[1:]) for a, b in zip(places, places[1:] + places[:1], strict=True)]
+        assert min(ways) == ways[0]  # a ring starts at its least piece
