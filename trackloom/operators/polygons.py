@@ -62,9 +62,9 @@ def _pieces(edges: DataFrame, size: float, grid: float) -> DataFrame:
     cuts = pairs.select("edge", F.explode(F.array(proper, on("cx", "cy"), on("dx", "dy"))).alias("u")).filter("u > 0 and u < 1")
     cuts = cuts.groupBy("edge").agg(F.array_sort(F.collect_set("u")).alias("us"))
     rows = rows.join(cuts, "edge", "left").withColumn("us", F.concat(F.array(F.lit(0.0)), F.coalesce("us", F.array().cast("array<double>")), F.array(F.lit(1.0))))
-    place = lambda k: F.struct((F.round((F.col("ax") + F.col("us")[k] * (F.col("bx") - F.col("ax"))) / grid) * grid).alias("x"), (F.round((F.col("ay") + F.col("us")[k] * (F.col("by") - F.col("ay"))) / grid) * grid).alias("y"))
-    parts = rows.select("polygon_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("us") - 2), lambda k: F.struct(place(k).alias("a"), place(k + 1).alias("b")))).alias("p"))
-    parts = parts.select("polygon_id", F.col("p.a.x").alias("ax"), F.col("p.a.y").alias("ay"), F.col("p.b.x").alias("bx"), F.col("p.b.y").alias("by")).filter("ax <> bx or ay <> by")
+    rows = rows.withColumns({"_u": F.slice("us", 1, F.size("us") - 1), "_v": F.slice("us", 2, F.size("us") - 1)}).withColumn("p", F.explode(F.arrays_zip("_u", "_v")))
+    at = lambda u, a, b: F.round((F.col(a) + F.col(f"p.{u}") * (F.col(b) - F.col(a))) / grid) * grid
+    parts = rows.select("polygon_id", *(at(u, a, b).alias(c) for c, u, a, b in (("ax", "_u", "ax", "bx"), ("ay", "_u", "ay", "by"), ("bx", "_v", "ax", "bx"), ("by", "_v", "ay", "by")))).filter("ax <> bx or ay <> by")
     return parts.groupBy("ax", "ay", "bx", "by").agg(F.min("polygon_id").alias("polygon_id"))
 
 
