@@ -123,5 +123,48 @@ def test_no_score_is_infinite(net):
     assert np.isfinite(far.score(ids, p.leaf)).all()
 
 
+def test_texts_are_encoded_once(odd, none, docs, net, monkeypatch):
+    """Each round and the scoring encoded the texts again."""
+    frame = odd.filter("doc_id is null or doc_id not in (7, 8)").select("doc_id", "text").union(docs.limit(12).select("doc_id", "text"))
+    many, once = (pn.scored(f, net).drop("text").toPandas() for f in (frame, pn.coded(frame)))
+    assert len(many) == frame.count() and pn.coded(none).count() == 0
+    assert many[["doc_id", "n_tokens"]].equals(once[["doc_id", "n_tokens"]]) and np.allclose(many.iloc[:, 2:], once.iloc[:, 2:], rtol=1e-5, equal_nan=True)
+    p, table = pn.pieces(pn.VOCABULARY), pn.coded(frame).toArrow().combine_chunks()
+    plain = [p.encode(b.column("text")) for b in frame.toArrow().combine_chunks().to_batches()]
+    monkeypatch.setattr(p, "words", None)  # pieces are not encoded again, whole or in slices
+    coded = [p.encode(b.column("text")) for b in table.to_batches()]
+    assert all(np.array_equal(x, y) for u, v in zip(plain, coded, strict=True) for x, y in zip(u, v, strict=True))
+    assert p.encode(table.column("text").combine_chunks().slice(3, 4))[2].tolist() == coded[0][2][3:7].tolist()
+
+
+def test_a_step_by_force():
+    """Gradients of one step, written out in doubles."""
+    p, ids = pn.pieces(pn.VOCABULARY), np.random.default_rng(3).integers(200, 900, 1400).astype(np.int16)
+    ids[[0, 1, 2, 700, 701, 702, -3, -2, -1]] = p.edge
+    own, fresh = pn.Descent(pn.Network(p.size), p.leaf), pn.Network(p.size)
+    own.step(ids)
+    middle = np.arange(pn.SIDE, len(ids) - pn.SIDE)
+    middle = middle[ids[middle] != p.edge]
+    near = np.stack([ids[middle + k] for k in pn.SHIFTS], 1).astype(int)
+    x = fresh.embedding.astype(float)[near]
+    h = np.tanh((x * fresh.place).sum(1) + fresh.hidden)
+    full, leaf, back = np.append(h, np.ones((len(h), 1)), 1), p.leaf[ids[middle]].astype(int), 0
+    want = [np.zeros(w.shape) for w in fresh.weights()]
+    for k, (shift, w) in enumerate(zip(pn.LEVELS, fresh.levels, strict=True), 3):
+        node = leaf >> (shift + 5)
+        q = np.exp(np.einsum("nd,ndf->nf", full, w[node].astype(float)))
+        q /= q.sum(1, keepdims=True)
+        q[np.arange(len(q)), (leaf >> shift) % pn.FAN] -= 1
+        np.add.at(want[k], node, full[:, :, None] * q[:, None, :])
+        back = back + np.einsum("nf,ndf->nd", q, w[node, : pn.WIDTH].astype(float))
+    back = back * (1 - h * h)
+    np.add.at(want[0], near, back[:, None, :] * fresh.place)
+    want[1], want[2] = (back[:, None, :] * x).sum(0), back.sum(0, keepdims=True)
+    for k, (w, was, g) in enumerate(zip(own.net.weights(), fresh.weights(), want, strict=True)):
+        sure = np.abs(g) > 1e-2
+        assert sure.any() and np.allclose((was - w)[sure], (pn.RATE * g / np.sqrt(1e-6 + g * g))[sure], rtol=1e-2), k
+        assert np.allclose(own.squares[k], 1e-6 + g * g, rtol=1e-2, atol=1e-4), k
+
+
 def test_query_is_the_piece_network():
     assert queries.QUERIES["op7_lm_scoring"] is pn.query

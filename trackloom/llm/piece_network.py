@@ -1,11 +1,12 @@
 """Language-model scoring by masked pseudo-likelihood over the pieces of a public subword vocabulary: a network predicts every
 piece of a text from SIDE pieces to each side, and the summed conditional log-probabilities score the document.
 
-The vocabulary covers any text (bytes stand for what it has no piece for), so no word is left out or shares a class. Pieces are
-the leaves of a tree of FAN branches; a softmax at each of its three levels gives a piece's probability as the product along
-its path, and the probabilities of all pieces add up to one.
+The vocabulary covers any text (bytes stand for what it has no piece for), so no word is left out or shares a class. The query
+encodes each text once (`coded`); training and scoring take texts, or a binary column of pieces. Pieces are the leaves of a tree
+of FAN branches; a softmax at each of its three levels gives a piece's probability as the product along its path, and the
+probabilities of all pieces add up to one.
 
-Every document trains. Texts are dealt into parts of about PART bytes and ordered within them by their hashes, so that one corpus
+Every document trains. Texts (or their pieces) are dealt into parts of about PART bytes and ordered within them by their hashes, so that one corpus
 gives one model however its table is cut; copies of a text are numbered and dealt apart. Tasks descend over the texts of their part
 (Adagrad) from common weights and hand on what moved, each row of weights times the number of pieces it was trained on; shuffles add
 the moves up block by block, ADDED parts at a time, and the driver divides by the counts. A first round over an eighth of the texts,
@@ -24,6 +25,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +39,12 @@ RATE, FIRST = 0.08, 8
 #: Pieces in a step of training, at first and at most (doubled every DOUBLED steps), and in a step of scoring.
 LEAST, MOST, DOUBLED, SCORED = 4096, 16384, 24, 16384
 #: Pieces whose hidden layer is made at once, so that it stays in a processor's cache.
-CACHED = 2048
+CACHED = 512
 #: Pieces whose softmaxes are worked on at once, for the same reason.
 TRAINED = 2048
 #: Numbers in a block of moves, and parts whose moves are added up at once.
 BLOCK, ADDED = 4096, 64
-#: Bytes of text in a part.
+#: Bytes of text, or of pieces, in a part.
 PART = 16 << 20
 #: Least share of a branch, so that no score is infinite.
 TINY = 1e-37
@@ -83,20 +85,35 @@ class Pieces:
                 self.memory[names[k]] = out[k]
         return out
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces of a slice with SIDE edges before each text and after the last; where each text starts; its number of pieces."""
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of a slice of texts, or of pieces as `coded` returns them, in a row; the number of each text's pieces."""
+        if not pa.types.is_string(texts.type) and not pa.types.is_large_string(texts.type):
+            held = pc.fill_null(texts.cast(pa.large_binary()), b"")
+            ends = np.frombuffer(held.buffers()[1], np.int64)[held.offset :][: len(held) + 1]
+            data = held.buffers()[2]
+            whole = np.frombuffer(data, np.int16, (ends[-1] - ends[0]) // 2, ends[0]) if data and ends[-1] > ends[0] else np.zeros(0, np.int16)
+            return whole, np.diff(ends) // 2
         split = base.Words(texts)
         coded = self.words(split.names.to_pylist())
+        if not coded:
+            return np.zeros(0, np.int16), np.zeros(len(texts), np.int64)
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // 2
         flat = np.frombuffer(b"".join(coded), np.int16)
-        each = size[split.codes] if len(coded) else np.zeros(0, np.int64)
+        each = size.take(split.codes)
         ends = np.concatenate([[0], np.cumsum(each)])
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        at = (np.repeat(first[split.codes] - ends[:-1], each) + np.arange(ends[-1])) if len(coded) else np.zeros(0, np.int64)
-        n = np.diff(ends[split.starts])
-        starts = np.concatenate([[0], np.cumsum(n)])[:-1] + SIDE * np.arange(1, len(n) + 1)
-        ids = np.full(int(n.sum()) + SIDE * (len(n) + 1), self.edge, np.int16)
-        ids[np.arange(ends[-1]) + np.repeat(SIDE * np.arange(1, len(n) + 1), n)] = flat[at]
+        first = np.cumsum(size) - size
+        at = np.repeat((first.take(split.codes) - ends[:-1]).astype(np.int32), each)  # a slice has fewer pieces than 2**31
+        at += np.arange(ends[-1], dtype=np.int32)
+        return flat.take(at), np.diff(ends.take(split.starts))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of a slice with SIDE edges before each text and after the last; where each text starts; its number of pieces."""
+        flat, n = self.flat(texts)
+        starts = np.cumsum(n) - n + SIDE * np.arange(1, len(n) + 1)
+        inside = np.ones(len(flat) + SIDE * (len(n) + 1), bool)
+        inside[(np.append(starts - SIDE, len(inside) - SIDE)[:, None] + np.arange(SIDE)).ravel()] = False
+        ids = np.full(len(inside), self.edge, np.int16)
+        ids[inside] = flat
         return ids, starts, n
 
 
@@ -106,6 +123,12 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
+def runs(sorted_: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The distinct values of a sorted array, and where each begins, and the last ends."""
+    cuts = [0, *(np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1).tolist(), len(sorted_)] if len(sorted_) else [0]
+    return sorted_.take(cuts[:-1]), cuts
+
+
 class Network:
     """An embedding of pieces, scaled by place and added up; tanh; a softmax at each node of the tree."""
 
@@ -122,41 +145,44 @@ class Network:
     def weights(self) -> list[np.ndarray]:
         return [self.embedding, self.place, self.hidden, *self.levels]
 
+    def places(self) -> np.ndarray:
+        """The scales of each place, CACHED times: products of whole blocks take a third of the time of products with one row."""
+        return np.repeat(self.place[:, None], CACHED, axis=1)
+
     def inner(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The embedding of each piece, and the hidden layer for all but SIDE pieces at either end."""
-        x, many = self.embedding[ids], len(ids) - 2 * SIDE
+        x, many = self.embedding.take(ids, axis=0), len(ids) - 2 * SIDE
         h, held = np.empty((many, WIDTH), np.float32), np.empty((CACHED, WIDTH), np.float32)
+        places, hidden = self.places(), np.repeat(self.hidden, CACHED, axis=0)
         for at in range(0, many, CACHED):
             part = h[at : at + CACHED]
-            part[:] = self.hidden
-            for k, p in zip(SHIFTS, self.place, strict=True):
-                part += np.multiply(x[at + SIDE + k :][: len(part)], p, out=held[: len(part)])
+            part[:] = hidden[: len(part)]
+            for k, p in zip(SHIFTS, places, strict=True):
+                part += np.multiply(x[at + SIDE + k :][: len(part)], p[: len(part)], out=held[: len(part)])
             np.tanh(part, out=part)
         return x, h
 
     def paths(self, h: np.ndarray, leaf: np.ndarray) -> Iterator[tuple]:
         """Level by level, for h in the order of leaves: node bounds, nodes, branches taken, probabilities of all branches."""
         for shift, w in zip(LEVELS, self.levels, strict=True):
-            node, branch = leaf >> (shift + 5), (leaf >> shift) & (FAN - 1)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
-            p = np.empty((len(node), FAN), np.float32)
-            nodes = node[cuts[:-1]]
-            for a, b, k in zip(cuts[:-1].tolist(), cuts[1:].tolist(), nodes.tolist(), strict=True):
+            nodes, cuts = runs(leaf >> (shift + 5))
+            p = np.empty((len(leaf), FAN), np.float32)
+            for a, b, k in zip(cuts, cuts[1:], nodes.tolist()):
                 np.dot(h[a:b], w[k], out=p[a:b])
             if p.max(initial=0) > 60 or p[:, 0].min(initial=0) < -60:  # the first branch always leads to a piece
                 p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
-            yield cuts, nodes, branch, p, p @ np.ones(FAN, np.float32)
+            yield cuts, nodes, (leaf >> shift) & (FAN - 1), p, p @ np.ones(FAN, np.float32)
 
     def ordered(self, ids: np.ndarray, h: np.ndarray, leaf_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pieces that are no edge, in the order of their leaves: rows, hidden layer with a one, leaves."""
         middle = ids[SIDE : len(ids) - SIDE]
         rows = np.flatnonzero(middle != self.size)
-        leaf = leaf_of[middle[rows]]
+        leaf = leaf_of.take(middle.take(rows))
         order = np.argsort(leaf, kind="stable")
-        rows, leaf = rows[order], leaf[order].astype(np.int64)
+        rows, leaf = rows.take(order), leaf.take(order)
         own = np.ones((len(rows), WIDTH + 1), np.float32)
-        own[:, :WIDTH] = h[rows]
+        own[:, :WIDTH] = h.take(rows, axis=0)
         return rows, own, leaf
 
     def score(self, ids: np.ndarray, leaf_of: np.ndarray) -> np.ndarray:
@@ -169,7 +195,7 @@ class Network:
                 here, own_leaf = own[cut : cut + TRAINED], leaf[cut : cut + TRAINED]
                 total, first = np.zeros(len(here)), np.arange(len(here)) * FAN
                 for _, _, branch, p, whole in self.paths(here, own_leaf):
-                    total += np.log(np.maximum(p.reshape(-1)[first + branch], TINY) / whole)
+                    total += np.log(np.maximum(p.reshape(-1).take(first + branch), TINY) / whole)
                 out[at + rows[cut : cut + TRAINED]] = total
         return out
 
@@ -184,7 +210,8 @@ class Descent:
         self.held = np.zeros(0, np.int16)
 
     def move(self, k: int, rows, gradient: np.ndarray, n) -> None:
-        squares = self.squares[k][rows] + gradient * gradient
+        squares = gradient * gradient
+        squares += self.squares[k][rows]
         self.squares[k][rows] = squares
         np.sqrt(squares, out=squares)
         np.divide(gradient, squares, out=squares)
@@ -199,35 +226,44 @@ class Descent:
         if not len(rows):
             return
         # In pieces that stay in the processor's cache; rows are in the order of leaves, so a node's rows lie side by side.
-        back, first, held = np.zeros_like(own), np.arange(TRAINED) * FAN, np.empty((TRAINED, WIDTH + 1), np.float32)
-        nodes = [np.unique(leaf >> (shift + 5)) for shift in LEVELS]
+        back, first, held = np.empty((len(rows), WIDTH), np.float32), np.arange(TRAINED) * FAN, np.empty((TRAINED, WIDTH), np.float32)
+        nodes, counts = zip(*((n, np.diff(cuts)) for n, cuts in (runs(leaf >> (shift + 5)) for shift in LEVELS)), strict=True)
         gradients = [np.zeros((len(n), WIDTH + 1, FAN), np.float32) for n in nodes]
-        counts = [np.diff(np.append(np.searchsorted(leaf >> (shift + 5), n), len(leaf))) for shift, n in zip(LEVELS, nodes, strict=True)]
         for at in range(0, len(rows), TRAINED):
             part, into = own[at : at + TRAINED], back[at : at + TRAINED]
+            turned, out = part.T, into  # the first level's share is written in place, the others are added
             for w, gradient, known, (cuts, here, branch, p, whole) in zip(net.levels, gradients, nodes, net.paths(part, leaf[at : at + TRAINED]), strict=True):
                 p *= (1 / whole)[:, None]
                 p.reshape(-1)[first[: len(p)] + branch] -= 1
-                for a, b, node, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), here.tolist(), np.searchsorted(known, here).tolist(), strict=True):
+                j = int(np.searchsorted(known, here[0]))  # nodes of a part follow each other in those of the step
+                for a, b, node in zip(cuts, cuts[1:], here.tolist()):
                     own_p = p[a:b]
-                    gradient[j] += np.dot(part[a:b].T, own_p)
-                    np.dot(own_p, w[node].T, out=held[a:b])
-                into += held[: len(p)]
-        moves = [(k, *m) for k, m in enumerate(zip(nodes, gradients, counts, strict=True), 3)]
+                    gradient[j] += np.dot(turned[:, a:b], own_p)
+                    np.dot(own_p, w[node, :WIDTH].T, out=out[a:b])
+                    j += 1
+                if out is not into:
+                    into += out[: len(p)]
+                out = held
         dh = np.zeros((many, WIDTH), np.float32)
-        dh[rows] = back[:, :WIDTH]
-        dh *= 1 - h * h
-        dx, dp = np.zeros_like(x), np.empty_like(net.place)
-        for j, k in enumerate(SHIFTS):
-            dp[j] = np.einsum("nd,nd->d", dh, x[SIDE + k :][:many])
-            dx[SIDE + k :][:many] += net.place[j] * dh
+        dh[rows] = back
+        np.subtract(1, np.multiply(h, h, out=h), out=h)
+        dh *= h
+        dx, dp, places = np.zeros_like(x), np.zeros_like(net.place), net.places()
+        held, ones = np.empty((CACHED, WIDTH), np.float32), np.ones(CACHED, np.float32)
+        for at in range(0, many, CACHED):
+            part = dh[at : at + CACHED]
+            product, one = held[: len(part)], ones[: len(part)]
+            for j, k in enumerate(SHIFTS):
+                there = slice(at + SIDE + k, at + SIDE + k + len(part))
+                dp[j] += one @ np.multiply(part, x[there], out=product)
+                dx[there] += np.multiply(part, places[j, : len(part)], out=product)
         order = np.argsort(ids, kind="stable")
-        first = np.concatenate([[0], np.flatnonzero(np.diff(ids[order])) + 1])
-        self.move(0, ids[order[first]], np.add.reduceat(dx[order], first), np.diff(np.concatenate([first, [len(ids)]])))
+        known, cuts = runs(ids.take(order))
+        self.move(0, known, np.add.reduceat(dx.take(order, axis=0), cuts[:-1]), np.diff(cuts))
         self.move(1, slice(None), dp, len(rows))
-        self.move(2, slice(None), dh.sum(axis=0, keepdims=True), len(rows))
-        for m in moves:
-            self.move(*m)
+        self.move(2, slice(None), (np.ones(many, np.float32) @ dh)[None], len(rows))
+        for k, m in enumerate(zip(nodes, gradients, counts, strict=True), 3):
+            self.move(k, *m)
 
     def learn(self, ids: np.ndarray, last: bool = False) -> None:
         """Whole steps over what is held and ids; the rest is held, so that steps do not depend on how texts come in batches."""
@@ -287,7 +323,7 @@ def moves(texts: DataFrame, net: Network, vocabulary: str = VOCABULARY) -> DataF
         if own is not None:
             yield from handed(part, own)
 
-    return base.map_arrow(texts.select("text", "part"), run, MOVES)
+    return base.map_arrow(texts.select("text", "part"), run, MOVES, keep=True)
 
 
 def added(rows: pd.DataFrame) -> pd.DataFrame:
@@ -327,6 +363,20 @@ def fit(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> Ne
     return improved(docs, improved(docs.filter(F.pmod(F.xxhash64(text), F.lit(FIRST)) == 0), net, text, vocabulary), text, vocabulary)
 
 
+def coded(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """docs with each text's pieces, as the bytes of 16-bit numbers, in place of the text; none for null."""
+
+    def run(batches):
+        p = pieces(vocabulary)
+        for batch in base.slices(batches, text):
+            flat, n = p.flat(batch.column(text))
+            ends = pa.array(np.concatenate([[0], np.cumsum(2 * n)])).cast(pa.int32())  # raises beyond 2 GB
+            data = pa.Array.from_buffers(pa.binary(), len(n), [None, ends.buffers()[1], pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([data if name == text else batch.column(name) for name in batch.schema.names], names=batch.schema.names)
+
+    return base.map_arrow(docs, run, T.StructType([T.StructField(text, T.BinaryType()) if f.name == text else f for f in docs.schema.fields]), keep=True)
+
+
 def scored(docs: DataFrame, net: Network, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """docs with n_tokens (pieces), log_likelihood (the sum) and mean_log_likelihood."""
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())]
@@ -341,9 +391,9 @@ def scored(docs: DataFrame, net: Network, text: str = "text", vocabulary: str =
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(n, pa.int64()), pa.array(total), mean], names=[*(f.name for f in kept), *(f.name for f in new)])
 
-    return base.map_arrow(docs, run, T.StructType([*kept, *new]))
+    return base.map_arrow(docs, run, T.StructType([*kept, *new]), keep=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = base.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = base.stored(coded(base.table(spark, sf_dir, "documents").select("doc_id", "text")), "pieces")
     return scored(docs, fit(docs)).drop("text")
