@@ -297,3 +297,40 @@ def test_lines_are_rebuilt_once(spark):
     got = evidence.constrained(candidates, gauges.coalesce(1).mapInArrow(seen, gauges.schema), ["key"]).collect()
     assert scans.value <= 2 * gauges.count()  # for the ends, and for the lines
     assert {r.kind for r in got} == {"prefix", "gauge", "suffix", "smoothed"} and {r.key for r in got} == set(range(20))
+
+
+def test_stations_are_written_out_last(spark):
+    """Lines of far more stations than samples: no shuffle reads a station, and the offsets are those of stations that are shuffled, whatever lies where."""
+    rng = np.random.default_rng(31)
+    ends = [(k, float(a), float(a + n)) for k, a, n in zip(range(40), rng.integers(-90, 50, 40), rng.integers(0, 900, 40), strict=True)]
+    ends += [(50, 5.0, 5.0), (51, 9.0, 2.0), (52, 0.0, 300.0), (None, 0.0, 90.0)]  # no length, turned round, no samples, no key
+    known = [(k, float(s), float(o)) for k in range(40) for s, o in zip(rng.integers(-200, 900, 12), rng.normal(0, 9, 12), strict=True)]
+    known += [(k, 37.0, float(o)) for k in range(20) for o in (3, 1, 1)] + [(50, 4.0, 1.0), (50, 5.0, 2.0), (51, 9.0, 3.0), (77, 1.0, 1.0), (3, None, 8.0)]
+    rows, samples = spark.createDataFrame(ends, "track int, start double, end double"), spark.createDataFrame(known, "track int, station double, offset double")
+    df = lines.profiled(rows, samples, ["track"], 7.0, 9.0, 2.0, 100.0, 30.0, 6.0)
+    expected = lines.local_offsets(lines.stations_between(rows, 7.0), samples, ["track"], 9.0, 2.0, 100.0, 30.0, 6.0)
+    say = lambda df: sorted(((-1 if r.track is None else r.track, r.k), r.station, r.offset) for r in df.collect())
+    assert say(df) == say(expected) and df.count() > 1000
+    above = []  # of the plan: how deep each node stands, and what it is
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        deep = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if x[0] < deep] + [(deep, line)]
+        assert "Generate explode" not in line or not any("Exchange" in x for _, x in above[:-1])
+
+
+def test_samples_without_offset(spark, tmp_path):
+    """Missing offsets, at stations too, as the SQL has them."""
+    import duckdb
+
+    from trackloom import catalog
+
+    rng = np.random.default_rng(37)
+    rows = [(e, int(e % 5), None if rng.random() < 0.5 or e % 5 == 4 else float(rng.normal(250, 150))) for e in rng.choice(6000, 120, False).tolist()]
+    rows += [(150 + k * 50, 9, None if k % 2 else 60.0) for k in range(8)] + [(7000, None, 5.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["profiled_lines"](spark, str(tmp_path)).filter("track is not null").collect())
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    expected = sorted(r for r in con.sql(catalog.ORACLE_SQL["profiled_lines"]).fetchall() if r[0] is not None)
+    assert [r[:2] for r in got] == [r[:2] for r in expected] and len(got) > 300
+    assert np.allclose([r[2] for r in got], [r[2] for r in expected], atol=1e-9)
