@@ -334,3 +334,20 @@ def test_samples_without_offset(spark, tmp_path):
     expected = sorted(r for r in con.sql(catalog.ORACLE_SQL["profiled_lines"]).fetchall() if r[0] is not None)
     assert [r[:2] for r in got] == [r[:2] for r in expected] and len(got) > 300
     assert np.allclose([r[2] for r in got], [r[2] for r in expected], atol=1e-9)
+
+
+def test_crossings_are_made_once(spark):
+    """Segments over several cells, ends on borders of cells, equal rows: each pair once, by force, without a pass that tells pairs apart."""
+    rng = np.random.default_rng(41)
+    make = lambda n: [(k, *map(float, rng.integers(-8, 12, 4))) for k in range(n)]
+    a, b = make(70), make(60)
+    a, b = [*a, *a[:5]], [*b, *b[:3], (90, None, 1.0, 2.0, 3.0)]
+    df = ranges.crossings(spark.createDataFrame(a, "id int, ax double, ay double, bx double, by double"), spark.createDataFrame(b, "sid int, cx double, cy double, dx double, dy double"), 4.0)
+    assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    expected = []
+    for i, ax, ay, bx, by in a:
+        for j, cx, cy, dx, dy in b[:-1]:
+            det = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+            if det and 0 <= ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det <= 1 and 0 <= ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / det <= 1:
+                expected.append((i, j))
+    assert sorted((r.id, r.sid) for r in df.collect()) == sorted(expected) and len(expected) > len(set(expected)) > 300
