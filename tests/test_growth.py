@@ -351,3 +351,34 @@ def test_crossings_are_made_once(spark):
             if det and 0 <= ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / det <= 1 and 0 <= ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / det <= 1:
                 expected.append((i, j))
     assert sorted((r.id, r.sid) for r in df.collect()) == sorted(expected) and len(expected) > len(set(expected)) > 300
+
+
+def test_samples_are_judged_where_they_are_made(spark, monkeypatch):
+    """Lines of one to eighty vertices, missing places, repeated vertices, evidence of all kinds and none: what joins of samples say, without a join or a shuffle of samples."""
+    from trackloom.operators import support
+
+    rng = np.random.default_rng(43)
+    rows = [(k, q, float(x), float(y)) for k in range(60) for q, (x, y) in enumerate(rng.integers(0, 40, (rng.integers(1, 9), 2)) / 2)]
+    rows += [(70, q, float(x), float(y)) for q, (x, y) in enumerate(rng.uniform(0, 30, (80, 2)))] + [(71, 0, 1.0, 1.0), (71, 1, None, 5.0), (71, 2, 9.0, 9.0), (71, 3, 9.0, 9.0), (71, 4, 25.0, 9.0)]
+    rows += [(72, 0, 3.0, 3.0), (72, 1, 3.0, 3.0), (73, 0, 0.0, 6.0), (73, 1, 8.0, 6.0)]
+    vertices = spark.createDataFrame(rows, "line_id long, seq int, x double, y double")
+    some = [tuple(map(float, (x, y, x + a, y + b))) for x, y, a, b in rng.integers(-5, 25, (12, 4))] + [(4.0, 4.0, 4.0, 4.0), (2.0, 1.0, 2.0, 9.0), (None, 1.0, 1.0, 1.0)]
+    say = lambda df: sorted((r.line_id, round(r.support_ratio, 9), r.n_samples, r.max_unsupported) for r in df.collect())
+    for given in (some, some[:2], []):
+        evidence = spark.createDataFrame(given, "ax double, ay double, bx double, by double")
+        expected = say(lines.support(lines.sampled(vertices, 1.5), evidence, 2.0, 1.5, ["line_id"], distances=False).select("line_id", "support_ratio", "n_samples", "max_unsupported"))
+        assert len(expected) > 50
+        df = support.of_lines(vertices, evidence, 2.0, 1.5)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert say(df) == expected and "Join" not in plan and "Window" not in plan
+        local = vertices.filter("x is not null").orderBy("line_id", "seq").toPandas()
+        starts = np.append(np.flatnonzero(local.line_id.diff() != 0), len(local))
+        for block in (1 << 18, 7):  # samples, and pairs of a sample and a segment, at once
+            monkeypatch.setattr(support, "BLOCK", block)
+            _, n, ok, longest = support.judged(local.x.to_numpy(), local.y.to_numpy(), starts, support._reach(evidence, 2.0), 1.5)
+            assert len(n) == len(expected)
+            keep = [k for k, e in enumerate(expected) if e[0] != 71]  # its missing vertex is left out here
+            assert [(n[k], round(ok[k] / n[k], 9), longest[k] * 1.5) for k in keep] == [(e[2], e[1], e[3]) for e in map(expected.__getitem__, keep)]
+        monkeypatch.setattr(support, "PAIRS", 1)  # too much to broadcast
+        assert say(support.of_lines(vertices, evidence, 2.0, 1.5)) == expected
+        monkeypatch.setattr(support, "PAIRS", 1_000_000)

@@ -343,12 +343,11 @@ def centreline(spark, d):
 
 @query("support_metrics")
 def support_metrics(spark, d):
-    from ..operators import lines
+    from ..operators import support
 
-    samples_ = lines.sampled(vertices(spark, d), 2.0)
     c = table(spark, d, "supplier").select((F.col("s_acctbal") % 50).alias("ax"), (F.col("s_suppkey") % 30).cast("double").alias("ay"))
     seg = c.select("ax", "ay", (F.col("ax") + 3).alias("bx"), (F.col("ay") + 4).alias("by"))
-    return lines.support(samples_, seg, 2.0, 2.0, ["line_id"], distances=False).select("line_id", r("support_ratio", 4).alias("support_ratio"), "n_samples", "max_unsupported")
+    return support.of_lines(vertices(spark, d), seg, 2.0, 2.0).select("line_id", r("support_ratio", 4).alias("support_ratio"), "n_samples", "max_unsupported")
 
 
 @query("snap_targets")
