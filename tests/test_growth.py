@@ -382,3 +382,38 @@ def test_samples_are_judged_where_they_are_made(spark, monkeypatch):
         monkeypatch.setattr(support, "PAIRS", 1)  # too much to broadcast
         assert say(support.of_lines(vertices, evidence, 2.0, 1.5)) == expected
         monkeypatch.setattr(support, "PAIRS", 1_000_000)
+
+
+def test_ends_at_one_place_need_no_search(spark, monkeypatch):
+    """Ends that share their places with other lines snap there, to the least of them, without a search; a closed line's own end is none, nor is that of a line without a name."""
+    searched = []
+    for name in ("near_points", "near_segments"):
+        once = getattr(lines, name)
+        monkeypatch.setattr(lines, name, lambda *a, once=once, **named: searched.append(1) or once(*a, **named))
+    ends = [(10 * k + j, k, float(j), 2.5) for k in range(1, 40) for j in (0, 1)] + [(900, 90, 0.0, 2.5)]
+    ends += [(910, 91, 1.0, 2.5), (911, 91, 1.0, 2.5), (920, None, 1.0, 2.5), (None, 5, 0.0, 2.5)]
+    points = spark.createDataFrame(ends, "point_id int, line_id int, x double, y double")
+    segments = spark.createDataFrame([(k, 0.0, 2.5, 1.0, 2.5) for k in range(1, 40)], "line_id int, ax double, ay double, bx double, by double")
+    got = {r.point_id: tuple(r)[1:] for r in lines.snap_targets(points, segments, points.select("line_id", "x", "y"), 1.0).collect()}
+    assert got == {p: (True, 0.0, 1 if line != 1 else 2, x, y) for p, line, x, y in ends if p is not None and line is not None} and not searched
+    alone = spark.createDataFrame([(1, 7, 5.0, 5.0), (2, 7, 5.0, 5.0), (3, 8, None, 5.0), (4, 9, float("nan"), 5.0)], points.schema)
+    assert lines.snap_targets(alone, segments, alone.select("line_id", "x", "y"), 1.0).count() == 0 and searched
+
+
+def test_few_points_are_looked_up_by_their_cells(spark, monkeypatch):
+    """Pairs of points, and of points and segments, where only cells with points are looked at: those of looking everywhere, on borders of cells too, beyond what is broadcast too."""
+    rng = np.random.default_rng(53)
+    a = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(-20, 21, (60, 2)) / 2)] + [(70, None, 1.0), (71, float("nan"), 1.0)]
+    b = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(-20, 21, (200, 2)) / 2)] + [(300, None, 1.0)]
+    s = [(f"s{k}", *map(float, v)) for k, v in enumerate(rng.integers(-14, 15, (90, 4)))] + [("up", 3.0, -9.0, 3.0, 9.0), ("dot", 2.0, 2.0, 2.0, 2.0), ("none", None, 1.0, 2.0, 2.0), ("long", -1e5, -1e5, 1e5, 1e5)]
+    p, t = spark.createDataFrame(a, "id int, x double, y double"), spark.createDataFrame(b, "sid int, tx double, ty double")
+    g = spark.createDataFrame(s, "name string, ax double, ay double, bx double, by double")
+    pairs = sorted((i, j) for i, x, y in a[:60] for j, u, v in b[:200] if np.hypot(x - u, y - v) <= 1.5)
+    near = sorted((r.id, r["name"], r.distance, r.share) for r in ranges.near_segments(p, g.filter("name <> 'long'"), 1.5).collect())
+    for most in (1_000_000, 3):
+        monkeypatch.setattr(ranges, "LOOKED_UP", most)
+        assert sorted((r.id, r.sid) for r in ranges.near_points(p, t, 1.5, occupied=True).select("id", "sid").collect()) == pairs
+        monkeypatch.setattr(ranges, "FEW", most)
+        found = sorted((r.id, r["name"], r.distance, r.share) for r in ranges.near_segments(p, g, 1.5, occupied=True).collect())
+        assert [f for f in found if f[1] != "long"] == near and {f[0] for f in found if f[1] == "long"} == {k for k, x, y in a[:60] if abs(x - y) / 2**0.5 <= 1.5}
+    assert len(pairs) > 100 < len(near)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, curves, dynamic, filters, graph, raster
 from ..operators import sequences as seq
+from ..storage import stored
 from .registry import I, S, V, intervals, points, query, r, samples, table, vertices
 
 
@@ -357,7 +358,7 @@ def snap_targets(spark, d):
     v = vertices(spark, d)
     w = Window.partitionBy("line_id").orderBy("seq")
     ends = v.withColumns({"_a": F.lag("seq").over(w).isNull(), "_b": F.lead("seq").over(w).isNull()}).filter("_a or _b")
-    ends = ends.select((F.col("line_id") * 10 + F.col("seq")).alias("point_id"), "line_id", "x", "y")
+    ends = stored(ends.select((F.col("line_id") * 10 + F.col("seq")).alias("point_id"), "line_id", "x", "y"), "points")
     return lines.snap_targets(ends, ranges.segments_of(v), ends.select("line_id", "x", "y"), 1.0).select("point_id", "to_end", "other", r("distance").alias("distance"))
 
 
